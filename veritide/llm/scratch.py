@@ -1,0 +1,44 @@
+"""Intermediate tables in the folder that driver and executors share.
+
+Lineage is cut with written Parquet tables, so a lost executor costs one task and
+not the steps before it. The folder is the one named in ``spark.checkpoint.dir``;
+one of our own is made only where none is set, as in local tests.
+"""
+
+from __future__ import annotations
+
+import atexit
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder; a local temporary one only if none is named."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        found = tempfile.mkdtemp(prefix="veritide-")
+        atexit.register(shutil.rmtree, found, True)
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def new_path(spark: SparkSession, tag: str) -> str:
+    return f"{shared_dir(spark)}/veritide/{tag}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written once to the shared folder and read again."""
+    spark = df.sparkSession
+    path = new_path(spark, tag)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_all(spark: SparkSession) -> None:
+    """Delete every intermediate table of this engine; call it once results are stored."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(f"{shared_dir(spark)}/veritide")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
