@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritide.llm import bpe, chat, packing, pii, quality, sharding
+from veritide.llm import bpe, chat, neardup, packing, pii, quality, sharding
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -49,6 +49,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "failed")
 
 
+def op9_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op7_pii_anchors": op7_pii_anchors,
     "op8_quality_rules": op8_quality_rules,
+    "op9_minhash_neardup": op9_minhash_neardup,
     "op10_bpe_encoding": op10_bpe_encoding,
 }
 
@@ -81,4 +86,18 @@ f AS (SELECT *, (n_words < 20)::BIGINT + 2 * (100 * n_repeat_words > 30 * n_word
              + 8 * (2 * n_dup_lines > n_lines AND n_dup_lines >= 3)::BIGINT + 16 * (word_chars < 2 * n_words)::BIGINT + 32 * (word_chars > 40 * n_words)::BIGINT AS failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, n_lines, failed FROM f
 """
-ORACLE_SQL: dict[str, str] = {"op8_quality_rules": QUALITY_SQL}
+# Exact shingle sets as strings, all pairs that share one, and their transitive closure.
+NEARDUP_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT rid, doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM d),
+n AS (SELECT rid, doc_id, len(sh)::BIGINT AS n FROM s),
+e AS (SELECT rid, unnest(sh) AS x FROM s),
+p AS (SELECT a.rid AS a, b.rid AS b, count(*) AS shared FROM e a JOIN e b ON a.x = b.x AND a.rid <> b.rid GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n na ON na.rid = a JOIN n nb ON nb.rid = b WHERE 100 * shared >= 85 * (na.n + nb.n - shared)),
+r AS (SELECT rid AS a, rid AS b FROM n UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT r.a AS rid, min(n.doc_id) AS component_id FROM r JOIN n ON n.rid = r.b GROUP BY 1)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN c USING (rid)
+"""
+ORACLE_SQL: dict[str, str] = {"op8_quality_rules": QUALITY_SQL, "op9_minhash_neardup": NEARDUP_SQL}
