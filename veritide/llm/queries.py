@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritide.llm import bpe, chat, html_text, neardup, packing, pii, quality, sharding, toxicity
+from veritide.llm import bpe, chat, html_text, media, neardup, packing, pii, quality, sharding, toxicity
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -44,6 +44,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(table(spark, sf_dir, "documents"))
+
+
 def op6_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_formatting": op2_chat_formatting,
     "op3_sharding": op3_sharding,
     "op4_toxicity": op4_toxicity,
+    "op5_media_chunks": op5_media_chunks,
     "op6_html_consensus": op6_html_consensus,
     "op7_pii_anchors": op7_pii_anchors,
     "op8_quality_rules": op8_quality_rules,
