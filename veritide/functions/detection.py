@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritide.functions.patterns import any_of
@@ -45,11 +45,12 @@ def pattern_confidence(n_patterns: int, length: Column, severity: str) -> Column
 def findings(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
     """A row for each match of each pattern, with its line, as code is read line by line."""
     lines = files.select(key, F.posexplode(F.split(F.coalesce(content, F.lit("")), "\n")).alias("at", "text"))
-    cases = []
-    for family, (severity, patterns) in FAMILIES.items():
-        for p in patterns:
-            found = F.regexp_extract_all("text", F.lit(f"(?i){p}"), F.lit(0))
-            cases.append(F.transform(found, lambda m, family=family, severity=severity, n=len(patterns): F.struct(F.lit(family).alias("type"), F.lit(severity).alias("severity"), m.alias("code"), pattern_confidence(n, F.char_length(m), severity).alias("confidence"))))
+
+    def case(family: str, severity: str, n: int, pattern: str) -> Column:
+        found = F.regexp_extract_all("text", F.lit(f"(?i){pattern}"), F.lit(0))
+        return F.transform(found, lambda m: F.struct(F.lit(family).alias("type"), F.lit(severity).alias("severity"), m.alias("code"), pattern_confidence(n, F.char_length(m), severity).alias("confidence")))
+
+    cases = [case(family, severity, len(patterns), p) for family, (severity, patterns) in FAMILIES.items() for p in patterns]
     return lines.select(key, (F.col("at") + 1).alias("line"), F.explode(F.concat(*cases)).alias("f")).select(key, "line", "f.*")
 
 
@@ -103,8 +104,6 @@ def token_estimate(text: Column) -> Column:
 
 def keyword_context(files: DataFrame, words: list[str], key: str = "path", content: str = "content", around: int = 2) -> DataFrame:
     """Lines within two of a keyword, each once, with a mark where lines were left out before it."""
-    from pyspark.sql import Window
-
     lines = files.select(key, F.posexplode(F.split(content, "\n")).alias("at", "text"))
     near = Window.partitionBy(key).orderBy("at").rowsBetween(-around, around)
     hit = F.max(any_of([F.lower("text").contains(w) for w in words]).cast("int")).over(near)

@@ -65,4 +65,5 @@ def matches_globs(path: Column, patterns: list[str]) -> Column:
 def ignored_by_globs(path: Column, patterns: list[str]) -> Column:
     """Whole path, base name or the name of any folder above fits a glob."""
     parts = F.split(path, "/")
-    return any_of([path.rlike(glob(p)) | F.exists(parts, lambda x, p=p: x.rlike(glob(p))) for p in patterns])
+    in_part = lambda p: F.exists(parts, lambda x: x.rlike(glob(p)))
+    return any_of([path.rlike(glob(p)) | in_part(p) for p in patterns])

@@ -47,7 +47,7 @@ class Filtering:
 
 def text_of(content: Column) -> Column:
     """UTF-8 with bad bytes left out."""
-    return F.replace(F.expr("make_valid_utf8(cast(content as string))") if isinstance(content, str) else F.make_valid_utf8(content.cast("string")), F.lit("�"), F.lit(""))
+    return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("�"), F.lit(""))
 
 
 def scan(spark: SparkSession, root: str, project_id: str = "") -> DataFrame:
@@ -79,7 +79,7 @@ def extension_ok(name: Column, include: tuple[str, ...], exclude: tuple[str, ...
 def path_ok(path: Column, include: tuple[str, ...], exclude: tuple[str, ...]) -> Column:
     """Part of the path anywhere; what is excluded goes first."""
     clean = lambda p: p.replace("\\", "/").strip("/")
-    p = F.trim(F.lit("/"), F.replace(path, F.lit("\\"), F.lit("/")))
+    p = F.trim(F.replace(path, F.lit("\\"), F.lit("/")), F.lit("/"))
     hit = lambda xs: any_of([p.contains(clean(x)) for x in xs])
     return F.when(hit(exclude), False).otherwise(hit(include) if include else F.lit(True))
 
