@@ -155,7 +155,7 @@ class Model:
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """Of each text, from the sums of its sentences; texts are joined for speed, apart by a stop."""
-        if not len(self.numbers):
+        if not len(self.numbers) or not texts:
             return np.full(len(texts), self.share)
         each = [np.concatenate((codes(t), np.full(SPAN, STOP, np.uint8))) for t in texts]
         c = np.concatenate(each) if each else np.zeros(0, np.uint8)
