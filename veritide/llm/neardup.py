@@ -6,7 +6,7 @@ A-Z lower-cased). Documents of equal sets form one class, so copies cost one row
 1. Each class has 80 minima. Groups of four make 20 band keys: two sets that share
    85 of 100 shingles share a band but for one pair in millions. Of each minimum four
    bits are kept, packed into five longs.
-2. In each band bucket every class is paired with the bucket's smallest class. The
+2. In each band bucket every class is paired with one class drawn for that bucket. The
    packed bits give the similarity, corrected for the 1/16 of chance matches; pairs
    more than five standard errors below the threshold go, as do pairs whose set sizes
    alone rule a link out.
@@ -48,6 +48,8 @@ PERCENT = 85
 LEAST_MATCHES = 53
 WORDS_KEPT = 500_000
 PAIRS_PER_PART = 500
+#: Members of a bucket outside its largest component that are compared with all of it at first; then eight times as many.
+MEMBERS_FIRST = 256
 SHINGLES_AT_ONCE = 400_000
 #: A list of ids may be broadcast up to this count (under 40 MB); beyond it, it is joined by a shuffle.
 IDS_BROADCAST = 500_000
@@ -173,12 +175,15 @@ def similarity(a: str, b: str) -> Column:
     return (matches(a, b) / HASHES - chance) / (1 - chance)
 
 
+def sizes_fit(a: str, b: str) -> Column:
+    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+
+
 def promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) of class ids that bit counts and set sizes allow."""
     side = lambda x: classes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    sizes = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
-    return both.filter(sizes & (matches("bits_a", "bits_b") >= LEAST_MATCHES)).select("a", "b")
+    return both.filter(sizes_fit("n_a", "n_b") & (matches("bits_a", "bits_b") >= LEAST_MATCHES)).select("a", "b")
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -222,28 +227,33 @@ def components(edges: DataFrame) -> DataFrame:
         seen = mark
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(lowest, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(lowest, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        small = small.unionByName(lowest.select("u", F.col("m").alias("v")))
         now = written(small.filter("u <> v").distinct(), "near-stars")
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def open_pairs(members: DataFrame, labels: DataFrame, done: DataFrame | None, most: int) -> tuple[DataFrame, DataFrame]:
-    """The next members to compare with their whole bucket, and the pairs that makes across components."""
+def open_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, done: DataFrame | None, most: int) -> tuple[DataFrame, DataFrame]:
+    """The next members to compare with their whole bucket, and what of that is promising.
+
+    Bit counts and sizes are part of the join's condition, so only promising pairs
+    across components leave it.
+    """
     rows = members.filter("size > 2").select("band", "id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     counts = rows.groupBy("band", "component").agg(F.count("*").alias("n"))
     mixed_ones = counts.groupBy("band").agg(F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("k")).filter("k > 1").select("band", F.col("main.component").alias("main"))
-    rows = written(rows.join(mixed_ones, "band"), "near-open")
-    outside = rows.filter("component <> main").select("band", "id", "component")
+    rows = written(rows.join(mixed_ones, "band").join(classes.select("id", "n", "bits"), "id"), "near-open")
+    outside = rows.filter("component <> main").drop("main")
     if done is not None:
         outside = outside.join(done, ["band", "id"], "left_anti")
     ranked = outside.withColumn("k", F.row_number().over(Window.partitionBy("band").orderBy("id")))
-    chosen = written(ranked.filter(F.col("k") <= most).select("band", "id", "component"), "near-chosen")
-    other = rows.select("band", F.col("id").alias("b"), F.col("component").alias("other"))
-    pairs = chosen.withColumnRenamed("id", "a").join(other, "band").filter("component <> other")
-    return chosen.select("band", "id"), pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    chosen = written(ranked.filter(F.col("k") <= most + 1), "near-chosen")
+    first = chosen.filter(F.col("k") <= most)
+    left, right = (x.select("band", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "component", "n", "bits"))) for x, side in ((first, "a"), (rows, "b")))
+    fits = (F.col("component_a") != F.col("component_b")) & sizes_fit("n_a", "n_b") & (matches("bits_a", "bits_b") >= LEAST_MATCHES)
+    pairs = left.withColumnRenamed("band", "band_a").join(right, (F.col("band_a") == F.col("band")) & fits)
+    return chosen, pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -252,21 +262,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = signed.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("lo"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
     classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "near-classes")
     keys = classes.select("id", F.explode("bands").alias("band"))
-    buckets = keys.groupBy("band").agg(F.min("id").alias("center"), F.count("*").alias("size")).filter("size > 1")
+    place = F.xxhash64("id", "band")  # each bucket has its own centre, so the members of a large group meet many others
+    buckets = keys.groupBy("band").agg(F.min_by("id", place).alias("center"), F.count("*").alias("size")).filter("size > 1")
     members = written(keys.join(buckets, "band"), "near-members")
-    pairs = written(promising(members.filter("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct(), classes), "near-pairs")
-    tested, edges, done, most = pairs, None, None, 8
+    ends = members.filter("id <> center").select(F.least("center", "id").alias("a"), F.greatest("center", "id").alias("b"))
+    pairs = written(promising(ends.distinct(), classes), "near-pairs")
+    tested, edges, done, most = pairs, None, None, MEMBERS_FIRST
     labels = docs.sparkSession.createDataFrame([], "id long, component long")
+    more = True
     while True:
         if not pairs.isEmpty():
             found = written(confirmed(pairs, classes, docs), "near-links")
             edges = found if edges is None else edges.unionByName(found)
             labels = written(components(edges), "near-labels")
-        chosen, pairs = open_pairs(members, labels, done, most)
-        if chosen.isEmpty():
+        if not more:
             break
-        pairs = written(promising(pairs.join(tested, ["a", "b"], "left_anti"), classes), "near-pairs")
+        chosen, pairs = open_pairs(members, labels, classes, done, most)
+        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
+        more = not chosen.filter(F.col("k") > most).isEmpty()
         tested = tested.unionByName(pairs)
+        chosen = chosen.filter(F.col("k") <= most).select("band", "id")
         done, most = chosen if done is None else done.unionByName(chosen), most * 8
     joined = labels.join(classes.select("id", "lo", "digest"), "id")
     least = joined.groupBy("component").agg(F.min("lo").alias("least"))
