@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -18,3 +24,22 @@ def session(name: str = "veritide", **more: str) -> SparkSession:
     for key, value in (SETTINGS | {k.replace("__", "."): v for k, v in more.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application, so that their Python workers can import it."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="veritide-")
+    atexit.register(shutil.rmtree, folder, True)
+    archive = Path(folder) / "veritide_package.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for path in sorted(package.rglob("*.py")):
+            z.write(path, f"{package.name}/{path.relative_to(package)}")
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
