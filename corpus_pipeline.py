@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from veritide.llm import neardup, packing, pii, quality, toxicity
 from veritide.llm.queries import table, tokenizer_path
 from veritide.llm.scratch import written
+from veritide.session import ship
 
 #: A list of dropped ids may be broadcast up to this count (under 40 MB); beyond it, it is joined by a shuffle.
 IDS_BROADCAST = 1_000_000
@@ -55,6 +56,10 @@ STAGES = [
 ORACLE_SQL = None
 
 
+ship_first = lambda stage: lambda spark, docs, sf_dir: ship(spark) or stage(spark, docs, sf_dir)
+STAGES = [(name, ship_first(stage)) for name, stage in STAGES]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritide.llm import bpe, chat, html_text, media, neardup, packing, pii, quality, sharding, toxicity
+from veritide.session import ship
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -19,6 +20,7 @@ def tokenizer_path(name: str = BYTE_BPE) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
