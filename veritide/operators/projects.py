@@ -39,11 +39,10 @@ def project_type(files: DataFrame, dependencies: DataFrame) -> DataFrame:
     low = F.lower("path")
     names = files.select("project_id", F.explode(F.array(low, name_of(low))).alias("name")).distinct()
     scores = []
-    for i, (kind, patterns) in enumerate(TYPES.items()):
+    for kind, patterns in TYPES.items():
         hits = sum((F.when(F.col("name").contains(p.lower()), 1).otherwise(0) + F.when(F.col("name") == p.lower(), 2).otherwise(0) for p in patterns), F.lit(0))
         extra = {"library": F.when(F.max(F.col("name").isin("setup.py", "pyproject.toml")), 2).otherwise(0), "microservice": F.when(F.max(F.col("name").contains("docker")), 2).otherwise(0)}
         scores.append((F.sum(hits) + extra.get(kind, F.lit(0))).alias(kind))
-        del i
     totals = names.groupBy("project_id").agg(*scores)
     deps = dependencies.groupBy("project_id").agg(F.max(F.lower("name").isin(WEB_DEPENDENCIES)).alias("web"), F.max(F.lower("name").isin(API_DEPENDENCIES)).alias("api"))
     rows = totals.join(deps, "project_id", "left")

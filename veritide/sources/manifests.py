@@ -12,7 +12,7 @@ COLUMNS = ["project_id", "manifest", "seq", "name", "version", "source"]
 
 def lines_of(files: DataFrame, name: str) -> DataFrame:
     """Lines of one kind of manifest at project roots."""
-    return files.filter((F.col("name") == name) & (F.col("path") == name)).select("project_id", F.col("name").alias("manifest"), F.posexplode(F.split("content", "\r?\n")).alias("seq", "raw")).withColumn("line", F.trim("raw"))
+    return files.filter((F.col("name") == name) & (F.col("path") == name)).select("project_id", F.col("name").alias("manifest"), F.posexplode(F.split("content", "\r?\n")).alias("seq", "raw")).withColumn("line", F.regexp_replace("raw", r"^\s+|\s+$", ""))
 
 
 def rows_of(lines: DataFrame, name: Column, version: Column, source: str) -> DataFrame:
@@ -55,11 +55,9 @@ def package_json(files: DataFrame) -> DataFrame:
 def go_mod(files: DataFrame) -> DataFrame:
     lines = lines_of(files, "go.mod")
     lines = carried(lines, F.when(F.col("line").rlike(r"^require\s*\("), "in").when(F.col("line").startswith(")"), "out"))
-    single = F.regexp_extract("line", r"^require\s+([^\s(]\S*)\s+(\S+)", 1)
     inside = (F.col("section") == "in") & ~F.col("line").rlike(r"^require\b|^//") & (F.col("line") != "")
     line = F.when(F.col("line").rlike(r"^require\s+[^\s(]"), F.regexp_replace("line", r"^require\s+", "")).when(inside, F.col("line"))
     kept = lines.withColumn("entry", line).filter("entry is not null")
-    del single
     return rows_of(kept, F.regexp_extract("entry", r"^(\S+)\s+\S+", 1), F.regexp_extract("entry", r"^\S+\s+(\S+)", 1), "go")
 
 
