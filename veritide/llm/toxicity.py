@@ -266,17 +266,29 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
 
 
 def calibrated(tops: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve, with a light prior, by Newton's method."""
-    a, b = 1.0, 0.0
-    y = toxic.astype(float)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * tops + b, -30, 30)))
-        r = p * (1 - p) + 1e-6
-        g = np.array([((p - y) * tops).sum() + 0.1 * a, (p - y).sum() + 0.01 * b])
-        h = np.array([[(r * tops * tops).sum() + 0.1, (r * tops).sum()], [(r * tops).sum(), r.sum() + 0.01]])
-        step = np.linalg.solve(h, g)
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-8:
+    """Slope and offset of a logistic curve, by Newton's method with step halving.
+
+    Targets are drawn in from 0 and 1 by the size of either class, so separable scores
+    have a finite slope too.
+    """
+    bad = toxic.astype(bool)
+    target = np.where(bad, (bad.sum() + 1) / (bad.sum() + 2), 1 / ((~bad).sum() + 2))
+
+    def loss(a: float, b: float) -> float:
+        z = a * tops + b
+        return float((np.logaddexp(0, z) - target * z).sum()) + 1e-6 * (a * a + b * b)
+
+    a, b = 0.0, float(np.log((bad.sum() + 1) / ((~bad).sum() + 1)))
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(a * tops + b, -500, 500)))
+        r = p * (1 - p)
+        g = np.array([((p - target) * tops).sum() + 2e-6 * a, (p - target).sum() + 2e-6 * b])
+        h = np.array([[(r * tops * tops).sum() + 1e-6, (r * tops).sum()], [(r * tops).sum(), r.sum() + 1e-6]])
+        step, scale, now = np.linalg.solve(h, g), 1.0, loss(a, b)
+        while scale > 1e-6 and loss(a - scale * step[0], b - scale * step[1]) > now - 1e-4 * scale * float(g @ step):
+            scale /= 2
+        a, b = a - scale * step[0], b - scale * step[1]
+        if np.abs(g).max() < 1e-6 or scale <= 1e-6:
             break
     return float(a), float(b)
 
