@@ -6,8 +6,8 @@ A-Z lower-cased). Documents of equal sets form one class, so copies cost one row
 1. Each class has 80 minima. Groups of four make 20 band keys: two sets that share
    85 of 100 shingles share a band but for one pair in millions. Of each minimum four
    bits are kept, packed into five longs.
-2. In each band bucket every class is paired with one class drawn for that bucket. The
-   packed bits give the similarity, corrected for the 1/16 of chance matches; pairs
+2. In each band bucket every class is paired with the class that meets most others in
+   all its buckets, most likely the text that the others are copies of. The packed bits give the similarity, corrected for the 1/16 of chance matches; pairs
    more than five standard errors below the threshold go, as do pairs whose set sizes
    alone rule a link out.
 3. What remains is confirmed on full sets. Texts meet by the pair's first class, split
@@ -41,21 +41,21 @@ from veritide.llm.scratch import written
 
 SHINGLE, BANDS, ROWS, BITS = 5, 20, 4, 4
 HASHES = BANDS * ROWS
-PER_LONG = 64 // BITS
-LONGS = HASHES // PER_LONG
 PERCENT = 85
 #: Matching minima of 80 that a pair needs: similarity 0.85 falls below with odds of about one in a million.
 LEAST_MATCHES = 53
+#: A finer signature for classes in open buckets: two bits of 1024 minima; similarity 0.85 has fewer matches with odds of one in millions.
+FINE_HASHES, FINE_BITS, FINE_LEAST = 1024, 2, 858
 WORDS_KEPT = 500_000
 PAIRS_PER_PART = 500
 #: Members of a bucket outside its largest component that are compared with all of it at first; then eight times as many.
-MEMBERS_FIRST = 256
+MEMBERS_FIRST = 2_048
 SHINGLES_AT_ONCE = 400_000
 #: A list of ids may be broadcast up to this count (under 40 MB); beyond it, it is joined by a shuffle.
 IDS_BROADCAST = 500_000
 
 _seeds = np.random.default_rng(20_240_502)
-MULTIPLIERS = _seeds.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+MULTIPLIERS = _seeds.integers(1, 1 << 63, FINE_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 WEIGHTS = _seeds.integers(1, 1 << 63, max(SHINGLE, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BAND_SALTS = _seeds.integers(1, 1 << 63, BANDS, dtype=np.uint64)
 
@@ -103,12 +103,12 @@ def digest(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
-def minima(sets: list[np.ndarray]) -> np.ndarray:
+def minima(sets: list[np.ndarray], hashes: int = HASHES) -> np.ndarray:
     """A row of minima for each of some sets, none of them empty."""
     joined = np.concatenate(sets)
     starts = np.cumsum([0, *(len(s) for s in sets[:-1])])
-    out, scaled = np.empty((len(sets), HASHES), np.uint64), np.empty_like(joined)
-    for k in range(HASHES):
+    out, scaled = np.empty((len(sets), hashes), np.uint64), np.empty_like(joined)
+    for k in range(hashes):
         np.multiply(joined, MULTIPLIERS[k], out=scaled)
         out[:, k] = np.minimum.reduceat(scaled, starts)
     return out
@@ -119,9 +119,11 @@ def band_keys(m: np.ndarray) -> np.ndarray:
     return mixed(weighted + BAND_SALTS).view(np.int64)
 
 
-def packed_bits(m: np.ndarray) -> np.ndarray:
-    low = (mixed(m) & np.uint64((1 << BITS) - 1)).reshape(len(m), LONGS, PER_LONG)
-    return (low << (np.arange(PER_LONG, dtype=np.uint64) * np.uint64(BITS))).sum(axis=2, dtype=np.uint64).view(np.int64)
+def packed_bits(m: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """The low bits of mixed minima, as many to a long as fit."""
+    each = 64 // bits
+    low = (mixed(m) & np.uint64((1 << bits) - 1)).reshape(len(m), -1, each)
+    return (low << (np.arange(each, dtype=np.uint64) * np.uint64(bits))).sum(axis=2, dtype=np.uint64).view(np.int64)
 
 
 SIGNATURE_SCHEMA = "doc_id long, n_shingles long, digest binary, bands array<long>, bits array<long>"
@@ -158,15 +160,16 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SIGNATURE_SCHEMA)
 
 
-def matches(a: str, b: str) -> Column:
+def matches(a: str, b: str, hashes: int = HASHES, bits: int = BITS) -> Column:
     """How many of the packed minima agree in all their bits."""
+    lowest = sum(1 << k for k in range(0, 63, bits))
 
     def differing(k: int) -> Column:
         x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
-        any_bit = reduce(Column.bitwiseOR, [F.shiftrightunsigned(x, s) for s in range(1, BITS)], x)
-        return F.bit_count(any_bit.bitwiseAND(F.lit(0x1111111111111111)))
+        any_bit = reduce(Column.bitwiseOR, [F.shiftrightunsigned(x, s) for s in range(1, bits)], x)
+        return F.bit_count(any_bit.bitwiseAND(F.lit(lowest)))
 
-    return F.lit(HASHES) - reduce(Column.__add__, [differing(k) for k in range(LONGS)])
+    return F.lit(hashes) - reduce(Column.__add__, [differing(k) for k in range(hashes * bits // 64)])
 
 
 def similarity(a: str, b: str) -> Column:
@@ -186,14 +189,41 @@ def promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.filter(sizes_fit("n_a", "n_b") & (matches("bits_a", "bits_b") >= LEAST_MATCHES)).select("a", "b")
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose full sets are linked. A class's text is that of its smallest id, checked by digest."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    needed = written(ends.join(classes.select("id", "lo", "digest"), "id"), "near-needed")
+def texts_of(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, digest, text) of some classes: the text of the smallest doc_id, to be checked by digest."""
+    needed = written(ids.join(classes.select("id", "lo", "digest"), "id"), "near-needed")
     if needed.count() <= IDS_BROADCAST:
         needed = F.broadcast(needed)
-    texts = docs.select(F.col("doc_id").cast("long").alias("lo"), F.col("text").cast("string")).join(needed, "lo")
-    texts = texts.select("id", "digest", "text")
+    return docs.select(F.col("doc_id").cast("long").alias("lo"), F.col("text").cast("string")).join(needed, "lo").select("id", "digest", "text")
+
+
+def fine_signatures(texts: DataFrame) -> DataFrame:
+    """(id, fine): packed bits of many more minima, for classes that many others resemble."""
+
+    def chunk(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
+        fine = [x for x in packed_bits(minima(sets, FINE_HASHES), FINE_BITS)] if sets else []
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fine, pa.list_(pa.int64()))], ["id", "fine"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sets, size = [], [], 0
+            for i, d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                s = shingle_set(text.as_py())
+                if digest(s) == d:
+                    ids.append(i)
+                    sets.append(s)
+                    size += len(s)
+                if size >= SHINGLES_AT_ONCE:
+                    yield chunk(ids, sets)
+                    ids, sets, size = [], [], 0
+            yield chunk(ids, sets)
+
+    return texts.mapInArrow(run, "id long, fine array<long>").dropDuplicates(["id"])
+
+
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs whose full sets are linked."""
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), classes, docs)
     parts = pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", F.expr(f"(n + {PAIRS_PER_PART - 1}) div {PAIRS_PER_PART}").alias("parts"))
     members = pairs.join(parts, "a").select("a", F.expr("pmod(xxhash64(b), parts)").alias("part"), "b").join(texts, F.col("b") == F.col("id")).select("a", "part", "b", "digest", "text")
     first = parts.select("a", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part")).join(texts, F.col("a") == F.col("id")).select("a", "part", F.lit(None).cast("long").alias("b"), "digest", "text")
@@ -234,25 +264,36 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def open_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, done: DataFrame | None, most: int) -> tuple[DataFrame, DataFrame]:
-    """The next members to compare with their whole bucket, and what of that is promising.
+def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components: band, id, component and the bucket's largest one.
 
-    Bit counts and sizes are part of the join's condition, so only promising pairs
-    across components leave it.
+    A bucket of two has been compared already.
     """
     rows = members.filter("size > 2").select("band", "id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     counts = rows.groupBy("band", "component").agg(F.count("*").alias("n"))
-    mixed_ones = counts.groupBy("band").agg(F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("k")).filter("k > 1").select("band", F.col("main.component").alias("main"))
-    rows = written(rows.join(mixed_ones, "band").join(classes.select("id", "n", "bits"), "id"), "near-open")
+    several = counts.groupBy("band").agg(F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("k")).filter("k > 1").select("band", F.col("main.component").alias("main"))
+    return rows.join(several, "band")
+
+
+def open_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, fine: DataFrame, done: DataFrame | None, most: int) -> tuple[DataFrame, DataFrame]:
+    """The next members to compare with their whole bucket, and what of that is promising.
+
+    Bit counts and sizes are part of the join's condition, coarse ones first, and a pair
+    leaves it only in the first bucket that both are in.
+    """
+    rows = written(open_members(members, labels).join(classes.select("id", "n", "bits", "bands"), "id").join(fine, "id"), "near-open")
     outside = rows.filter("component <> main").drop("main")
     if done is not None:
         outside = outside.join(done, ["band", "id"], "left_anti")
     ranked = outside.withColumn("k", F.row_number().over(Window.partitionBy("band").orderBy("id")))
     chosen = written(ranked.filter(F.col("k") <= most + 1), "near-chosen")
     first = chosen.filter(F.col("k") <= most)
-    left, right = (x.select("band", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "component", "n", "bits"))) for x, side in ((first, "a"), (rows, "b")))
+    left, right = (x.select(F.col("band").alias(f"band_{side}"), *(F.col(c).alias(f"{c}_{side}") for c in ("id", "component", "n", "bits", "fine", "bands"))) for x, side in ((first, "a"), (rows, "b")))
+    shared = F.zip_with("bands_a", "bands_b", lambda x, y: x == y)
+    first_shared = F.get("bands_a", (F.array_position(shared, True) - 1).cast("int")) == F.col("band_a")
     fits = (F.col("component_a") != F.col("component_b")) & sizes_fit("n_a", "n_b") & (matches("bits_a", "bits_b") >= LEAST_MATCHES)
-    pairs = left.withColumnRenamed("band", "band_a").join(right, (F.col("band_a") == F.col("band")) & fits)
+    fits = fits & (matches("fine_a", "fine_b", FINE_HASHES, FINE_BITS) >= FINE_LEAST) & first_shared
+    pairs = left.join(right, (F.col("band_a") == F.col("band_b")) & fits)
     return chosen, pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
@@ -262,12 +303,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = signed.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("lo"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
     classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "near-classes")
     keys = classes.select("id", F.explode("bands").alias("band"))
-    place = F.xxhash64("id", "band")  # each bucket has its own centre, so the members of a large group meet many others
-    buckets = keys.groupBy("band").agg(F.min_by("id", place).alias("center"), F.count("*").alias("size")).filter("size > 1")
-    members = written(keys.join(buckets, "band"), "near-members")
-    ends = members.filter("id <> center").select(F.least("center", "id").alias("a"), F.greatest("center", "id").alias("b"))
+    members = written(keys.join(keys.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1"), "band"), "near-members")
+    # The member that meets most others in all its buckets is most like all of them: the text that the others are copies of.
+    degree = members.groupBy("id").agg(F.sum("size").alias("degree"))
+    centers = members.join(degree, "id").groupBy("band").agg(F.max(F.struct("degree", "id"))["id"].alias("center"))
+    ends = members.join(centers, "band").filter("id <> center").select(F.least("center", "id").alias("a"), F.greatest("center", "id").alias("b"))
     pairs = written(promising(ends.distinct(), classes), "near-pairs")
-    tested, edges, done, most = pairs, None, None, MEMBERS_FIRST
+    tested, edges, done, most, fine = pairs, None, None, MEMBERS_FIRST, None
     labels = docs.sparkSession.createDataFrame([], "id long, component long")
     more = True
     while True:
@@ -277,7 +319,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             labels = written(components(edges), "near-labels")
         if not more:
             break
-        chosen, pairs = open_pairs(members, labels, classes, done, most)
+        if fine is None:
+            fine = written(fine_signatures(texts_of(open_members(members, labels).select("id").distinct(), classes, docs)), "near-fine")
+        chosen, pairs = open_pairs(members, labels, classes, fine, done, most)
         pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
         more = not chosen.filter(F.col("k") > most).isEmpty()
         tested = tested.unionByName(pairs)
