@@ -108,10 +108,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 NEARDUP_SQL = r"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id,
     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-s AS (SELECT rid, doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM d),
-n AS (SELECT rid, doc_id, len(sh)::BIGINT AS n FROM s),
-e AS (SELECT rid, unnest(sh) AS x FROM s),
+w AS (SELECT rid, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM d),
+g AS (SELECT rid, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o AS x FROM w WINDOW o AS (PARTITION BY rid ORDER BY i)),
+e AS (SELECT DISTINCT rid, x FROM g WHERE x IS NOT NULL UNION ALL SELECT rid, array_to_string(ws, ' ') FROM d WHERE len(ws) BETWEEN 1 AND 4),
+c0 AS (SELECT rid, count(*) AS n FROM e GROUP BY 1),
+n AS (SELECT rid, doc_id, coalesce(n, 0)::BIGINT AS n FROM d LEFT JOIN c0 USING (rid)),
 p AS (SELECT a.rid AS a, b.rid AS b, count(*) AS shared FROM e a JOIN e b ON a.x = b.x AND a.rid <> b.rid GROUP BY 1, 2),
 l AS (SELECT a, b FROM p JOIN n na ON na.rid = a JOIN n nb ON nb.rid = b WHERE 100 * shared >= 85 * (na.n + nb.n - shared)),
 r AS (SELECT rid AS a, rid AS b FROM n UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
