@@ -178,3 +178,17 @@ def backoff_delay(attempt: Column, kind: Column) -> Column:
 
 def cost_estimate(prompt: Column, completion: Column) -> Column:
     return prompt / 1000 * 0.001 + completion / 1000 * 0.002
+
+
+def export_attempts(checked: DataFrame, wanted: str, size_mb: Column, as_of: str) -> DataFrame:
+    """Log rows of export attempts from checked permissions: success, or blocked with the reason."""
+    return checked.select(
+        F.col("id").alias("user_id"), F.lit(wanted).alias("export_format"), size_mb.cast("double").alias("file_size_mb"), F.when(F.col("allowed"), "success").otherwise("blocked").alias("export_status"),
+        F.when(~F.col("allowed"), F.col("reason")).alias("blocked_reason"), F.lit(as_of).cast("timestamp_ntz").alias("created_at"),
+    )
+
+
+def system_report(stats: DataFrame, users: DataFrame, most: int = 1000) -> DataFrame:
+    """One JSON document: a row of statistics and the first users by id; the number of users is the feature's limit."""
+    some = users.orderBy("id").limit(most).agg(F.sort_array(F.collect_list(F.struct(*users.columns))).alias("users"))
+    return stats.crossJoin(some).select(F.to_json(F.struct(F.struct(*stats.columns).alias("statistics"), "users")).alias("report"))  # one row each
