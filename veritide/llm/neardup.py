@@ -7,17 +7,19 @@ A-Z lower-cased). Documents of equal sets form one class, so copies cost one row
    85 of 100 shingles share a band but for one pair in millions. Of each minimum four
    bits are kept, packed into five longs.
 2. In each band bucket every class is paired with the class that meets most others in
-   all its buckets, most likely the text that the others are copies of. The packed bits give the similarity, corrected for the 1/16 of chance matches; pairs
-   more than five standard errors below the threshold go, as do pairs whose set sizes
-   alone rule a link out.
+   all its buckets, most likely the text that the others are copies of. The packed bits
+   give the similarity, corrected for the 1/16 of chance matches; pairs more than five
+   standard errors below the threshold go, as do pairs whose set sizes alone rule a link
+   out.
 3. What remains is confirmed on full sets. Texts meet by the pair's first class, split
    into parts of bounded size where one class has many pairs, and are compared one by
    one against it, so a task holds two sets at a time.
-4. Links make components by alternating large and small stars. Only pairs of classes in
-   one bucket but in different components are still open: members outside the bucket's
-   largest component are compared in rounds with the whole bucket, eight a round at
-   first and then eight times as many, until each has been. No pair is dropped and no
-   group is paired with itself.
+4. Still open are pairs of classes in one bucket that aren't connected yet. Members
+   outside the bucket's largest component are compared with the whole bucket, in rounds
+   if they are many, until each has been. Finer signatures rule out most of these pairs
+   inside the join; no pair that could be a link is dropped.
+5. Links make components by flooding labels two steps and contracting, in a new order
+   each turn, until no edge is left.
 
 Defined results: null, empty and blank texts have empty sets, link with nothing and
 are their own components; fewer than five words are one shingle; rows with one id that
@@ -189,10 +191,10 @@ def promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.filter(sizes_fit("n_a", "n_b") & (matches("bits_a", "bits_b") >= LEAST_MATCHES)).select("a", "b")
 
 
-def texts_of(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(id, digest, text) of some classes: the text of the smallest doc_id, to be checked by digest."""
-    needed = written(ids.join(classes.select("id", "lo", "digest"), "id"), "near-needed")
-    if needed.count() <= IDS_BROADCAST:
+def texts_of(ids: DataFrame, most: int, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, digest, text) of at most so many classes: the text of the smallest doc_id, to be checked by digest."""
+    needed = ids.join(classes.select("id", "lo", "digest"), "id")
+    if most <= IDS_BROADCAST:
         needed = F.broadcast(needed)
     return docs.select(F.col("doc_id").cast("long").alias("lo"), F.col("text").cast("string")).join(needed, "lo").select("id", "digest", "text")
 
@@ -223,7 +225,7 @@ def fine_signatures(texts: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs whose full sets are linked."""
-    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), classes, docs)
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), 2 * pairs.count(), classes, docs)
     parts = pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", F.expr(f"(n + {PAIRS_PER_PART - 1}) div {PAIRS_PER_PART}").alias("parts"))
     members = pairs.join(parts, "a").select("a", F.expr("pmod(xxhash64(b), parts)").alias("part"), "b").join(texts, F.col("b") == F.col("id")).select("a", "part", "b", "digest", "text")
     first = parts.select("a", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part")).join(texts, F.col("a") == F.col("id")).select("a", "part", F.lit(None).cast("long").alias("b"), "digest", "text")
@@ -247,21 +249,43 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     return rows.mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, component) of every node with an edge; the component is its smallest node."""
-    now, seen = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "near-edges"), None
-    while True:
-        mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("x")).first()
-        if mark == seen:
-            break
-        seen = mark
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(lowest, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        now = written(small.filter("u <> v").distinct(), "near-stars")
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+def flooded(edges: DataFrame, turn: int) -> DataFrame:
+    """(id, label) of every node with an edge: the first node within two steps, in an order drawn anew each turn."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    placed = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("place"), F.col(c).alias("id"))
+    one = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min(placed("b")), F.first(placed("a"))).alias("label"))
+    two = both.join(one.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
+    return two.join(one, "id").select("id", F.least("near", "label")["id"].alias("label"))
+
+
+def contracted(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """The edges between labels."""
+    of = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))
+    ends = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_label", "a").alias("x"), F.coalesce("b_label", "b").alias("y"))
+    return ends.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """(id, label) of every node with an edge: equal labels for what is connected.
+
+    Labels are flooded two steps, what has one label becomes one node, and so on until no
+    edge is left. The order of nodes is drawn anew each time, so each turn leaves a
+    fraction of the nodes on any graph, long chains included. ``labels``: what is known
+    already to be connected.
+    """
+    turn = 0
+    rest = edges if labels is None else written(contracted(edges, labels), "near-rest")
+    while not rest.isEmpty():
+        turn += 1
+        found = written(flooded(rest, turn), "near-flood")
+        if labels is None:
+            labels = found
+        else:
+            of = found.select(F.col("id").alias("label"), F.col("label").alias("new"))
+            known = labels.join(of, "label", "left").select("id", F.coalesce("new", "label").alias("label"))
+            labels = written(known.unionByName(found.join(labels.select("id"), "id", "left_anti")), "near-labels")
+        rest = written(contracted(rest, found), "near-rest")
+    return labels
 
 
 def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -269,7 +293,7 @@ def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
 
     A bucket of two has been compared already.
     """
-    rows = members.filter("size > 2").select("band", "id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    rows = members.filter("size > 2").select("band", "id").join(labels, "id", "left").select("band", "id", F.coalesce("label", "id").alias("component"))
     counts = rows.groupBy("band", "component").agg(F.count("*").alias("n"))
     several = counts.groupBy("band").agg(F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("k")).filter("k > 1").select("band", F.col("main.component").alias("main"))
     return rows.join(several, "band")
@@ -310,26 +334,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ends = members.join(centers, "band").filter("id <> center").select(F.least("center", "id").alias("a"), F.greatest("center", "id").alias("b"))
     pairs = written(promising(ends.distinct(), classes), "near-pairs")
     tested, edges, done, most, fine = pairs, None, None, MEMBERS_FIRST, None
-    labels = docs.sparkSession.createDataFrame([], "id long, component long")
-    more = True
+    labels, more = None, True
     while True:
         if not pairs.isEmpty():
-            found = written(confirmed(pairs, classes, docs), "near-links")
+            found = written(confirmed(pairs, classes, docs).distinct(), "near-links")
+            # What is connected within two steps is enough to leave pairs out; the rest waits for the end.
+            if edges is None and not found.isEmpty():
+                labels = written(flooded(found, 0), "near-flood")
             edges = found if edges is None else edges.unionByName(found)
-            labels = written(components(edges), "near-labels")
         if not more:
             break
+        if labels is None:
+            labels = docs.sparkSession.createDataFrame([], "id long, label long")
         if fine is None:
-            fine = written(fine_signatures(texts_of(open_members(members, labels).select("id").distinct(), classes, docs)), "near-fine")
+            ids = written(open_members(members, labels).select("id").distinct(), "near-ids")
+            fine = written(fine_signatures(texts_of(ids, ids.count(), classes, docs)), "near-fine")
         chosen, pairs = open_pairs(members, labels, classes, fine, done, most)
         pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
         more = not chosen.filter(F.col("k") > most).isEmpty()
         tested = tested.unionByName(pairs)
         chosen = chosen.filter(F.col("k") <= most).select("band", "id")
         done, most = chosen if done is None else done.unionByName(chosen), most * 8
+    if edges is not None:
+        labels = components(edges, labels)
     joined = labels.join(classes.select("id", "lo", "digest"), "id")
-    least = joined.groupBy("component").agg(F.min("lo").alias("least"))
-    linked_ones = joined.join(least, "component").select("digest", "least")
+    least = joined.groupBy("label").agg(F.min("lo").alias("least"))
+    linked_ones = joined.join(least, "label").select("digest", "least")
     of_class = classes.select("digest", "lo").join(linked_ones, "digest", "left").select("digest", F.coalesce("least", "lo").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
     component = F.coalesce(F.col("component_id"), F.col("doc_id"))
