@@ -142,3 +142,13 @@ def test_records(spark):
     assert [r.wait_seconds for r in records.queue_positions(waits).orderBy("position").collect()] == [0, 0, 300, 300, 600, 600]
     guess = spark.range(1).select(records.token_estimate(F.lit(5000.0), F.lit(20_000)).alias("a"), records.token_estimate(F.lit(100.0), F.lit(10)).alias("b")).first()
     assert (guess.a, guess.b) == (10000, 1000)
+
+
+def test_hints_and_priorities(spark):
+    rows = spark.createDataFrame([("python", "os.system(x); cursor.execute(query)"), ("java", "statement"), ("javascript", "e.innerHTML = eval(x)"), ("go", "eval")], "language string, code string")
+    got = {r.language: r.h for r in rows.select("language", detection.hints(F.col("code"), F.col("language")).alias("h")).collect()}
+    assert got == {"python": ["检查命令注入漏洞", "检查SQL注入漏洞", "检查代码注入漏洞"], "java": [], "javascript": ["检查代码注入漏洞", "检查XSS漏洞"], "go": []}
+    files = spark.createDataFrame([("api/user_test.py", "python"), ("x/readme.md", "x"), ("a.json", "json")], "path string, language string")
+    name = F.element_at(F.split("path", "/"), -1)
+    got = [(r.p, r.s) for r in files.select("path", detection.priority(F.col("path"), F.col("language")).alias("p"), detection.skip_reason(name, F.lit(10)).alias("s")).collect()]
+    assert got == [(13, "test"), (0, "documentation"), (0, "config")]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veritide.functions.patterns import any_of
+from veritide.functions.patterns import any_of, name_of, suffix_of
 
 # Families of patterns with their severities.
 FAMILIES = {
@@ -60,25 +60,45 @@ def business_logic(files: DataFrame, key: str = "path", content: str = "content"
     return files.select(key, F.explode(F.array_compact(groups)).alias("type"))
 
 
+# Names, folders and languages that make a file urgent, and suffixes that don't need a look.
+URGENT_NAMES = ["auth", "login", "admin", "user", "security", "api", "controller"]
+URGENT_PATHS = ["api", "controller", "service", "handler"]
+URGENT_LANGUAGES = ["python", "java", "php", "javascript"]
+CONFIG_SUFFIXES = [".json", ".xml", ".yaml", ".yml", ".ini", ".cfg"]
+DOCUMENT_SUFFIXES = [".md", ".txt", ".rst", ".doc"]
+# Words of a language's code, any or all of them, and the hints they give.
+HINTS = {
+    "python": [(["subprocess"], ["os.system"], "检查命令注入漏洞"), (["execute", "sql"], ["execute", "query"], "检查SQL注入漏洞"), (["pickle"], ["pickle"], "检查反序列化漏洞"), (["eval"], ["exec"], "检查代码注入漏洞")],
+    "java": [(["runtime"], ["processbuilder"], "检查命令注入漏洞"), (["statement", "execute"], ["statement", "execute"], "检查SQL注入漏洞"), (["request.getparameter"], ["request.getparameter"], "检查输入验证")],
+    "javascript": [(["eval"], ["eval"], "检查代码注入漏洞"), (["innerhtml"], ["innerhtml"], "检查XSS漏洞"), (["document.write"], ["document.write"], "检查XSS漏洞")],
+}
+
+
 def skip_reason(name: Column, size: Column) -> Column:
     """Why a file isn't worth a look: too large, a test, configuration, documentation; null if it is."""
-    low = F.lower(name)
+    low, suffix = F.lower(name), suffix_of(name)
     return (
         F.when(size > 1024 * 1024, "too_large").when(any_of([low.contains(w) for w in ("test", "spec", "mock")]), "test")
-        .when(low.rlike(r"\.(json|yaml|yml|toml|ini|cfg|conf)$"), "config").when(low.rlike(r"\.(md|txt|rst|doc|docx)$"), "documentation")
+        .when(suffix.isin(CONFIG_SUFFIXES), "config").when(suffix.isin(DOCUMENT_SUFFIXES), "documentation")
     )
 
 
 def priority(path: Column, language: Column) -> Column:
-    """+10 for a telling name, +5 for a telling folder, +3 for a risky language, -5 for tests."""
-    low, name = F.lower(path), F.lower(F.element_at(F.split(path, "/"), -1))
+    """+10 for a telling name, +5 for a telling path, +3 for a risky language, -5 for tests."""
+    low, name = F.lower(path), F.lower(name_of(path))
     has = lambda c, words: any_of([c.contains(w) for w in words])
     return (
-        F.when(has(name, ["auth", "login", "password", "security", "admin", "user", "payment"]), 10).otherwise(0)
-        + F.when(has(low, ["controller", "service", "api", "route", "handler"]), 5).otherwise(0)
-        + F.when(language.isin("php", "python", "java", "javascript"), 3).otherwise(0)
-        - F.when(has(low, ["test", "spec"]), 5).otherwise(0)
-    )
+        F.when(has(name, URGENT_NAMES), 10).otherwise(0) + F.when(has(low, URGENT_PATHS), 5).otherwise(0)
+        + F.when(F.lower(language).isin(URGENT_LANGUAGES), 3).otherwise(0) - F.when(has(name, ["test", "spec"]), 5).otherwise(0)
+    )
+
+
+def hints(code: Column, language: Column) -> Column:
+    """What a model should look for, by language, in the order above."""
+    low = F.lower(code)
+    every = lambda words: any_of([~low.contains(w) for w in words]) == F.lit(False)
+    cases = [F.when((F.lower(language) == lang) & (every(first) | every(second)), F.lit(hint)) for lang, some in HINTS.items() for first, second, hint in some]
+    return F.array_compact(F.array(*cases))
 
 
 def definitions(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:

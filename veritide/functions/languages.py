@@ -118,7 +118,7 @@ def layer(path: Column) -> Column:
 
 
 def is_frontend(path: Column, language: Column) -> Column:
-    return path.rlike(r"(?i)\.(html?|jsx?|tsx?|vue|css|scss|less)$") | F.coalesce(F.lower(language).isin("html", "javascript", "typescript", "css", "vue"), F.lit(False))
+    return path.rlike(r"(?i)\.(html?|jsx?|tsx?|vue|css|scss|less)$") | F.coalesce(F.lower(language).isin("html", "javascript", "typescript", "css"), F.lit(False))
 
 
 def file_name(path: Column) -> Column:

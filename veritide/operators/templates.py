@@ -2,25 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritide.operators.analysis import template_problems, template_variables
 
 TEMPLATE = "name string, type string, version int, text string, variables array<string>"
-# Weakness numbers that lists of standards name.
+# Categories of standards and the weakness numbers in them.
 STANDARDS = {
-    "owasp_top_10_2021": ["CWE-22", "CWE-79", "CWE-89", "CWE-287", "CWE-311", "CWE-327", "CWE-352", "CWE-502", "CWE-611", "CWE-798", "CWE-918"],
-    "cwe_top_25": ["CWE-20", "CWE-22", "CWE-78", "CWE-79", "CWE-89", "CWE-94", "CWE-125", "CWE-190", "CWE-287", "CWE-352", "CWE-416", "CWE-434", "CWE-476", "CWE-502", "CWE-787", "CWE-798", "CWE-862", "CWE-918"],
-    "pci_dss": ["CWE-79", "CWE-89", "CWE-311", "CWE-327", "CWE-352", "CWE-798"],
-    "gdpr": ["CWE-200", "CWE-311", "CWE-359", "CWE-532"],
-}
-# Words in code and what they hint at.
-HINTS = {"eval(": "code injection", "exec(": "code injection", "pickle": "deserialization", "innerHTML": "cross-site scripting", "SELECT ": "sql injection", "os.system": "command injection", "subprocess": "command injection", "password": "credentials", "md5": "weak hash"}
+    "OWASP": {
+        "A01_Broken_Access_Control": ["CWE-22", "CWE-284", "CWE-862"], "A02_Cryptographic_Failures": ["CWE-327", "CWE-328", "CWE-329"], "A03_Injection": ["CWE-79", "CWE-89", "CWE-78"],
+        "A04_Insecure_Design": ["CWE-209", "CWE-256", "CWE-501"], "A05_Security_Misconfiguration": ["CWE-16", "CWE-2", "CWE-11"], "A06_Vulnerable_Components": ["CWE-1104", "CWE-937"],
+        "A07_Auth_Failures": ["CWE-287", "CWE-384", "CWE-613"], "A08_Integrity_Failures": ["CWE-502", "CWE-829"], "A09_Logging_Failures": ["CWE-778", "CWE-117"], "A10_SSRF": ["CWE-918"],
+    },
+    "CWE-25": {
+        "Input_Validation": ["CWE-20", "CWE-79", "CWE-89"], "Memory_Safety": ["CWE-125", "CWE-787", "CWE-476"], "Access_Control": ["CWE-862", "CWE-863", "CWE-269"],
+        "Path_Traversal": ["CWE-22", "CWE-434"], "Command_Injection": ["CWE-78", "CWE-77"], "Cryptographic": ["CWE-327", "CWE-330"],
+    },
+    "PCI": {"Data_Protection": ["CWE-311", "CWE-312", "CWE-319"], "Access_Control": ["CWE-284", "CWE-862", "CWE-863"], "Encryption": ["CWE-327", "CWE-328", "CWE-329"], "Logging": ["CWE-778", "CWE-117", "CWE-532"]},
+    "GDPR": {"Data_Exposure": ["CWE-200", "CWE-209", "CWE-532"], "Access_Control": ["CWE-284", "CWE-862"], "Data_Integrity": ["CWE-345", "CWE-353"], "Privacy_Controls": ["CWE-359", "CWE-201"]},
+}
 
 
 def standards(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(s, c) for s, some in STANDARDS.items() for c in some], "standard string, cwe string")
+    rows = [(s, k, c) for s, categories in STANDARDS.items() for k, some in categories.items() for c in some]
+    return spark.createDataFrame(rows, "standard string, category string, cwe string")
 
 
 def by_standard(findings: DataFrame) -> DataFrame:
@@ -52,7 +58,3 @@ def added(templates: DataFrame, more: DataFrame) -> DataFrame:
 def removed(templates: DataFrame, names: list[str]) -> DataFrame:
     return templates.filter(~F.col("name").isin(names)) if names else templates
 
-
-def hints(code: Column) -> Column:
-    """What words in code hint at, each once, in the order above."""
-    return F.array_distinct(F.array_compact(F.array(*(F.when(code.contains(w), F.lit(h)) for w, h in HINTS.items()))))

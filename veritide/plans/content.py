@@ -266,7 +266,7 @@ def keyword_context(t: Tables) -> DataFrame:
 
 
 @query(f"""
-SELECT page_id, (CASE WHEN regexp_matches(lower(regexp_extract({PATH}, '[^/]*$')), 'auth|login|password|security|admin|user|payment') THEN 10 ELSE 0 END + CASE WHEN regexp_matches(lower({PATH}), 'controller|service|api|route|handler') THEN 5 ELSE 0 END - CASE WHEN regexp_matches(lower({PATH}), 'test|spec') THEN 5 ELSE 0 END)::INT AS priority,
+SELECT page_id, (CASE WHEN regexp_matches(lower(regexp_extract({PATH}, '[^/]*$')), 'auth|login|admin|user|security|api|controller') THEN 10 ELSE 0 END + CASE WHEN regexp_matches(lower({PATH}), 'api|controller|service|handler') THEN 5 ELSE 0 END - CASE WHEN regexp_matches(lower(regexp_extract({PATH}, '[^/]*$')), 'test|spec') THEN 5 ELSE 0 END)::INT AS priority,
  CASE WHEN length(html) > 1048576 THEN 'too_large' WHEN regexp_matches(lower(regexp_extract({PATH}, '[^/]*$')), 'test|spec|mock') THEN 'test' END AS skip_reason FROM pages""")
 def file_priority(t: Tables) -> DataFrame:
     rows = sources.described(t.pages_with_path())

@@ -12,7 +12,7 @@ from veritide.functions.patterns import any_of, ignored_by_globs, matches_globs,
 
 # What scans leave out, and names of source files without an extension.
 IGNORED = [".git", ".svn", ".hg", "__pycache__", "node_modules", "target", "build", "dist", ".pytest_cache", ".mypy_cache", ".coverage", "*.pyc", "*.pyo", "*.pyd", "*.so", "*.dll", "*.dylib", "*.log", "*.tmp", "*.temp"]
-BARE_NAMES = ["Makefile", "Dockerfile", "Jenkinsfile", "Vagrantfile", "Rakefile", "Gemfile", "Procfile"]
+BARE_NAMES = ["Makefile", "makefile", "Dockerfile", "dockerfile", "Jenkinsfile", "Vagrantfile", "Rakefile"]
 
 
 @dataclass(frozen=True)
