@@ -152,3 +152,11 @@ def test_hints_and_priorities(spark):
     name = F.element_at(F.split("path", "/"), -1)
     got = [(r.p, r.s) for r in files.select("path", detection.priority(F.col("path"), F.col("language")).alias("p"), detection.skip_reason(name, F.lit(10)).alias("s")).collect()]
     assert got == [(13, "test"), (0, "documentation"), (0, "config")]
+
+
+def test_relevant_code(spark):
+    lines = [f"x{i} = 1" for i in range(60)]
+    lines[10], lines[40] = "cursor.execute(a)", "def f():"
+    row = spark.createDataFrame([("\n".join(lines),)], "c string").select(detection.relevant_code(F.col("c"), "python", 100).alias("a"), detection.optimised(F.col("c"), "python").alias("b"), detection.optimised(F.col("c"), "python", quick=True).alias("q")).first()
+    assert row.a.split("\n") == ["# ... (省略第0-7行)", *(f"{i + 1:4d}: {lines[i]}" for i in range(8, 13)), "# ... (省略第13-39行)", f"  41: {lines[40]}"]
+    assert row.b == "\n".join(lines) and row.q.startswith("\n".join(lines[:20]) + "\n\n# ... ")
