@@ -48,7 +48,7 @@ PERCENT = 85
 LEAST_MATCHES = 53
 #: A finer signature for classes in open buckets: two bits of 1024 minima; similarity 0.85 has fewer matches with odds of one in millions.
 FINE_HASHES, FINE_BITS, FINE_LEAST = 1024, 2, 858
-WORDS_KEPT = 500_000
+WORDS_KEPT = 200_000
 PAIRS_PER_PART = 500
 #: Members of a bucket outside its largest component that are compared with all of it at first; then eight times as many.
 MEMBERS_FIRST = 2_048
@@ -158,6 +158,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     yield chunk(ids, sets)
                     ids, sets, size = [], [], 0
             yield chunk(ids, sets)
+        _words.clear()  # workers are kept, and later steps need their memory
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SIGNATURE_SCHEMA)
 
@@ -219,13 +220,15 @@ def fine_signatures(texts: DataFrame) -> DataFrame:
                     yield chunk(ids, sets)
                     ids, sets, size = [], [], 0
             yield chunk(ids, sets)
+        _words.clear()  # workers are kept, and later steps need their memory
 
     return texts.mapInArrow(run, "id long, fine array<long>").dropDuplicates(["id"])
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs whose full sets are linked."""
-    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), 2 * pairs.count(), classes, docs)
+    ends = pairs.select(F.col("a").alias("id")).distinct().unionByName(pairs.select(F.col("b").alias("id")).distinct()).distinct()
+    texts = texts_of(ends, 2 * pairs.count(), classes, docs)
     parts = pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", F.expr(f"(n + {PAIRS_PER_PART - 1}) div {PAIRS_PER_PART}").alias("parts"))
     members = pairs.join(parts, "a").select("a", F.expr("pmod(xxhash64(b), parts)").alias("part"), "b").join(texts, F.col("b") == F.col("id")).select("a", "part", "b", "digest", "text")
     first = parts.select("a", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part")).join(texts, F.col("a") == F.col("id")).select("a", "part", F.lit(None).cast("long").alias("b"), "digest", "text")

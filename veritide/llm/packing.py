@@ -37,7 +37,7 @@ from veritide.llm.bpe import Vocabulary
 from veritide.llm.scratch import written
 
 END_ID = 0
-PIECES_KEPT, PIECE_LENGTH = 400_000, 48
+PIECES_KEPT, PIECE_LENGTH = 200_000, 48
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, place long"
 
 
