@@ -76,3 +76,25 @@ def test_nulls_clashes_and_nothing(spark):
             docs = written(out, "t")
         corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count()
     assert docs.agg(F.count("*")).first()[0] == 0
+
+
+def test_near_copies_from_80_percent(spark):
+    """The near-duplicate stage by brute force at 0.80; the table holds pairs between 0.80 and 0.85."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    drift = [" ".join(f"w{k}" for k in range(200))]
+    for i in range(40):  # neighbours share 81 or 85 percent and more, ends nothing
+        words = drift[-1].split()
+        at = 5 * (i % 36)
+        drift.append(" ".join([*words[:at], *(f"n{i}x{k}" for k in range(16 + 2 * (i % 4))), *words[at + 16 + 2 * (i % 4) :]]))
+    docs = docs.unionByName(spark.createDataFrame([(10_000 + k, t) for k, t in enumerate(drift)], "doc_id long, text string"))
+    rows = sorted(docs.collect())
+    sets, root = [shingles(r.text) for r in rows], list(range(len(rows)))
+    between = 0
+    for a in range(len(rows)):
+        for b in range(a):
+            both, either = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+            if both and 100 * both >= 80 * either:
+                between += 100 * both < 85 * either
+                root = [min(root[a], root[b]) if x in (root[a], root[b]) else x for x in root]
+    single = dict(corpus_pipeline.STAGES)["near duplicates"](spark, docs, DATA)
+    assert between >= 10 and {r.doc_id for r in single.collect()} == {rows[k].doc_id for k in range(len(rows)) if root[k] == k}

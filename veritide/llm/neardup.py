@@ -3,9 +3,10 @@
 A document's set holds its distinct five-word shingles (64-bit hashes of the words,
 A-Z lower-cased). Documents of equal sets form one class, so copies cost one row each.
 
-1. Each class has 80 minima. Groups of four make 20 band keys: two sets that share
-   85 of 100 shingles share a band but for one pair in millions. Of each minimum four
-   bits are kept, packed into five longs.
+1. Groups of four minima make a class's band keys, as many as it takes for two sets just
+   at the threshold to share a band but for four pairs in ten million: 20 keys of 80
+   minima at 85 percent, 28 of 112 at 80. Of each minimum four bits are kept, packed
+   into longs.
 2. In each band bucket every class is paired with the class that meets most others in
    all its buckets, most likely the text that the others are copies of. The packed bits
    give the similarity, corrected for the 1/16 of chance matches; pairs more than five
@@ -30,8 +31,10 @@ whatever their names; an empty table gives none.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import reduce
+from dataclasses import dataclass
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,13 +44,13 @@ from pyspark.sql import functions as F
 
 from veritide.llm.scratch import written
 
-SHINGLE, BANDS, ROWS, BITS = 5, 20, 4, 4
-HASHES = BANDS * ROWS
+SHINGLE, ROWS, BITS = 5, 4, 4
+#: The default threshold: shingles shared, in percent of the shingles of either.
 PERCENT = 85
-#: Matching minima of 80 that a pair needs: similarity 0.85 falls below with odds of about one in a million.
-LEAST_MATCHES = 53
-#: A finer signature for classes in open buckets: two bits of 1024 minima; similarity 0.85 has fewer matches with odds of one in millions.
-FINE_HASHES, FINE_BITS, FINE_LEAST = 1024, 2, 858
+#: A finer signature for classes in open buckets: two bits of 1024 minima.
+FINE_HASHES, FINE_BITS = 1024, 2
+#: Odds that a pair just at the threshold shares no band, or has fewer matches than the coarse or the fine filter asks for.
+BAND_ODDS, MATCH_ODDS, FINE_ODDS = 4e-7, 2.5e-6, 1e-6
 WORDS_KEPT = 200_000
 PAIRS_PER_PART = 500
 #: Members of a bucket outside its largest component that are compared with all of it at first; then eight times as many.
@@ -59,7 +62,50 @@ IDS_BROADCAST = 500_000
 _seeds = np.random.default_rng(20_240_502)
 MULTIPLIERS = _seeds.integers(1, 1 << 63, FINE_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 WEIGHTS = _seeds.integers(1, 1 << 63, max(SHINGLE, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BAND_SALTS = _seeds.integers(1, 1 << 63, BANDS, dtype=np.uint64)
+BAND_SALTS = _seeds.integers(1, 1 << 63, FINE_HASHES // ROWS, dtype=np.uint64)
+
+
+def least_matches(percent: int, hashes: int, bits: int, odds: float) -> int:
+    """As many matches as a pair at this similarity falls below with these odds at most, chance matches counted."""
+    p = percent / 100 + (1 - percent / 100) * 0.5**bits
+    below = 0.0
+    for k in range(hashes + 1):
+        below += math.comb(hashes, k) * p**k * (1 - p) ** (hashes - k)
+        if below > odds:
+            return k
+    return hashes
+
+
+@dataclass(frozen=True)
+class Threshold:
+    """What a similarity in percent asks for: bands, minima and matches."""
+
+    percent: int
+
+    def __post_init__(self):
+        if not 0 < self.percent <= 100 or self.hashes > FINE_HASHES:
+            raise ValueError(f"no bands for a similarity of {self.percent} percent")
+
+    @cached_property
+    def bands(self) -> int:
+        """A multiple of four, so that the bits fill whole longs."""
+        apart = 1 - (self.percent / 100) ** ROWS
+        return 4 * math.ceil(math.log(BAND_ODDS) / math.log(apart) / 4) if apart else 4
+
+    @property
+    def hashes(self) -> int:
+        return self.bands * ROWS
+
+    @cached_property
+    def least(self) -> int:
+        return least_matches(self.percent, self.hashes, BITS, MATCH_ODDS)
+
+    @cached_property
+    def fine_least(self) -> int:
+        return least_matches(self.percent, FINE_HASHES, FINE_BITS, FINE_ODDS)
+
+
+HASHES, LEAST_MATCHES = Threshold(PERCENT).hashes, Threshold(PERCENT).least
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -93,12 +139,12 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(mixed(out))
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    if not len(a) or not len(b) or 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
+def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
+    if not len(a) or not len(b) or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
     at = np.minimum(np.searchsorted(a, b), len(a) - 1)
     both = int((a[at] == b).sum())
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def digest(s: np.ndarray) -> bytes:
@@ -117,8 +163,8 @@ def minima(sets: list[np.ndarray], hashes: int = HASHES) -> np.ndarray:
 
 
 def band_keys(m: np.ndarray) -> np.ndarray:
-    weighted = (m.reshape(len(m), BANDS, ROWS) * WEIGHTS[:ROWS]).sum(axis=2, dtype=np.uint64)
-    return mixed(weighted + BAND_SALTS).view(np.int64)
+    weighted = (m.reshape(len(m), -1, ROWS) * WEIGHTS[:ROWS]).sum(axis=2, dtype=np.uint64)
+    return mixed(weighted + BAND_SALTS[: weighted.shape[1]]).view(np.int64)
 
 
 def packed_bits(m: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -131,7 +177,7 @@ def packed_bits(m: np.ndarray, bits: int = BITS) -> np.ndarray:
 SIGNATURE_SCHEMA = "doc_id long, n_shingles long, digest binary, bands array<long>, bits array<long>"
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
     """Set size, digest, band keys and packed low bits of the minima, for each row."""
 
     def chunk(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
@@ -139,7 +185,7 @@ def signatures(docs: DataFrame) -> DataFrame:
         bands: list = [None] * len(sets)
         bits: list = [None] * len(sets)
         if full:
-            m = minima([sets[i] for i in full])
+            m = minima([sets[i] for i in full], hashes)
             for i, x, y in zip(full, band_keys(m), packed_bits(m)):
                 bands[i], bits[i] = x, y
         longs = pa.list_(pa.int64())
@@ -163,7 +209,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SIGNATURE_SCHEMA)
 
 
-def matches(a: str, b: str, hashes: int = HASHES, bits: int = BITS) -> Column:
+def matches(a: str, b: str, hashes: int, bits: int = BITS) -> Column:
     """How many of the packed minima agree in all their bits."""
     lowest = sum(1 << k for k in range(0, 63, bits))
 
@@ -178,18 +224,18 @@ def matches(a: str, b: str, hashes: int = HASHES, bits: int = BITS) -> Column:
 def similarity(a: str, b: str) -> Column:
     """Jaccard similarity as the packed bits tell it, chance matches taken out."""
     chance = 0.5**BITS
-    return (matches(a, b) / HASHES - chance) / (1 - chance)
+    return (matches(a, b, HASHES) / HASHES - chance) / (1 - chance)
 
 
-def sizes_fit(a: str, b: str) -> Column:
-    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+def sizes_fit(a: str, b: str, percent: int) -> Column:
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def promising(pairs: DataFrame, classes: DataFrame, at: Threshold) -> DataFrame:
     """Pairs (a, b) of class ids that bit counts and set sizes allow."""
     side = lambda x: classes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.filter(sizes_fit("n_a", "n_b") & (matches("bits_a", "bits_b") >= LEAST_MATCHES)).select("a", "b")
+    return both.filter(sizes_fit("n_a", "n_b", at.percent) & (matches("bits_a", "bits_b", at.hashes) >= at.least)).select("a", "b")
 
 
 def texts_of(ids: DataFrame, most: int, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -225,7 +271,7 @@ def fine_signatures(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "id long, fine array<long>").dropDuplicates(["id"])
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are linked."""
     ends = pairs.select(F.col("a").alias("id")).distinct().unionByName(pairs.select(F.col("b").alias("id")).distinct()).distinct()
     texts = texts_of(ends, 2 * pairs.count(), classes, docs)
@@ -244,7 +290,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
                     continue  # another text under the same doc_id
                 if b is None:
                     at, own = (a, part), s
-                elif at == (a, part) and (a, b) != last and linked(own, s):
+                elif at == (a, part) and (a, b) != last and linked(own, s, percent):
                     last = (a, b)
                     found.append(last)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found) if found else ((), ()))], ["a", "b"])
@@ -302,7 +348,7 @@ def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(several, "band")
 
 
-def open_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, fine: DataFrame, done: DataFrame | None, most: int) -> tuple[DataFrame, DataFrame]:
+def open_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, fine: DataFrame, done: DataFrame | None, most: int, at: Threshold) -> tuple[DataFrame, DataFrame]:
     """The next members to compare with their whole bucket, and what of that is promising.
 
     Bit counts and sizes are part of the join's condition, coarse ones first, and a pair
@@ -318,15 +364,16 @@ def open_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, fine:
     left, right = (x.select(F.col("band").alias(f"band_{side}"), *(F.col(c).alias(f"{c}_{side}") for c in ("id", "component", "n", "bits", "fine", "bands"))) for x, side in ((first, "a"), (rows, "b")))
     shared = F.zip_with("bands_a", "bands_b", lambda x, y: x == y)
     first_shared = F.get("bands_a", (F.array_position(shared, True) - 1).cast("int")) == F.col("band_a")
-    fits = (F.col("component_a") != F.col("component_b")) & sizes_fit("n_a", "n_b") & (matches("bits_a", "bits_b") >= LEAST_MATCHES)
-    fits = fits & (matches("fine_a", "fine_b", FINE_HASHES, FINE_BITS) >= FINE_LEAST) & first_shared
+    fits = (F.col("component_a") != F.col("component_b")) & sizes_fit("n_a", "n_b", at.percent) & (matches("bits_a", "bits_b", at.hashes) >= at.least)
+    fits = fits & (matches("fine_a", "fine_b", FINE_HASHES, FINE_BITS) >= at.fine_least) & first_shared
     pairs = left.join(right, (F.col("band_a") == F.col("band_b")) & fits)
     return chosen, pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row."""
-    signed = written(signatures(docs), "near-signatures")
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row; texts link at this similarity or more."""
+    at = Threshold(percent)
+    signed = written(signatures(docs, at.hashes), "near-signatures")
     classes = signed.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("lo"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
     classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "near-classes")
     keys = classes.select("id", F.explode("bands").alias("band"))
@@ -335,12 +382,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     degree = members.groupBy("id").agg(F.sum("size").alias("degree"))
     centers = members.join(degree, "id").groupBy("band").agg(F.max(F.struct("degree", "id"))["id"].alias("center"))
     ends = members.join(centers, "band").filter("id <> center").select(F.least("center", "id").alias("a"), F.greatest("center", "id").alias("b"))
-    pairs = written(promising(ends.distinct(), classes), "near-pairs")
+    pairs = written(promising(ends.distinct(), classes, at), "near-pairs")
     tested, edges, done, most, fine = pairs, None, None, MEMBERS_FIRST, None
     labels, more = None, True
     while True:
         if not pairs.isEmpty():
-            found = written(confirmed(pairs, classes, docs).distinct(), "near-links")
+            found = written(confirmed(pairs, classes, docs, percent).distinct(), "near-links")
             # What is connected within two steps is enough to leave pairs out; the rest waits for the end.
             if edges is None and not found.isEmpty():
                 labels = written(flooded(found, 0), "near-flood")
@@ -352,7 +399,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if fine is None:
             ids = written(open_members(members, labels).select("id").distinct(), "near-ids")
             fine = written(fine_signatures(texts_of(ids, ids.count(), classes, docs)), "near-fine")
-        chosen, pairs = open_pairs(members, labels, classes, fine, done, most)
+        chosen, pairs = open_pairs(members, labels, classes, fine, done, most, at)
         pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
         more = not chosen.filter(F.col("k") > most).isEmpty()
         tested = tested.unionByName(pairs)
