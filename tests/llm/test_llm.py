@@ -283,6 +283,16 @@ def test_media(spark, monkeypatch):
     assert media.media_columns(empty(spark)).count() == 0
 
 
+def test_media_shared_with_a_null_id(spark):
+    """A passage shared by two texts, one of them without an id, in both orders of their digests."""
+    draw = random.Random(6)
+    passage, heads = "".join(draw.choice("abcdefgh \n") for _ in range(40_000)), ["first ", "second one "]
+    for ids in ((1, None), (None, 1)):
+        rows = [(i, head + passage) for i, head in zip(ids, heads)]
+        got = {(r.doc_id, r.payload_sha256) for r in media.media_columns(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {(i, hashlib.sha256(media.payload_of(t)).hexdigest()) for i, t in rows}
+
+
 # HTML
 
 

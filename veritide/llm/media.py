@@ -7,7 +7,8 @@ different files give equal chunks; the header is a chunk of its own.
 1. One pass notes each row's file digest and the digests of its chunks, no bytes.
 2. Joins of digests find one owner of each chunk: the first position in the first file
    that has it. Files that equal another's are stored once; chunks below the least
-   size, such as headers, stay with their files.
+   size, such as headers, stay with their files, and so do all chunks of files whose
+   rows have no id.
 3. A second pass writes the store: per file its ordered chunk list, with bytes of the
    chunks it owns. Rows that own nothing special need no join; a list of the others is
    broadcast while it is short and joined by a shuffle beyond that.
@@ -121,7 +122,8 @@ def special_rows(index: DataFrame) -> DataFrame:
     """Per doc_id what isn't plain: [(file, not stored here, positions owned elsewhere, positions others need)]."""
     files = index.groupBy("media").agg(F.min("doc_id").alias("home"), F.count("*").alias("n"), F.first("digests").alias("digests"))
     files = written(files, "media-files")
-    places = files.select("media", F.posexplode("digests").alias("pos", "digest")).filter("digest is not null")
+    # Notes reach a row by its id, so files without one keep all their chunks and give none.
+    places = files.filter("home is not null").select("media", F.posexplode("digests").alias("pos", "digest")).filter("digest is not null")
     owners = places.groupBy("digest").agg(F.min(F.struct("media", "pos")).alias("owner"), F.count("*").alias("n")).filter("n > 1").select("digest", "owner")
     shared = places.join(owners, "digest").select("media", "pos", (F.struct("media", "pos") == F.col("owner")).alias("owns"))
     at = lambda c: F.sort_array(F.collect_list(F.when(c, F.col("pos"))))
@@ -207,7 +209,7 @@ def features(stored: DataFrame) -> DataFrame:
     partial = stored.filter(lacking).dropDuplicates(["media"])
     wanted = partial.select("media", F.posexplode("chunks").alias("pos", "c")).filter("c.data is null").select("media", "pos", F.col("c.digest").alias("digest"))
     got = wanted.join(given, "digest").groupBy("media").agg(F.map_from_entries(F.collect_list(F.struct("pos", "data"))).alias("got"))
-    filled = partial.join(got, "media").select("media", F.transform("chunks", lambda c, i: F.struct(c["digest"].alias("digest"), F.coalesce(c["data"], F.col("got")[i]).alias("data"))).alias("chunks"))
+    filled = partial.join(got, "media", "left").select("media", F.transform("chunks", lambda c, i: F.struct(c["digest"].alias("digest"), F.coalesce(c["data"], F.col("got")[i]).alias("data"))).alias("chunks"))
     return rebuilt(stored.filter(~lacking)).unionByName(rebuilt(filled)).dropDuplicates(["media"])
 
 
