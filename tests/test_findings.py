@@ -97,6 +97,14 @@ def test_related_files(spark):
     assert {(r.related, r.relation) for r in findings.related_files(some, rows).collect()} >= {("config.php", "config"), ("src/b.php", "callee")}
 
 
+def test_parent_controllers(spark):
+    paths = ["web/api/Upload/form.php", "web/api/Upload/FormController.php", "web/api/other/OtherController.php", "web/aController.php", "MainController.java", "web/plain.php"]
+    files = spark.createDataFrame([(p, "", 1) for p in paths], "path string, content string, size long")
+    some = spark.createDataFrame([(paths[0], "XSS"), ("web/plain.php", "XSS"), ("rootfile.php", "XSS")], "path string, type string")
+    got = {(r.path, r.related, r.place) for r in findings.related_files(some, files).collect() if r.relation == "parent"}
+    assert got == {(paths[0], paths[1], 1), (paths[0], paths[3], 2), ("rootfile.php", "MainController.java", 1)}
+
+
 def test_adjustment(spark):
     rows = spark.createDataFrame([("a", "x", 0.5), ("b", "x", 0.995), ("c", "x", 0.5)], "path string, type string, confidence double")
     related = spark.createDataFrame([("a", "x", "x", ""), ("a", "x", "y", "有验证"), ("b", "x", "x", ""), ("c", "x", "y", "z")], "path string, type string, found_type string, found_description string")

@@ -74,6 +74,16 @@ def reference_edges(files: DataFrame, patterns: list[str], relation: str) -> Dat
     return hits.select("path", "related", F.lit(relation).alias("relation"), F.col("at.at").alias("at"))
 
 
+def parent_edges(paths: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, related, relation) of paths that name an upload or a file: controllers in any folder above, nearest first."""
+    folder = F.regexp_extract("path", "^(.*/)?[^/]*$", 1)
+    named = paths.filter(F.lower("path").rlike("upload|file")).select("path", F.split(folder, "/").alias("parts"))
+    depths = F.sequence(F.size("parts") - 1, F.lit(0), F.lit(-1))
+    above = named.select("path", F.posexplode(F.transform(depths, lambda n: F.array_join(F.transform(F.slice("parts", F.lit(1), n), lambda x: F.concat(x, F.lit("/"))), ""))).alias("at", "folder"))
+    controllers = files.filter(name_of(F.col("path")).contains("Controller")).select(F.col("path").alias("related"), folder.alias("folder"))
+    return above.join(controllers, "folder").select("path", "related", F.lit("parent").alias("relation"), "at")
+
+
 def related_files(findings: DataFrame, files: DataFrame) -> DataFrame:
     """Up to five related files of each finding (path, type): callers, callees, configuration, templates, controllers."""
     keys = findings.select("path", "type").distinct()
@@ -81,11 +91,12 @@ def related_files(findings: DataFrame, files: DataFrame) -> DataFrame:
     callees = reference_edges(files, REFERENCES, "callee")
     templates = reference_edges(files, TEMPLATES, "template")
     configs = F.broadcast(files.filter(name_of(F.col("path")).isin(CONFIGS)).orderBy("path").limit(2).select(F.col("path").alias("related")))
-    cap = {"caller": 3, "callee": 3, "config": 2, "template": 2}
+    cap = {"caller": 3, "callee": 3, "config": 2, "template": 2, "parent": 2}
     rank = F.create_map(*(F.lit(x) for i, r in enumerate(cap) for x in (r, i)))
     of_path = keys.join(calls.unionByName(callees), "path").unionByName(keys.filter(F.col("type").contains("XSS")).join(templates, "path"))
     with_config = keys.filter(F.col("type").rlike("路径遍历|文件上传")).join(configs).select("path", "type", "related", F.lit("config").alias("relation"), F.lit(0).alias("at"))
-    rows = of_path.unionByName(with_config).withColumn("rank", rank[F.col("relation")])
+    parents = keys.join(parent_edges(keys.select("path").distinct(), files), "path")
+    rows = of_path.unionByName(with_config).unionByName(parents).withColumn("rank", rank[F.col("relation")])
     nth = F.row_number().over(Window.partitionBy("path", "type", "relation").orderBy("at", "related"))
     most = F.create_map(*(F.lit(x) for kv in cap.items() for x in kv))[F.col("relation")]
     rows = rows.withColumn("n", nth).filter(F.col("n") <= most)
