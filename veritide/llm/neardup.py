@@ -1,32 +1,41 @@
 """Near-duplicate components by b-bit MinHash, confirmed on full shingle sets.
 
 A document's set holds its distinct five-word shingles (64-bit hashes of the words,
-A-Z lower-cased). Documents of equal sets form one class, so copies cost one row each.
+A-Z lower-cased). Rows get numbers of their own in a written table; rows of equal sets
+form one class, named by its smallest row number, so copies cost one row each.
 
 1. Groups of four minima make a class's band keys, as many as it takes for two sets just
    at the threshold to share a band but for four pairs in ten million: 20 keys of 80
    minima at 85 percent, 28 of 112 at 80. Of each minimum four bits are kept, packed
-   into longs.
-2. In each band bucket every class is paired with the class that meets most others in
-   all its buckets, most likely the text that the others are copies of. The packed bits
-   give the similarity, corrected for the 1/16 of chance matches; pairs more than five
-   standard errors below the threshold go, as do pairs whose set sizes alone rule a link
-   out.
-3. What remains is confirmed on full sets. Texts meet by the pair's first class, split
-   into parts of bounded size where one class has many pairs, and are compared one by
-   one against it, so a task holds two sets at a time.
-4. Still open are pairs of classes in one bucket that aren't connected yet. Members
-   outside the bucket's largest component are compared with the whole bucket, in rounds
-   if they are many, until each has been. Finer signatures rule out most of these pairs
-   inside the join; no pair that could be a link is dropped.
+   into longs. They give a pair's similarity, corrected for the 1/16 of chance matches;
+   pairs more than five standard errors below the threshold go, as do pairs whose set
+   sizes alone rule a link out.
+2. Buckets of at most ``SMALL`` classes give all their pairs that bit counts allow, so a
+   class meets a bounded number of others there. In larger buckets each class meets
+   ``DRAWN`` classes drawn from each of its buckets, and is paired with the two that
+   match best. So a large group becomes one component, or nearly one, by a number of
+   pairs that grows with its size and not with its square.
+3. Pairs wait in a queue. In the first round a class's best pair is confirmed on full
+   sets, labels are passed on, and pairs whose ends are known to be connected by then
+   leave the queue unread. In the second round the others are confirmed.
+4. What is still outside the largest component of a large bucket must be compared with
+   all of its bucket, or a link could be lost. That is done in blocks: some of the
+   outsiders at a time, copied to parts of the bucket that hold ``PART`` classes each,
+   with finer signatures as part of the join's condition; components are made anew after
+   each turn. Buckets where that would take more than ``SPLIT_ABOVE`` comparisons are
+   first split by bands of many more minima, which texts that share a passage only don't
+   meet in. Only groups of texts that are all similar but nowhere by enough are compared
+   pair by pair.
 5. Links make components by flooding labels two steps and contracting, in a new order
    each turn, until no edge is left.
 
 Defined results: null, empty and blank texts have empty sets, link with nothing and
 are their own components; fewer than five words are one shingle; rows with one id that
 repeats are judged by their texts, and the component's id is the smallest id in it;
-null ids count as no id; texts may be of any length; other columns are left out,
-whatever their names; an empty table gives none.
+rows without an id link like others and have no say in the component's id, which is
+null if no row in it has one; texts may be of any length; other columns are left out,
+whatever their names; an empty table gives none. ``keep_one`` keeps exactly one row of
+each component: the one with the smallest id, or any one where none has an id.
 """
 
 from __future__ import annotations
@@ -42,7 +51,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veritide.llm.scratch import written
+from veritide.llm.scratch import counted, written
 
 SHINGLE, ROWS, BITS = 5, 4, 4
 #: The default threshold: shingles shared, in percent of the shingles of either.
@@ -52,17 +61,25 @@ FINE_HASHES, FINE_BITS = 1024, 2
 #: Odds that a pair just at the threshold shares no band, or has fewer matches than the coarse or the fine filter asks for.
 BAND_ODDS, MATCH_ODDS, FINE_ODDS = 4e-7, 2.5e-6, 1e-6
 WORDS_KEPT = 200_000
-PAIRS_PER_PART = 500
-#: Members of a bucket outside its largest component that are compared with all of it at first; then eight times as many.
-MEMBERS_FIRST = 2_048
+#: Buckets of at most so many classes give all their pairs.
+SMALL = 64
+#: Classes drawn from each larger bucket, which all its members meet.
+DRAWN = 4
+#: Outsiders of a bucket that are compared with all of it at first; then eight times as many.
+MEMBERS_FIRST = 256
+#: Classes of a bucket in one part of a comparison in blocks.
+PART = 2_048
+#: Buckets that would take more comparisons are split by finer bands.
+SPLIT_ABOVE = 20_000_000
 SHINGLES_AT_ONCE = 400_000
-#: A list of ids may be broadcast up to this count (under 40 MB); beyond it, it is joined by a shuffle.
+#: A table of a few numbers a row may be broadcast up to this count (under 40 MB); beyond it, it is joined by a shuffle.
 IDS_BROADCAST = 500_000
+SETS_KEPT = 64
 
 _seeds = np.random.default_rng(20_240_502)
 MULTIPLIERS = _seeds.integers(1, 1 << 63, FINE_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-WEIGHTS = _seeds.integers(1, 1 << 63, max(SHINGLE, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BAND_SALTS = _seeds.integers(1, 1 << 63, FINE_HASHES // ROWS, dtype=np.uint64)
+WEIGHTS = _seeds.integers(1, 1 << 63, FINE_HASHES // 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BAND_SALTS = _seeds.integers(1, 1 << 63, FINE_HASHES, dtype=np.uint64)
 
 
 def least_matches(percent: int, hashes: int, bits: int, odds: float) -> int:
@@ -104,6 +121,12 @@ class Threshold:
     def fine_least(self) -> int:
         return least_matches(self.percent, FINE_HASHES, FINE_BITS, FINE_ODDS)
 
+    @cached_property
+    def fine_rows(self) -> int:
+        """As many minima to a finer band as the odds of sharing none allow."""
+        missed = lambda rows: (1 - (self.percent / 100) ** rows) ** (FINE_HASHES // rows)
+        return max((rows for rows in range(1, FINE_HASHES // 4) if missed(rows) <= BAND_ODDS), default=1)
+
 
 HASHES, LEAST_MATCHES = Threshold(PERCENT).hashes, Threshold(PERCENT).least
 
@@ -162,8 +185,10 @@ def minima(sets: list[np.ndarray], hashes: int = HASHES) -> np.ndarray:
     return out
 
 
-def band_keys(m: np.ndarray) -> np.ndarray:
-    weighted = (m.reshape(len(m), -1, ROWS) * WEIGHTS[:ROWS]).sum(axis=2, dtype=np.uint64)
+def band_keys(m: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    """A key for each group of so many minima; what is left over is in no band."""
+    m = m[:, : m.shape[1] // rows * rows]
+    weighted = (m.reshape(len(m), -1, rows) * WEIGHTS[:rows]).sum(axis=2, dtype=np.uint64)
     return mixed(weighted + BAND_SALTS[: weighted.shape[1]]).view(np.int64)
 
 
@@ -174,13 +199,18 @@ def packed_bits(m: np.ndarray, bits: int = BITS) -> np.ndarray:
     return (low << (np.arange(each, dtype=np.uint64) * np.uint64(bits))).sum(axis=2, dtype=np.uint64).view(np.int64)
 
 
-SIGNATURE_SCHEMA = "doc_id long, n_shingles long, digest binary, bands array<long>, bits array<long>"
+SIGNATURE_SCHEMA = "rid long, doc_id long, n_shingles long, digest binary, bands array<long>, bits array<long>"
+
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """(rid, row): the rows in a table of their own, each with a number that stays."""
+    return written(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")), "near-rows")
 
-def signatures(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
+
+def signatures(rows: DataFrame, hashes: int = HASHES) -> DataFrame:
     """Set size, digest, band keys and packed low bits of the minima, for each row."""
 
-    def chunk(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
+    def chunk(numbers: list, ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
         full = [i for i, s in enumerate(sets) if len(s)]
         bands: list = [None] * len(sets)
         bits: list = [None] * len(sets)
@@ -189,24 +219,25 @@ def signatures(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
             for i, x, y in zip(full, band_keys(m), packed_bits(m)):
                 bands[i], bits[i] = x, y
         longs = pa.list_(pa.int64())
-        columns = [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.binary()), pa.array(bands, longs), pa.array(bits, longs)]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "bands", "bits"])
+        columns = [pa.array(numbers, pa.int64()), pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.binary()), pa.array(bands, longs), pa.array(bits, longs)]
+        return pa.RecordBatch.from_arrays(columns, ["rid", "doc_id", "n_shingles", "digest", "bands", "bits"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sets, size = [], [], 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            numbers, ids, sets, size = [], [], [], 0
+            for rid, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 s = shingle_set(text.as_py())
+                numbers.append(rid)
                 ids.append(doc_id)
                 sets.append(s)
                 size += len(s)
                 if size >= SHINGLES_AT_ONCE:
-                    yield chunk(ids, sets)
-                    ids, sets, size = [], [], 0
-            yield chunk(ids, sets)
+                    yield chunk(numbers, ids, sets)
+                    numbers, ids, sets, size = [], [], [], 0
+            yield chunk(numbers, ids, sets)
         _words.clear()  # workers are kept, and later steps need their memory
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SIGNATURE_SCHEMA)
+    return rows.select("rid", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text")).mapInArrow(run, SIGNATURE_SCHEMA)
 
 
 def matches(a: str, b: str, hashes: int, bits: int = BITS) -> Column:
@@ -221,196 +252,291 @@ def matches(a: str, b: str, hashes: int, bits: int = BITS) -> Column:
     return F.lit(hashes) - reduce(Column.__add__, [differing(k) for k in range(hashes * bits // 64)])
 
 
-def similarity(a: str, b: str) -> Column:
-    """Jaccard similarity as the packed bits tell it, chance matches taken out."""
-    chance = 0.5**BITS
-    return (matches(a, b, HASHES) / HASHES - chance) / (1 - chance)
-
-
 def sizes_fit(a: str, b: str, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def promising(pairs: DataFrame, classes: DataFrame, at: Threshold) -> DataFrame:
-    """Pairs (a, b) of class ids that bit counts and set sizes allow."""
+@dataclass(frozen=True)
+class Table:
+    """A written table and its number of rows."""
+
+    frame: DataFrame
+    rows: int
+
+    @property
+    def light(self) -> DataFrame:
+        """To be broadcast if it is short."""
+        return F.broadcast(self.frame) if self.rows <= IDS_BROADCAST else self.frame
+
+
+def stored(df: DataFrame, tag: str) -> Table:
+    return Table(*counted(df, f"near-{tag}"))
+
+
+def of_classes(pairs: Table, classes: DataFrame, at: Threshold) -> DataFrame:
+    """(a, b, m): pairs of class ids that bit counts and set sizes allow, with their matches."""
     side = lambda x: classes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.filter(sizes_fit("n_a", "n_b", at.percent) & (matches("bits_a", "bits_b", at.hashes) >= at.least)).select("a", "b")
+    both = side("b").join(pairs.light, "b").join(side("a"), "a").withColumn("m", matches("bits_a", "bits_b", at.hashes))
+    return both.filter(sizes_fit("n_a", "n_b", at.percent) & (F.col("m") >= at.least)).select("a", "b", "m")
 
 
-def texts_of(ids: DataFrame, most: int, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(id, digest, text) of at most so many classes: the text of the smallest doc_id, to be checked by digest."""
-    needed = ids.join(classes.select("id", "lo", "digest"), "id")
-    if most <= IDS_BROADCAST:
-        needed = F.broadcast(needed)
-    return docs.select(F.col("doc_id").cast("long").alias("lo"), F.col("text").cast("string")).join(needed, "lo").select("id", "digest", "text")
+def texts_of(ids: DataFrame, most: int, texts: DataFrame) -> DataFrame:
+    """(id, text) of at most so many classes; ids may repeat."""
+    return texts.join(F.broadcast(ids) if most <= IDS_BROADCAST else ids, "id", "left_semi")
 
 
-def fine_signatures(texts: DataFrame) -> DataFrame:
-    """(id, fine): packed bits of many more minima, for classes that many others resemble."""
+def fine_signatures(texts: DataFrame, at: Threshold) -> DataFrame:
+    """(id, fine, fine_bands): packed bits and band keys of many more minima, for classes in open buckets."""
+    band_rows = at.fine_rows
 
     def chunk(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
-        fine = [x for x in packed_bits(minima(sets, FINE_HASHES), FINE_BITS)] if sets else []
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fine, pa.list_(pa.int64()))], ["id", "fine"])
+        m = minima(sets, FINE_HASHES) if sets else np.zeros((0, FINE_HASHES), np.uint64)
+        fine, bands = (packed_bits(m, FINE_BITS), band_keys(m, band_rows)) if sets else ((), ())
+        longs = pa.list_(pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(list(fine), longs), pa.array(list(bands), longs)], ["id", "fine", "fine_bands"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, sets, size = [], [], 0
-            for i, d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 s = shingle_set(text.as_py())
-                if digest(s) == d:
-                    ids.append(i)
-                    sets.append(s)
-                    size += len(s)
+                ids.append(i)
+                sets.append(s)
+                size += len(s)
                 if size >= SHINGLES_AT_ONCE:
                     yield chunk(ids, sets)
                     ids, sets, size = [], [], 0
             yield chunk(ids, sets)
         _words.clear()  # workers are kept, and later steps need their memory
 
-    return texts.mapInArrow(run, "id long, fine array<long>").dropDuplicates(["id"])
+    return texts.select("id", "text").mapInArrow(run, "id long, fine array<long>, fine_bands array<long>")
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def confirmed(pairs: Table, all_texts: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are linked."""
-    ends = pairs.select(F.col("a").alias("id")).distinct().unionByName(pairs.select(F.col("b").alias("id")).distinct()).distinct()
-    texts = texts_of(ends, 2 * pairs.count(), classes, docs)
-    parts = pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", F.expr(f"(n + {PAIRS_PER_PART - 1}) div {PAIRS_PER_PART}").alias("parts"))
-    members = pairs.join(parts, "a").select("a", F.expr("pmod(xxhash64(b), parts)").alias("part"), "b").join(texts, F.col("b") == F.col("id")).select("a", "part", "b", "digest", "text")
-    first = parts.select("a", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part")).join(texts, F.col("a") == F.col("id")).select("a", "part", F.lit(None).cast("long").alias("b"), "digest", "text")
-    rows = first.unionByName(members).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    ends = pairs.frame.select(F.col("a").alias("id")).unionByName(pairs.frame.select(F.col("b").alias("id")))
+    texts = texts_of(ends, 2 * pairs.rows, all_texts)
+    with_a = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")).join(pairs.light, "a")
+    both = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own, last = None, None, None
+        sets: dict[int, np.ndarray] = {}
+
+        def set_of(number: int, text: pa.Scalar) -> np.ndarray:
+            if number not in sets:
+                if len(sets) >= SETS_KEPT:
+                    sets.clear()
+                sets[number] = shingle_set(text.as_py())
+            return sets[number]
+
         for batch in batches:
-            found: list[tuple[int, int]] = []
-            for a, part, b, d, text in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4)):
-                s = shingle_set(text.as_py())
-                if digest(s) != d:
-                    continue  # another text under the same doc_id
-                if b is None:
-                    at, own = (a, part), s
-                elif at == (a, part) and (a, b) != last and linked(own, s, percent):
-                    last = (a, b)
-                    found.append(last)
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3))
+            found = [(a, b) for a, b, x, y in rows if linked(set_of(a, x), set_of(b, y), percent)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found) if found else ((), ()))], ["a", "b"])
+        _words.clear()
 
-    return rows.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def flooded(edges: DataFrame, turn: int) -> DataFrame:
     """(id, label) of every node with an edge: the first node within two steps, in an order drawn anew each turn."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     placed = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("place"), F.col(c).alias("id"))
-    one = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min(placed("b")), F.first(placed("a"))).alias("label"))
-    two = both.join(one.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-    return two.join(one, "id").select("id", F.least("near", "label")["id"].alias("label"))
+    one = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min(placed("b")), F.first(placed("a"))).alias("label")), "step")
+    near = both.join(one.light.select(F.col("id").alias("b"), F.col("label").alias("near")), "b").select(F.col("a").alias("id"), F.col("near").alias("label"))
+    return one.frame.unionByName(near).groupBy("id").agg(F.min("label")["id"].alias("label"))
+
 
+def labelled(pairs: DataFrame, labels: Table) -> DataFrame:
+    """``pairs`` with the labels x and y of their ends; a class without a label is its own."""
+    of = lambda c: labels.light.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.withColumns({"x": F.coalesce("a_label", "a"), "y": F.coalesce("b_label", "b")})
 
-def contracted(edges: DataFrame, labels: DataFrame) -> DataFrame:
+
+def contracted(edges: DataFrame, labels: Table) -> DataFrame:
     """The edges between labels."""
-    of = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))
-    ends = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_label", "a").alias("x"), F.coalesce("b_label", "b").alias("y"))
-    return ends.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return labelled(edges, labels).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """(id, label) of every node with an edge: equal labels for what is connected.
+def first_shared(band: str, keys_a: str, keys_b: str) -> Column:
+    """Whether ``band`` is the first key that both lists have at one place, so that a pair counts once."""
+    shared = F.zip_with(keys_a, keys_b, lambda x, y: x == y)
+    return F.get(keys_a, (F.array_position(shared, True) - 1).cast("int")) == F.col(band)
 
-    Labels are flooded two steps, what has one label becomes one node, and so on until no
-    edge is left. The order of nodes is drawn anew each time, so each turn leaves a
-    fraction of the nodes on any graph, long chains included. ``labels``: what is known
-    already to be connected.
-    """
-    turn = 0
-    rest = edges if labels is None else written(contracted(edges, labels), "near-rest")
-    while not rest.isEmpty():
-        turn += 1
-        found = written(flooded(rest, turn), "near-flood")
-        if labels is None:
-            labels = found
-        else:
-            of = found.select(F.col("id").alias("label"), F.col("label").alias("new"))
-            known = labels.join(of, "label", "left").select("id", F.coalesce("new", "label").alias("label"))
-            labels = written(known.unionByName(found.join(labels.select("id"), "id", "left_anti")), "near-labels")
-        rest = written(contracted(rest, found), "near-rest")
-    return labels
 
+def bucketed(keys: DataFrame) -> DataFrame:
+    """``keys`` (band, id, ...) of buckets with two classes or more, with the bucket's size."""
+    sizes = stored(keys.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
+    return keys.join(sizes.light, "band")
 
-def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of buckets that hold several components: band, id, component and the bucket's largest one.
 
-    A bucket of two has been compared already.
-    """
-    rows = members.filter("size > 2").select("band", "id").join(labels, "id", "left").select("band", "id", F.coalesce("label", "id").alias("component"))
-    counts = rows.groupBy("band", "component").agg(F.count("*").alias("n"))
-    several = counts.groupBy("band").agg(F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("k")).filter("k > 1").select("band", F.col("main.component").alias("main"))
-    return rows.join(several, "band")
+def sides(rows: DataFrame, names: list[str]) -> list[DataFrame]:
+    return [rows.select(*(F.col(c).alias(f"{c}_{side}") for c in names)) for side in "ab"]
+
 
+def small_pairs(small: Table, classes: DataFrame, at: Threshold) -> DataFrame:
+    """(a, b, m): all pairs within small buckets that bit counts and sizes allow."""
+    rows = classes.select("id", "n", "bits", "bands").join(small.light, "id")
+    left, right = sides(rows, ["band", "id", "n", "bits", "bands"])
+    m = matches("bits_a", "bits_b", at.hashes)
+    fits = (F.col("id_a") < F.col("id_b")) & sizes_fit("n_a", "n_b", at.percent) & (m >= at.least) & first_shared("band_a", "bands_a", "bands_b")
+    return left.join(right, (F.col("band_a") == F.col("band_b")) & fits).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), m.alias("m"))
 
-def open_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, fine: DataFrame, done: DataFrame | None, most: int, at: Threshold) -> tuple[DataFrame, DataFrame]:
-    """The next members to compare with their whole bucket, and what of that is promising.
 
-    Bit counts and sizes are part of the join's condition, coarse ones first, and a pair
-    leaves it only in the first bucket that both are in.
+def drawn_pairs(large: DataFrame, classes: DataFrame, at: Threshold) -> DataFrame:
+    """(a, b, m): each class of large buckets with the best two of those drawn from its buckets."""
+    draws = [F.min(F.struct(F.xxhash64(F.lit(k), "band", "id").alias("place"), "id"))["id"] for k in range(DRAWN)]
+    drawn = stored(large.groupBy("band").agg(F.array_distinct(F.array(*draws)).alias("drawn")).select("band", F.explode("drawn").alias("b")), "drawn")
+    met = stored(large.join(drawn.light, "band").select(F.col("id").alias("a"), "b").filter("a <> b").distinct(), "drawn-pairs")
+    best = Window.partitionBy("a").orderBy(F.desc("m"), "b")
+    top = of_classes(met, classes, at).withColumn("k", F.row_number().over(best)).filter("k <= 2")
+    return top.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "m")
+
+
+def open_rows(members: DataFrame, labels: Table | None) -> Table:
+    """Members of buckets that hold several components: also component, the largest one, and the number outside it."""
+    named = members.withColumn("component", F.col("id")) if labels is None else members.join(labels.light, "id", "left").withColumn("component", F.coalesce("label", "id")).drop("label")
+    counts = named.groupBy("band", "component").agg(F.count("*").alias("n"))
+    several = counts.groupBy("band").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("k")).filter("k > 1")
+    several = stored(several.select("band", F.col("top.component").alias("main"), (F.col("all") - F.col("top.n")).alias("outside")), "several")
+    return stored(named.join(several.light, "band"), "open") if several.rows else several
+
+
+def block_pairs(rows: DataFrame, chosen: DataFrame, at: Threshold) -> DataFrame:
+    """(a, b, m): chosen outsiders against all of their buckets, as far as finer signatures and sizes allow.
+
+    A bucket is dealt to parts, and the chosen ones go to each of them.
     """
-    rows = written(open_members(members, labels).join(classes.select("id", "n", "bits", "bands"), "id").join(fine, "id"), "near-open")
-    outside = rows.filter("component <> main").drop("main")
-    if done is not None:
-        outside = outside.join(done, ["band", "id"], "left_anti")
-    ranked = outside.withColumn("k", F.row_number().over(Window.partitionBy("band").orderBy("id")))
-    chosen = written(ranked.filter(F.col("k") <= most + 1), "near-chosen")
-    first = chosen.filter(F.col("k") <= most)
-    left, right = (x.select(F.col("band").alias(f"band_{side}"), *(F.col(c).alias(f"{c}_{side}") for c in ("id", "component", "n", "bits", "fine", "bands"))) for x, side in ((first, "a"), (rows, "b")))
-    shared = F.zip_with("bands_a", "bands_b", lambda x, y: x == y)
-    first_shared = F.get("bands_a", (F.array_position(shared, True) - 1).cast("int")) == F.col("band_a")
-    fits = (F.col("component_a") != F.col("component_b")) & sizes_fit("n_a", "n_b", at.percent) & (matches("bits_a", "bits_b", at.hashes) >= at.least)
-    fits = fits & (matches("fine_a", "fine_b", FINE_HASHES, FINE_BITS) >= at.fine_least) & first_shared
-    pairs = left.join(right, (F.col("band_a") == F.col("band_b")) & fits)
-    return chosen, pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+    parts = F.expr(f"(size + {PART - 1}) div {PART}")
+    names = ["band", "part", "id", "component", "n", "fine", "keys"]
+    left, _ = sides(chosen.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))), names)
+    _, right = sides(rows.withColumn("part", F.pmod(F.xxhash64("id"), parts)), names)
+    m = matches("fine_a", "fine_b", FINE_HASHES, FINE_BITS)
+    fits = (F.col("component_a") != F.col("component_b")) & sizes_fit("n_a", "n_b", at.percent) & (m >= at.fine_least) & first_shared("band_a", "keys_a", "keys_b")
+    found = left.join(right, (F.col("band_a") == F.col("band_b")) & (F.col("part_a") == F.col("part_b")) & fits)
+    return found.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), m.alias("m")).distinct()
+
+
+class Links:
+    """What is known to be connected: labels of classes, and edges between labels that aren't one yet."""
+
+    def __init__(self, texts: DataFrame, percent: int):
+        self.texts, self.percent, self.turn = texts, percent, 0
+        self.labels: Table | None = None
+        self.rest: Table | None = None
+
+    def read(self, pairs: Table) -> None:
+        """Confirm these pairs and pass labels on by two steps."""
+        found = stored(confirmed(pairs, self.texts, self.percent), "links")
+        if found.rows:
+            edges = found.frame if self.labels is None else contracted(found.frame, self.labels)
+            self.flood(edges if self.rest is None else self.rest.frame.unionByName(edges))
+
+    def flood(self, edges: DataFrame) -> None:
+        """What is within two steps gets one label and becomes one node.
+
+        The order of nodes is drawn anew each time, so each turn leaves a fraction of the
+        edges between labels on any graph, long chains included.
+        """
+        self.turn += 1
+        found = stored(flooded(edges, self.turn), "flood")
+        if self.labels is None:
+            self.labels = found
+        else:
+            of = found.light.select(F.col("id").alias("label"), F.col("label").alias("new"))
+            known = self.labels.frame.join(of, "label", "left").select("id", F.coalesce("new", "label").alias("label"))
+            self.labels = stored(known.unionByName(found.frame.join(self.labels.light.select("id"), "id", "left_anti")), "labels")
+        self.rest = stored(contracted(edges, found), "rest")
+
+    def join_up(self) -> None:
+        """Flood until each component has one label."""
+        while self.rest is not None and self.rest.rows:
+            self.flood(self.rest.frame)
+
+    def settle(self, pairs: DataFrame) -> None:
+        """Read each class's best pair first, then what is still open."""
+        queue = stored(pairs, "queue")
+        if queue.rows:
+            both = queue.frame.select(F.col("a").alias("id"), "a", "b", "m").unionByName(queue.frame.select(F.col("b").alias("id"), "a", "b", "m"))
+            best = stored(both.groupBy("id").agg(F.max(F.struct("m", "a", "b")).alias("best")).select("best.a", "best.b").distinct(), "best")
+            self.read(best)
+            rest = queue.frame.select("a", "b").join(best.light, ["a", "b"], "left_anti")
+            rest = stored(rest if self.labels is None else labelled(rest, self.labels).filter("x <> y").select("a", "b"), "queue")
+            if rest.rows:
+                self.read(rest)
+        self.join_up()
+
+
+def compare_blocks(opened: Table, classes: DataFrame, links: Links, at: Threshold) -> None:
+    """Compare what is outside the largest component of each bucket with all of the bucket."""
+    ids = stored(opened.frame.select("id").distinct(), "ids")
+    fine = written(fine_signatures(texts_of(ids.frame, ids.rows, links.texts), at), "near-fine")
+    wide = (F.col("outside") * F.col("size")) > SPLIT_ABOVE
+    narrow, split = stored(opened.frame.filter(~wide).select("band", "id", "size"), "narrow"), stored(opened.frame.filter(wide).select("id").distinct(), "wide")
+    rows = classes.select("id", F.col("bands").alias("keys")).join(narrow.light, "id")
+    if split.rows:
+        keys = split.frame.join(fine.select("id", F.col("fine_bands").alias("keys")), "id")
+        rows = rows.unionByName(bucketed(keys.select("id", F.explode("keys").alias("band"))).join(keys, "id").select(rows.columns))
+    few = rows.select("band", "id", "size", "keys")
+    rows = written(few.join(classes.select("id", "n").join(fine.select("id", "fine"), "id"), "id"), "near-blocks")
+    now, most, turn = open_rows(rows.select("band", "id", "size"), links.labels), MEMBERS_FIRST, 0
+    while now.rows:
+        # The largest component of a bucket has outsiders to meet, so these are never the whole bucket.
+        some = (F.col("component") != F.col("main")) & (F.pmod(F.xxhash64(F.lit(turn), "id"), F.col("outside")) < most)
+        chosen = stored(now.frame.filter(some).select("band", "id"), "chosen")
+        current = rows.drop("size").join(now.light, ["band", "id"])
+        links.settle(block_pairs(current, current.join(chosen.light, ["band", "id"]), at))
+        # Who has met all of a bucket has done with it.
+        left = now.frame.select("band", "id", "size").join(chosen.light, ["band", "id"], "left_anti")
+        now, most, turn = open_rows(left, links.labels), most * 8, turn + 1
+
+
+def classed(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Signed rows, and per class digest its component's smallest id and first row."""
+    at = Threshold(percent)
+    signed = written(signatures(rows, at.hashes), "near-signatures")
+    lo = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("lo")
+    classes = signed.filter("n_shingles > 0").groupBy("digest").agg(F.min("rid").alias("id"), lo, F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
+    classes = written(classes, "near-classes")
+    members = written(bucketed(classes.select("id", F.explode("bands").alias("band"))), "near-members")
+    met = stored(members.select("id").distinct(), "met")
+    # Only classes that share a bucket are ever read again.
+    texts = written(texts_of(met.frame, met.rows, rows.select(F.col("rid").alias("id"), F.col("row.text").cast("string").alias("text"))), "near-texts")
+    small, large, links = stored(members.filter(F.col("size") <= SMALL).select("band", "id"), "small"), stored(members.filter(F.col("size") > SMALL), "large"), Links(texts, percent)
+    queue = small_pairs(small, classes, at)
+    if large.rows:
+        queue = queue.unionByName(drawn_pairs(large.frame, classes, at)).groupBy("a", "b").agg(F.max("m").alias("m"))
+    links.settle(queue)
+    if large.rows and (opened := open_rows(large.frame, links.labels)).rows:
+        compare_blocks(opened, classes, links, at)
+    named = classes.select("digest", "id", "lo")
+    if links.labels is None:
+        return signed, named.select("digest", F.col("lo").alias("least"))
+    named = named.join(links.labels.light, "id", "left")
+    alone = named.filter("label is null").select("digest", F.col("lo").alias("least"))
+    several = named.filter("label is not null").select("digest", "label", "lo")
+    least = stored(several.groupBy("label").agg(F.min("lo").alias("least")), "component")
+    return signed, alone.unionByName(several.select("digest", "label").join(least.light, "label").select("digest", "least"))
+
+
+def judged(rows: DataFrame, percent: int) -> DataFrame:
+    """rid, doc_id, n_shingles, component_id and first (the row that stands for its component) of every row."""
+    signed, of_class = classed(rows, percent)
+    # Both sides are written tables, so that adaptive plans can split the rows of one digest.
+    out = signed.select("rid", "doc_id", "n_shingles", "digest").join(written(of_class, "near-least"), "digest", "left")
+    component = F.when(F.col("least").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id"))
+    return out.select("rid", "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("least.rid") == F.col("rid"), F.lit(True)).alias("first"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row; texts link at this similarity or more."""
-    at = Threshold(percent)
-    signed = written(signatures(docs, at.hashes), "near-signatures")
-    classes = signed.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("lo"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
-    classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "near-classes")
-    keys = classes.select("id", F.explode("bands").alias("band"))
-    members = written(keys.join(keys.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1"), "band"), "near-members")
-    # The member that meets most others in all its buckets is most like all of them: the text that the others are copies of.
-    degree = members.groupBy("id").agg(F.sum("size").alias("degree"))
-    centers = members.join(degree, "id").groupBy("band").agg(F.max(F.struct("degree", "id"))["id"].alias("center"))
-    ends = members.join(centers, "band").filter("id <> center").select(F.least("center", "id").alias("a"), F.greatest("center", "id").alias("b"))
-    pairs = written(promising(ends.distinct(), classes, at), "near-pairs")
-    tested, edges, done, most, fine = pairs, None, None, MEMBERS_FIRST, None
-    labels, more = None, True
-    while True:
-        if not pairs.isEmpty():
-            found = written(confirmed(pairs, classes, docs, percent).distinct(), "near-links")
-            # What is connected within two steps is enough to leave pairs out; the rest waits for the end.
-            if edges is None and not found.isEmpty():
-                labels = written(flooded(found, 0), "near-flood")
-            edges = found if edges is None else edges.unionByName(found)
-        if not more:
-            break
-        if labels is None:
-            labels = docs.sparkSession.createDataFrame([], "id long, label long")
-        if fine is None:
-            ids = written(open_members(members, labels).select("id").distinct(), "near-ids")
-            fine = written(fine_signatures(texts_of(ids, ids.count(), classes, docs)), "near-fine")
-        chosen, pairs = open_pairs(members, labels, classes, fine, done, most, at)
-        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
-        more = not chosen.filter(F.col("k") > most).isEmpty()
-        tested = tested.unionByName(pairs)
-        chosen = chosen.filter(F.col("k") <= most).select("band", "id")
-        done, most = chosen if done is None else done.unionByName(chosen), most * 8
-    if edges is not None:
-        labels = components(edges, labels)
-    joined = labels.join(classes.select("id", "lo", "digest"), "id")
-    least = joined.groupBy("label").agg(F.min("lo").alias("least"))
-    linked_ones = joined.join(least, "label").select("digest", "least")
-    of_class = classes.select("digest", "lo").join(linked_ones, "digest", "left").select("digest", F.coalesce("least", "lo").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
-    component = F.coalesce(F.col("component_id"), F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    rows = numbered(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    return judged(rows, percent).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """One row of each component, with all its columns; rows without words all stay."""
+    rows = numbered(docs)
+    dropped = stored(judged(rows, percent).filter("not first").select("rid"), "dropped")
+    return rows.join(dropped.light, "rid", "left_anti").select("row.*")
