@@ -11,13 +11,20 @@
 
 The scanner is one regular expression over tags; elements are closed as HTML closes
 them (paragraphs, list items and cells by their like, everything by its parent), so
-broken and cut pages are read to their end.
+broken and cut pages are read to their end. Paths are numbered step by step and written
+out for a chosen container only, and open tags are known by their places on the stack,
+so work grows with a page's size and not with its depth.
+
+What isn't main text is known by tags and roles, and by classes and ids: a name all of
+whose words are of that kind or say nothing (``comment-list``) counts by itself; one
+that has further words (``related-work``) only if much of the element's text is in links
+or it has hardly any text.
 
 Defined results: null, empty and tag-less pages without text give the empty text; a
 null or malformed URL counts as the host ""; pages with ids that repeat or are null
-are extracted each; a tag or comment that the page's end cuts off is no text; columns
-other than page_id, url and html are left out, whatever their names; an empty table
-gives none.
+are extracted each; elements may be nested to any depth; a tag or comment that the
+page's end cuts off is no text; columns other than page_id, url and html are left out,
+whatever their names; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -51,27 +58,43 @@ WORDS = frozenset(
     "cookie cookies consent gdpr notice notices banner popup modal overlay comment comments commentlist disqus reply replies respond share sharing social related recommended "
     "newsletter subscribe signup login footer header masthead toolbar pagination pager widget widgets skip".split()
 )
+#: Words of a class or id that say nothing about what an element holds.
+NEUTRAL = frozenset(
+    "area bar block body bottom box btn button buttons center col column container content div el form group head header holder icon icons inner item items layout left link links list main "
+    "message module outer page panel right row section site slot small text title top unit wrap wrapper js is has with no the of and to in on for by global primary secondary desktop mobile".split()
+)
+#: An element whose name only hints at something else stays with so much text and so small a share of it in links.
+TEXT_KEPT, LINKS_KEPT = 80, 0.3
 KEPT_TAGS = frozenset(("html", "body", "main", "article"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
 class Element:
-    __slots__ = ("dropped", "link", "parent", "path", "score", "tag")
+    __slots__ = ("dropped", "hinted", "link", "links", "outer", "parent", "path", "score", "size", "tag")
+
+    def __init__(self, tag: str, parent: Element | None, path: int, dropped: bool, link: bool, hinted: bool = False):
+        self.tag, self.parent, self.path, self.dropped, self.link, self.hinted = tag, parent, path, dropped, link, hinted
+        self.outer = parent.outer if parent is not None and tag in INLINE else self
+        self.score, self.size, self.links = 0.0, 0, 0
 
-    def __init__(self, tag: str, parent: Element | None, path: str, dropped: bool, link: bool):
-        self.tag, self.parent, self.path, self.dropped, self.link, self.score = tag, parent, path, dropped, link, 0.0
 
+NO, HINT, YES = 0, 1, 2
 
-def boilerplate(tag: str, attributes: dict[str, str], strict: bool) -> bool:
+
+def boilerplate(tag: str, attributes: dict[str, str], strict: bool) -> int:
+    """Whether an element isn't main text: by tag, role or name, or only by a hint in its name."""
     if tag in DROPPED:
-        return True
+        return YES
     if not attributes or not strict:
-        return False
+        return NO
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role", "").lower() in ROLES:
-        return True
-    named = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
-    words = set(re.findall(r"[a-z]+", named))
-    return bool(words & WORDS) and (tag not in KEPT_TAGS or bool(words & {"comment", "comments", "reply", "ad", "ads", "sponsored"}))
+        return YES
+    found = NO
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
+        words = set(re.findall(r"[a-z]+", name))
+        if words & WORDS and (tag not in KEPT_TAGS or words & {"comment", "comments", "reply", "ad", "ads", "sponsored"}):
+            found = max(found, YES if words <= WORDS | NEUTRAL else HINT)
+    return found
 
 
 def attributes_of(raw: str) -> dict[str, str]:
@@ -79,147 +102,191 @@ def attributes_of(raw: str) -> dict[str, str]:
 
 
 def step_of(tag: str, attributes: dict[str, str]) -> str:
-    classes = sorted(re.sub(r"\d+", "0", c) for c in attributes.get("class", "").lower().split())
-    return ".".join((tag, *classes))
-
-
-def blocks(html: str, strict: bool = True) -> tuple[list[tuple[Element, str]], list[Element]]:
-    """(innermost element that isn't inline, text) of each block in page order, and all such elements."""
-    root = Element("html", None, "", False, False)
-    stack, made, out, text, at, pos = [root], [root], [], [], 0, 0
-    block = root
-
-    def flush() -> None:
-        if text:
-            if (joined := " ".join("".join(text).split())) and not block.dropped:
-                out.append((block, joined))
-                weight = len(joined) * (0.2 if block.tag in HEADINGS else 1.0)
-                own = block if block.tag not in ("p", "pre", "blockquote", "li", "td", *HEADINGS) or block.parent is None else block.parent
-                linked = sum(len(t) for t in links)
-                own.score += weight - 2 * linked
-                if own.parent is not None:
-                    own.parent.score += (weight - 2 * linked) / 2
-            text.clear()
-        links.clear()
-
-    links: list[str] = []
-
-    def add(raw: str) -> None:
-        t = unescape(raw) if "&" in raw else raw
-        text.append(t)
-        if stack[-1].link:
-            links.append(t)
-
-    def innermost() -> Element:
-        return next(e for e in reversed(stack) if e.tag not in INLINE)
-
-    while m := SCAN.search(html, pos):
-        if m.start() > at:
-            add(html[at : m.start()])
-        at = pos = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
-            continue
-        if m.end() == len(html) and not m[0].endswith(">"):
-            break
-        if m[1] or m[4]:
-            if tag not in INLINE or block.tag == tag:
-                flush()
-            if tag == "br":
-                text.append(" ")
-            elif tag not in ("html", "body") and any(e.tag == tag for e in stack[1:]):
-                while stack[-1].tag != tag:
-                    stack.pop()
-                stack.pop()
-            block = innermost()
-            continue
-        attributes = attributes_of(m[3] or m[6] or "")
-        if tag in VOID:
-            if tag == "br":
-                text.append(" ")
-            elif tag == "hr":
-                flush()
-            continue
-        if tag == "html":
-            continue
-        if tag not in INLINE:
-            flush()
-            if any(e.tag == "p" for e in stack):
-                while stack.pop().tag != "p":
-                    pass
-            for like in CLOSED_BY_LIKE.get(tag, ()):
-                scope = SCOPES[tag]
-                inside = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == like or stack[k].tag in scope), 0)
-                if inside and stack[inside].tag == like:
-                    del stack[inside:]
-        parent = stack[-1]
-        if tag in INLINE:
-            e = Element(tag, parent, "", parent.dropped or boilerplate(tag, attributes, strict), parent.link or tag == "a")
-            if e.dropped and not parent.dropped:
+    classes = sorted(re.sub(r"\d+", "0", c).replace(">", "") for c in attributes.get("class", "").lower().split())
+    return ".".join((tag.replace(">", ""), *classes))
+
+
+class Page:
+    """A page's blocks in order and its elements that aren't inline, parents first."""
+
+    def __init__(self, html: str, strict: bool = True):
+        self.steps: list[tuple[int, str]] = [(-1, "")]  # of each path: the path before it and its last step
+        self.numbers: dict[tuple[int, str], int] = {}
+        self.made: list[Element] = []
+        self.blocks: list[tuple[Element, str, int]] = []  # innermost element that isn't inline, text, letters in links
+        self._read(html, strict)
+        self._judge()
+
+    def path(self, number: int) -> str:
+        parts = []
+        while number > 0:
+            number, step = self.steps[number]
+            parts.append(step)
+        return "".join(f">{x}" for x in reversed(parts))
+
+    def number(self, path: str) -> int:
+        """Of a path as ``path`` writes it; -1 if no element is on it."""
+        number = 0
+        for step in path.split(">")[1:]:
+            number = self.numbers.get((number, step), -1)
+            if number < 0:
+                break
+        return number
+
+    def _step(self, before: int, step: str) -> int:
+        number = self.numbers.get((before, step))
+        if number is None:
+            number = self.numbers[before, step] = len(self.steps)
+            self.steps.append((before, step))
+        return number
+
+    def _read(self, html: str, strict: bool) -> None:
+        root = Element("html", None, 0, False, False)
+        self.made.append(root)
+        stack: list[Element] = [root]
+        places: dict[str, list[int]] = {}  # of the open elements of each tag on the stack, the root left out
+        text: list[str] = []
+        at, pos, linked, block = 0, 0, 0, root
+
+        def flush() -> None:
+            nonlocal linked
+            if text:
+                if (joined := " ".join("".join(text).split())) and not block.dropped:
+                    self.blocks.append((block, joined, linked))
+                text.clear()
+            linked = 0
+
+        def add(raw: str) -> None:
+            nonlocal linked
+            t = unescape(raw) if "&" in raw else raw
+            text.append(t)
+            if stack[-1].link:
+                linked += len(t)
+
+        def cut(size: int) -> None:
+            """Close all elements from this place of the stack on."""
+            while len(stack) > size:
+                places[stack.pop().tag].pop()
+
+        def last(tags: tuple[str, ...]) -> int:
+            return max((own[-1] for t in tags if (own := places.get(t))), default=0)
+
+        while m := SCAN.search(html, pos):
+            if m.start() > at:
+                add(html[at : m.start()])
+            at = pos = m.end()
+            tag = (m[2] or m[5] or "").lower()
+            if not tag:
+                continue
+            if m.end() == len(html) and not m[0].endswith(">"):
+                break
+            if m[1] or m[4]:
+                if tag not in INLINE or block.tag == tag:
+                    flush()
+                if tag == "br":
+                    text.append(" ")
+                elif tag not in ("html", "body") and (size := last((tag,))):
+                    cut(size)
+                block = stack[-1].outer
+                continue
+            attributes = attributes_of(m[3] or m[6] or "")
+            if tag in VOID:
+                if tag == "br":
+                    text.append(" ")
+                elif tag == "hr":
+                    flush()
+                continue
+            if tag == "html":
+                continue
+            if tag not in INLINE:
                 flush()
+                if size := last(("p",)):
+                    cut(size)
+                for like in CLOSED_BY_LIKE.get(tag, ()):
+                    if (size := last((like,))) > last(SCOPES[tag]):
+                        cut(size)
+            parent = stack[-1]
+            kind = boilerplate(tag, attributes, strict)
+            if tag in INLINE:
+                e = Element(tag, parent, parent.outer.path, parent.dropped or kind == YES, parent.link or tag == "a")
+                if e.dropped and not parent.dropped:
+                    flush()
+            else:
+                around = parent.outer
+                e = Element(tag, around, self._step(around.path, step_of(tag, attributes)), parent.dropped or kind == YES, parent.link, kind == HINT)
+                self.made.append(e)
+            if tag in RAW:
+                end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(html, pos)
+                at = pos = end.end() if end else len(html)
+                continue
+            places.setdefault(tag, []).append(len(stack))
+            stack.append(e)
+            if e.dropped and tag in INLINE or tag not in INLINE:
+                block = e
         else:
-            around = innermost()
-            e = Element(tag, around, f"{around.path}>{step_of(tag, attributes)}", parent.dropped or boilerplate(tag, attributes, strict), parent.link)
-            made.append(e)
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(html, pos)
-            at = pos = end.end() if end else len(html)
-            continue
-        if m[0].endswith("/>") and tag not in INLINE and tag not in KEPT_TAGS and tag in ("svg", "path"):
-            continue
-        stack.append(e)
-        if e.dropped and tag in INLINE:
-            block = e
-        elif tag not in INLINE:
-            block = e
-    else:
-        if at < len(html):
-            add(html[at:])
-    flush()
-    return out, made
-
-
-def parsed(html: str | None) -> tuple[list[tuple[Element, str]], list[Element]]:
-    found, made = blocks(html or "")
-    if not found and html:  # a wrapper's class names something that isn't main text
-        found, made = blocks(html, strict=False)
-    return found, made
-
-
-def best(found: list[tuple[Element, str]], made: list[Element]) -> Element | None:
-    """The container with the highest score; articles and mains count half as much again."""
-    if not found:
-        return None
-    bonus = {"article": 1.5, "main": 1.5}
-    return max((e for e in made if not e.dropped), key=lambda e: e.score * bonus.get(e.tag, 1.0), default=None)
-
-
-def under(found: list[tuple[Element, str]], test) -> str:
-    known: dict[int, bool] = {}
-
-    def inside(e: Element | None) -> bool:
-        if e is None:
-            return False
-        if id(e) not in known:
-            known[id(e)] = test(e) or inside(e.parent)
-        return known[id(e)]
-
-    return " ".join(t for e, t in found if inside(e))
+            if at < len(html):
+                add(html[at:])
+        flush()
+
+    def _judge(self) -> None:
+        """Drop what only a name hints at, if its text agrees; then score containers by what is left."""
+        if any(e.hinted for e in self.made):
+            for e, joined, linked in self.blocks:
+                e.size += len(joined)
+                e.links += linked
+            for e in reversed(self.made):  # children before parents
+                if e.parent is not None:
+                    e.parent.size += e.size
+                    e.parent.links += e.links
+            for e in self.made:
+                hinted = e.hinted and not (e.size >= TEXT_KEPT and e.links <= LINKS_KEPT * e.size)
+                e.dropped = e.dropped or hinted or (e.parent is not None and e.parent.dropped)
+            self.blocks = [b for b in self.blocks if not b[0].dropped]
+        for e, joined, linked in self.blocks:
+            weight = len(joined) * (0.2 if e.tag in HEADINGS else 1.0) - 2 * linked
+            own = e if e.parent is None or e.tag not in ("p", "pre", "blockquote", "li", "td", *HEADINGS) else e.parent
+            own.score += weight
+            if own.parent is not None:
+                own.parent.score += weight / 2
+
+    def best(self) -> Element | None:
+        """The container with the highest score; articles and mains count half as much again."""
+        if not self.blocks:
+            return None
+        bonus = {"article": 1.5, "main": 1.5}
+        return max((e for e in self.made if not e.dropped), key=lambda e: e.score * bonus.get(e.tag, 1.0), default=None)
+
+    def under(self, test) -> str:
+        """The text of all blocks within elements that pass."""
+        inside: set[int] = set()
+        for e in self.made:
+            if test(e) or (e.parent is not None and id(e.parent) in inside):
+                inside.add(id(e))
+        return " ".join(t for e, t, _ in self.blocks if id(e) in inside)
+
+
+def parsed(html: str | None) -> Page:
+    page = Page(html or "")
+    if not page.blocks and html:  # a wrapper's class names something that isn't main text
+        page = Page(html, strict=False)
+    return page
 
 
 def vote(html: str | None) -> tuple[str, float] | None:
     """A page's best path and its score."""
-    found, made = parsed(html)
-    top = best(found, made)
-    return None if top is None else (top.path, top.score)
+    page = parsed(html)
+    top = page.best()
+    return None if top is None else (page.path(top.path), top.score)
 
 
 def main_text(html: str | None, path: str | None) -> str:
     """Text of all elements on ``path``; of the page's own best container if there is none."""
-    found, made = parsed(html)
-    text = under(found, lambda e: e.path == path) if path is not None else ""
-    if not text and (top := best(found, made)) is not None:
-        text = under(found, lambda e: e is top)
+    page = parsed(html)
+    text = ""
+    if path is not None and (number := page.number(path)) >= 0:
+        text = page.under(lambda e: e.path == number)
+    if not text and (top := page.best()) is not None:
+        text = page.under(lambda e: e is top)
     return text
 
 
