@@ -6,20 +6,22 @@ different files give equal chunks; the header is a chunk of its own.
 
 1. One pass notes each row's file digest and the digests of its chunks, no bytes.
 2. Joins of digests find one owner of each chunk: the first position in the first file
-   that has it. Files that equal another's are stored once; chunks below the least
-   size, such as headers, stay with their files, and so do all chunks of files whose
-   rows have no id.
+   that has it. Files that equal another's are stored by the row with the smallest id;
+   chunks below the least size, such as headers, stay with their files.
 3. A second pass writes the store: per file its ordered chunk list, with bytes of the
-   chunks it owns. Rows that own nothing special need no join; a list of the others is
-   broadcast while it is short and joined by a shuffle beyond that.
+   chunks it owns. What isn't plain about a file reaches its rows by a hash of their
+   text and is checked against the file's digest, so ids that are null or repeat change
+   nothing. That list is broadcast while it is short and joined by a shuffle beyond.
 4. Reading back, files that own all their chunks are rebuilt where they lie; the others
    get their missing chunks by a join on digests, so only shared bytes move. Every chunk
    and every file is checked against its digest.
 
 Defined results: null and empty texts are a payload of 192 spaces; equal texts share
 one file and all values; rows with ids that repeat or are null get the values of their
-texts; texts may be of any length below 4 GiB; other columns are ignored, whatever
-their names; an empty table gives none. A digest that doesn't match raises an error.
+texts (where no row of a file has an id, each stores it, and one copy is read); texts
+may be of any length below 4 GiB; other columns are ignored, whatever their names; an
+empty table gives none. A digest that doesn't match, or a file or chunk that is missing,
+raises an error; no row is ever left out.
 """
 
 from __future__ import annotations
@@ -102,6 +104,12 @@ def short(chunk: bytes) -> bytes:
     return hashlib.blake2b(chunk, digest_size=16).digest()
 
 
+def hashed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and a hash of the text, by which notes find their rows."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"))
+
+
 def chunk_index(docs: DataFrame) -> DataFrame:
     """doc_id, file digest and ordered chunk digests of each row; null for chunks too short to share."""
 
@@ -113,45 +121,45 @@ def chunk_index(docs: DataFrame) -> DataFrame:
                 keys.append(hashlib.sha256(media).digest())
                 lists.append([short(c) if len(c) >= LEAST else None for c in chunks_of(media)])
                 sizes.append(len((text or "").encode()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(lists, pa.list_(pa.binary()))], ["doc_id", "n_bytes", "media", "digests"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(lists, pa.list_(pa.binary()))], ["doc_id", "text_hash", "n_bytes", "media", "digests"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, media binary, digests array<binary>")
+    return hashed(docs).mapInArrow(run, "doc_id long, text_hash long, n_bytes long, media binary, digests array<binary>")
 
 
-def special_rows(index: DataFrame) -> DataFrame:
-    """Per doc_id what isn't plain: [(file, not stored here, positions owned elsewhere, positions others need)]."""
+def special_files(index: DataFrame) -> DataFrame:
+    """Per hash of a text what isn't plain about its file: [(file, the id that stores it, positions owned elsewhere, positions others need)]."""
     files = index.groupBy("media").agg(F.min("doc_id").alias("home"), F.count("*").alias("n"), F.first("digests").alias("digests"))
     files = written(files, "media-files")
-    # Notes reach a row by its id, so files without one keep all their chunks and give none.
-    places = files.filter("home is not null").select("media", F.posexplode("digests").alias("pos", "digest")).filter("digest is not null")
+    places = files.select("media", F.posexplode("digests").alias("pos", "digest")).filter("digest is not null")
     owners = places.groupBy("digest").agg(F.min(F.struct("media", "pos")).alias("owner"), F.count("*").alias("n")).filter("n > 1").select("digest", "owner")
-    shared = places.join(owners, "digest").select("media", "pos", (F.struct("media", "pos") == F.col("owner")).alias("owns"))
+    # A table of its own, so that adaptive plans can split the places of one passage.
+    shared = places.join(written(owners, "media-owners"), "digest").select("media", "pos", (F.struct("media", "pos") == F.col("owner")).alias("owns"))
     at = lambda c: F.sort_array(F.collect_list(F.when(c, F.col("pos"))))
     lists = shared.groupBy("media").agg(at(~F.col("owns")).alias("lacks"), at(F.col("owns")).alias("gives"))
     none = F.array().cast("array<int>")
-    homes = lists.join(files.select("media", "home"), "media").select(F.col("home").alias("doc_id"), F.struct("media", F.lit(False).alias("skip"), "lacks", "gives").alias("what"))
-    copies = index.select("doc_id", "media").join(files.filter("n > 1").select("media", "home"), "media").filter("doc_id > home")
-    copies = copies.select("doc_id", F.struct("media", F.lit(True).alias("skip"), none.alias("lacks"), none.alias("gives")).alias("what")).distinct()
-    return homes.unionByName(copies).groupBy("doc_id").agg(F.collect_list("what").alias("what"))
+    notes = files.filter("n > 1").select("media").unionByName(lists.select("media")).distinct().join(lists, "media", "left").join(files.select("media", "home"), "media")
+    notes = written(notes.select("media", F.struct("media", "home", F.coalesce("lacks", none).alias("lacks"), F.coalesce("gives", none).alias("gives")).alias("what")), "media-notes")
+    return index.select("text_hash", "media").distinct().join(notes, "media").groupBy("text_hash").agg(F.collect_list("what").alias("what"))
 
 
 def store(docs: DataFrame, index: DataFrame) -> DataFrame:
     """One row for each file: its digest and its ordered chunks, with bytes of those it owns."""
-    special = written(special_rows(index), "media-special")
+    special = written(special_files(index), "media-special")
     size = special.agg(F.count("*") + F.coalesce(F.sum(F.aggregate("what", F.lit(0), lambda n, w: n + F.size(w["lacks"]) + F.size(w["gives"]))), F.lit(0))).first()[0]
     if size <= LISTED_BROADCAST:
         special = F.broadcast(special)
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(special, "doc_id", "left").select("text", "what")
+    rows = hashed(docs).join(special, "text_hash", "left").select("doc_id", "text", "what")
     kind = pa.list_(pa.struct([("digest", pa.binary()), ("data", pa.binary()), ("given", pa.bool_())]))
+    plain = {"home": None, "lacks": (), "gives": ()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, lists, size = [], [], 0
-            for t, w in zip(batch.column(0), batch.column(1)):
+            for doc_id, t, w in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 media = sound_file(payload_of(t.as_py()))
                 key = hashlib.sha256(media).digest()
-                own = next((x for x in w.as_py() or () if x["media"] == key), {"skip": False, "lacks": (), "gives": ()})
-                if own["skip"]:
+                own = next((x for x in w.as_py() or () if x["media"] == key), plain)
+                if own["home"] is not None and own["home"] != doc_id:
                     continue
                 lacks, gives = set(own["lacks"]), set(own["gives"])
                 keys.append(key)
@@ -205,7 +213,7 @@ def rebuilt(files: DataFrame) -> DataFrame:
 def features(stored: DataFrame) -> DataFrame:
     """Features of every file in the store, from its stored bytes."""
     lacking = F.exists("chunks", lambda c: c["data"].isNull())
-    given = stored.select(F.explode(F.filter("chunks", lambda c: c["given"])).alias("c")).select("c.digest", "c.data").dropDuplicates(["digest"])
+    given = written(stored.select(F.explode(F.filter("chunks", lambda c: c["given"])).alias("c")).select("c.digest", "c.data").dropDuplicates(["digest"]), "media-given")
     partial = stored.filter(lacking).dropDuplicates(["media"])
     wanted = partial.select("media", F.posexplode("chunks").alias("pos", "c")).filter("c.data is null").select("media", "pos", F.col("c.digest").alias("digest"))
     got = wanted.join(given, "digest").groupBy("media").agg(F.map_from_entries(F.collect_list(F.struct("pos", "data"))).alias("got"))
@@ -216,5 +224,6 @@ def features(stored: DataFrame) -> DataFrame:
 def media_columns(docs: DataFrame) -> DataFrame:
     """Each row's file digests and features, read back from the chunk store."""
     index = written(chunk_index(docs), "media-index")
-    found = features(store(docs, index))
-    return index.select("doc_id", "n_bytes", "media").join(found, "media").drop("media")
+    found = written(features(store(docs, index)), "media-features")
+    there = F.coalesce(F.col("payload_bytes"), F.raise_error(F.lit("a file is missing from the chunk store")).cast("long"))
+    return index.select("doc_id", "n_bytes", "media").join(found, "media", "left").withColumn("payload_bytes", there).drop("media")
