@@ -4,9 +4,11 @@ Rows are shuffled by a seeded hash and ranked within their source; the rank as a
 fraction of the source's rows orders all rows, so each stretch of that order holds
 every source in proportion. Equal stretches are the shards (law ``rows``).
 
-A source may hold any share of the rows: ranks come from hash ranges of a few
-thousand rows each, plus prefix sums over the counts of those ranges. Only counts
-meet in one task. DataFrame functions only.
+Ranks come from Spark's range sort: a row's number is its place in its partition plus
+the counts of the partitions before. Each row has a number of its own at the end of the
+sort key, so one source, one id or one text may hold any share of the rows, and sources
+may be as many as rows: partitions stay even. Only counts of partitions meet in one
+task. DataFrame functions only.
 
 Defined results: null text has size 1 and the checksum of no bytes; a null source is
 a source of its own; rows with a null id or with one that repeats are placed each;
@@ -21,26 +23,17 @@ from pyspark.sql import functions as F
 
 from veritide.llm.scratch import written
 
-ROWS_PER_RANGE, RANGES_PER_GROUP = 2_000, 1_024
+ORDER = ["place", "doc_id", "size", "text_crc32", "rid"]
 
 
-def prefix_sums(counts: DataFrame, keys: list[str], at: str, n: str) -> DataFrame:
-    """``before``: the sum of n over the smaller ``at`` of the same keys; in two levels."""
-    grouped = counts.withColumn("_group", F.expr(f"{at} div {RANGES_PER_GROUP}"))
-    earlier = Window.orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0).cast("long")
-    within = grouped.withColumn("_within", F.coalesce(F.sum(n).over(earlier.partitionBy(*keys, "_group")), zero))
-    totals = grouped.groupBy(*keys, "_group").agg(F.sum(n).alias("_n"))
-    by_group = Window.partitionBy(*keys).orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*keys, "_group", F.coalesce(F.sum("_n").over(by_group), zero).alias("_earlier"))
-    return within.join(totals, [*keys, "_group"]).select(*keys, at, (F.col("_within") + F.col("_earlier")).alias("before"))
-
-
-def ranked(rows: DataFrame, keys: list[str], at: str, order: list[str], name: str) -> DataFrame:
-    """``name``: each row's rank from 0 among the rows of its keys, in order of (at, order)."""
-    counts = rows.groupBy(*keys, at).agg(F.count("*").alias("_n"))
-    own = F.row_number().over(Window.partitionBy(*keys, at).orderBy(*order)).cast("long") - 1
-    return rows.withColumn("_own", own).join(prefix_sums(counts, keys, at, "_n"), [*keys, at]).withColumn(name, F.col("_own") + F.col("before")).drop("_own", "before")
+def ranked(rows: DataFrame, order: list[str], tag: str) -> DataFrame:
+    """``rows`` with ``rank``, their place from 0 in this order, which must not have ties."""
+    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    parts = written(sorted_rows.withColumns({"_part": F.spark_partition_id(), "_own": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), tag)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = parts.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each partition of the sort
+    counts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return parts.join(F.broadcast(counts), "_part").withColumn("rank", F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
 
 
 def seeded(seed: int, *columns: str) -> Column:
@@ -48,37 +41,44 @@ def seeded(seed: int, *columns: str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 1)
 
 
-def assign_shards(docs: DataFrame, shards: int = 8, seed: int = 20_240_501) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row."""
+def numbered(docs: DataFrame) -> DataFrame:
+    """(rid, row): the rows in a table of their own, each with a number that stays."""
+    return written(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")), "shard-input")
+
+
+def placed(rows: DataFrame, shards: int, seed: int) -> DataFrame:
+    """rid, doc_id, size, text_crc32, shard and slot of rows with rid, doc_id, source and text."""
     if shards < 1:
         raise ValueError("shards must be positive")
-    total = docs.count()
-    ranges = max(1, -(-total // ROWS_PER_RANGE))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(
-        F.col("doc_id").cast("long"), F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("")).alias("source"),
-        (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-    )
-    rows = rows.withColumn("place", seeded(seed, "doc_id")).withColumn("range", F.expr(f"place div {((1 << 63) - 1) // ranges + 1 if ranges > 1 else (1 << 63) - 1}L"))
-    rows = written(rows, "shard-rows")
-    order = ["place", "doc_id", "size", "text_crc32"]
-    sizes = rows.groupBy("source").agg(F.count("*").alias("in_source"))
-    rows = ranked(rows, ["source"], "range", order, "rank").join(sizes, "source")
-    rows = rows.withColumn("fraction", (2 * F.col("rank") + 1) / (2 * F.col("in_source"))).withColumn("stretch", F.floor(F.col("fraction") * ranges))
-    rows = written(rows.select("doc_id", "source", "size", "text_crc32", "place", "fraction", "stretch"), "shard-ranks")
-    rows = ranked(rows.withColumn("all", F.lit(0)), ["all"], "stretch", ["fraction", "source", *order], "rank")
-    n = max(1, total)
-    rows = rows.withColumn("shard", F.expr(f"rank * {shards}L div {n}L").cast("int"))
-    return rows.select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard",
-        (F.col("rank") - F.expr(f"(shard * {n}L + {shards - 1}L) div {shards}L")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+    few = rows.select(
+        "rid", F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("")).alias("source"),
+        (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("text_hash"),
     )
+    few = written(few.withColumn("place", seeded(seed, "doc_id", "text_hash")).drop("text_hash"), "shard-rows")
+    within = ranked(few, ["source", *ORDER], "shard-sources")
+    # A source is one stretch of that order, so its first rank and its size give the ranks within it.
+    sources = written(within.groupBy("source").agg(F.min("rank").alias("first"), F.count("*").alias("in_source")), "shard-sizes")
+    within = within.join(sources, "source").withColumn("fraction", (2 * (F.col("rank") - F.col("first")) + 1) / (2 * F.col("in_source")))
+    all_rows = ranked(within.drop("rank", "first", "in_source"), ["fraction", "source", *ORDER], "shard-ranks")
+    n = max(1, few.count())
+    out = all_rows.withColumn("shard", F.expr(f"rank * {shards}L div {n}L").cast("int"))
+    return out.select("rid", "doc_id", "size", "text_crc32", "shard", (F.col("rank") - F.expr(f"(shard * {n}L + {shards - 1}L) div {shards}L")).alias("slot"))
+
+
+def assign_shards(docs: DataFrame, shards: int = 8, seed: int = 20_240_501) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row."""
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "source", "text")
+    return placed(rows, shards, seed).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, seed: int = 20_240_501) -> None:
-    """The documents as Parquet, a folder ``shard=k`` each, in slot order.
+    """The documents as Parquet, a folder ``shard=k`` each, in slot order; every row once, whatever its id.
 
-    doc_id must be unique here, as it joins places to documents.
+    A column named shard gives way to the shard's number.
     """
-    places = assign_shards(docs, shards, seed).select("doc_id", "shard", "slot")
-    docs.join(places, "doc_id").repartition("shard", F.expr("slot div 100000")).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    rows = numbered(docs)
+    places = placed(rows.select("rid", "row.doc_id", "row.source", "row.text"), shards, seed).select("rid", F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
+    out = rows.join(places, "rid").repartition("_shard", F.expr("_slot div 100000")).sortWithinPartitions("_shard", "_slot")
+    kept = [F.col(f"row.`{c}`") for c in docs.columns if c != "shard"]
+    out.select(*kept, F.col("_slot").alias("slot"), F.col("_shard").alias("shard")).write.partitionBy("shard").parquet(path)
