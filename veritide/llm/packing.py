@@ -5,10 +5,14 @@
 2. What is packed is the histogram of piece lengths. It has at most ``capacity``
    rows for any corpus, so the driver plans on it: pieces of one length are alike.
    Bins that are filled alike form one group with a count. Best fit decreasing
-   makes the first plan; then the local search moves a piece, exchanges one for
-   one or two for one between underfull bins whenever the sum of squared fills
-   grows, for whole groups at once, until emptied bins bring the plan to the lower
-   bound or nothing improves it.
+   makes the first plan; then the local search moves pieces or exchanges one for one
+   or two for one between underfull bins whenever the sum of squared fills grows,
+   for whole groups at once, until emptied bins bring the plan to the lower bound or
+   no such step is left anywhere. Where the bound isn't reached, the search also
+   starts from best fit in a seeded order, and the plan with fewer bins counts. No
+   number of steps or bins is capped. Where best fit alone reaches the bound, no
+   search could do better and there is nothing for it to do; ``Search.steps`` counts
+   what it did.
 3. Each piece has a rank among the pieces of its length (place in its task plus the
    counts of the tasks before), and the plan says for each range of ranks which
    sequence and offset they take. No task sees more than its own pieces.
@@ -24,6 +28,8 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
+from heapq import heappop, heappush
 from itertools import combinations
 
 import numpy as np
@@ -122,8 +128,8 @@ def changed(b: Bin, out: tuple[int, ...], into: tuple[int, ...]) -> Bin:
     return tuple(sorted(((n, k) for n, k in count.items() if k), reverse=True))
 
 
-def best_fit(histogram: dict[int, int], capacity: int) -> Counter[Bin]:
-    """Best fit decreasing on lengths: groups of equal bins instead of bins."""
+def best_fit(histogram: dict[int, int], capacity: int, order: list[int]) -> Counter[Bin]:
+    """Best fit on lengths, taken in this order: groups of equal bins instead of bins."""
     by_room: dict[int, Counter[Bin]] = {}
     done: Counter[Bin] = Counter()
 
@@ -134,7 +140,7 @@ def best_fit(histogram: dict[int, int], capacity: int) -> Counter[Bin]:
         else:
             done[b] += times
 
-    for length in sorted(histogram, reverse=True):
+    for length in order:
         left = histogram[length]
         for room in sorted(r for r in by_room if r >= length):
             group = by_room[room]
@@ -168,67 +174,128 @@ def best_fit(histogram: dict[int, int], capacity: int) -> Counter[Bin]:
     return done
 
 
-def improving(a: Bin, b: Bin, capacity: int) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
-    """What goes from a to b and what comes back, so that the fuller of both gets fuller.
+@dataclass
+class Search:
+    """The local search over groups of equal bins, with what it has done.
 
-    Squared fill grows if b ends above the fuller of the two. Tried in order: the
-    longest move, the best one-for-one, the best two-for-one exchange.
+    A step takes one or two pieces out of a source bin and puts back one piece or none
+    from a target. It is known by the room the target has without that piece: what comes
+    must fit there (``room >= pieces``) and leave the target fuller than the source was
+    (``room < pieces + room of the source``), so that squared fill grows. For each such
+    room the smallest piece that can be given back is kept, and a step is found by one
+    look at a range of rooms.
     """
-    fa, fb = fill(a), fill(b)
-    room, need = capacity - fb, max(0, fa - fb)
-    fitting = [n for n, _ in a if need < n <= room]
-    if fitting:
-        return (max(fitting),), ()
-    best, found = need, None
-    for x, _ in a:
-        for y, _ in b:
-            if best < x - y <= room:
-                best, found = x - y, ((x,), (y,))
-    if found:
-        return found
-    have = dict(a)
-    for x, z in [*combinations(have, 2), *((n, n) for n, k in a if k > 1)]:
-        for y, _ in b:
-            if best < x + z - y <= room:
-                best, found = x + z - y, ((x, z), (y,))
-    return found
-
-
-def local_search(bins: Counter[Bin], capacity: int, steps: int = 20_000) -> Counter[Bin]:
-    """Empty the emptiest bins into the others' room while squared fill grows."""
-    total = sum(fill(b) * k for b, k in bins.items())
-    least = -(-total // capacity)
-    bins = Counter({b: k for b, k in bins.items() if k and b})
-    while sum(bins.values()) > least and steps > 0:
-        under = sorted((b for b in bins if fill(b) < capacity), key=lambda b: (fill(b), b))
-        step = None
-        for i, a in enumerate(under[:8]):
-            for b in reversed(under[i:]):
-                steps -= 1
-                if (a != b or bins[a] > 1) and (found := improving(a, b, capacity)):
-                    step = (a, b, *found)
-                    break
-            if step or steps <= 0:
-                break
-        if not step:
+
+    capacity: int
+    bins: Counter[Bin] = field(default_factory=Counter)
+    steps: Counter[str] = field(default_factory=Counter)
+
+    def __post_init__(self):
+        self.given: list[list[tuple[int, Bin]]] = [[] for _ in range(self.capacity + 1)]  # by room: (piece given back, bin), smallest first
+        self.least = np.full(self.capacity + 1, self.capacity + 1)
+        for b in self.bins:
+            self._enter(b)
+
+    def _rooms(self, b: Bin) -> Iterator[tuple[int, int]]:
+        room = self.capacity - fill(b)
+        if room:
+            yield room, 0
+            for n, _ in b:
+                yield room + n, n
+
+    def _enter(self, b: Bin) -> None:
+        for room, piece in self._rooms(b):
+            heappush(self.given[room], (piece, b))
+            self.least[room] = min(self.least[room], piece)
+
+    def _refresh(self, b: Bin) -> None:
+        """Forget bins that are used up, where this one stood."""
+        for room, _ in self._rooms(b):
+            heap = self.given[room]
+            while heap and not self.bins[heap[0][1]]:
+                heappop(heap)
+            self.least[room] = heap[0][0] if heap else self.capacity + 1
+
+    def _take(self, b: Bin, times: int) -> None:
+        self.bins[b] -= times
+        if not self.bins[b]:
+            self._refresh(b)
+            del self.bins[b]
+
+    def _put(self, b: Bin, times: int) -> None:
+        if b:
+            if b not in self.bins:
+                self._enter(b)
+            self.bins[b] += times
+
+    def step(self, a: Bin) -> bool:
+        """One improving step, if there is one, out of the bins that are filled like ``a``."""
+        held = self.bins[a]
+        self._take(a, 1)
+        room = self.capacity - fill(a)
+        have = [n for n, _ in a]
+        found = None
+        for out in [*((n,) for n in have), *combinations(have, 2), *((n, n) for n, k in a if k > 1)]:
+            total = sum(out)
+            if total <= self.capacity:
+                fits = np.flatnonzero(self.least[total : total + room] < total)
+                if len(fits) and (found is None or fits[0] < found[0]):
+                    found = (int(fits[0]), out, total + int(fits[0]))
+                    if not fits[0]:
+                        break
+        if found is None:
+            self._put(a, 1)
+            return False
+        _, out, at = found
+        piece, b = self.given[at][0]
+        back = (piece,) if piece else ()
+        times = 1 + (self.bins[a] - 1) // 2 if a == b else min(held, self.bins[b])
+        if a == b:
+            self._take(a, times * 2 - 1)
+        else:
+            if times > 1:
+                self._take(a, times - 1)
+            self._take(b, times)
+        self._put(changed(a, out, back), times)
+        self._put(changed(b, back, out), times)
+        self.steps[f"{len(out)} for {len(back)}"] += times
+        return True
+
+    def run(self) -> None:
+        """From the emptiest bins on, again and again, until the lower bound is reached or no bin has a step."""
+        least = -(-sum(fill(b) * k for b, k in self.bins.items()) // self.capacity)
+        going = True
+        while going and self.bins.total() > least:
+            going = False
+            for a in sorted((b for b in self.bins if fill(b) < self.capacity), key=lambda b: (fill(b), b)):
+                if self.bins.get(a) and self.step(a):
+                    going = True
+                    if self.bins.total() <= least:
+                        return
+
+
+def searched(histogram: dict[int, int], capacity: int) -> tuple[Search, int]:
+    """The finished search and the number of bins it began with."""
+    lengths = sorted(n for n, k in histogram.items() if k)
+    orders = [lengths[::-1], np.random.default_rng(20_240_505).permutation(lengths).tolist()]
+    least, best = -(-sum(n * k for n, k in histogram.items()) // capacity), None
+    for order in orders:
+        bins = best_fit(histogram, capacity, order)
+        search = Search(capacity, Counter({b: k for b, k in bins.items() if b and k}))
+        began = search.bins.total()
+        search.run()
+        if best is None or search.bins.total() < best[0].bins.total():
+            best = (search, began)
+        if best[0].bins.total() <= least:
             break
-        a, b, out, back = step
-        times = bins[a] // 2 if a == b else min(bins[a], bins[b])
-        for old in (a, b):
-            bins[old] -= times
-            if not bins[old]:
-                del bins[old]
-        for new in (changed(a, out, back), changed(b, back, out)):
-            if new:
-                bins[new] += times
-    return bins
+    return best
 
 
 def plan(histogram: dict[int, int], capacity: int) -> np.ndarray:
     """Rows (length, first rank, sequence of it, per sequence, offset), by length and rank."""
     rank: Counter[int] = Counter()
     rows, sequence = [], 0
-    for b, times in sorted(local_search(best_fit(histogram, capacity), capacity).items()):
+    for b, times in sorted(searched(histogram, capacity)[0].bins.items()):
         at = 0
         for length, each in b:
             rows.append((length, rank[length], sequence, each, at))
