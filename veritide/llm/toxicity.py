@@ -1,27 +1,37 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nyström landmarks.
 
-The kernel of two strings counts their common subsequences of four letters within a
-span of seven characters, each occurrence weighted by a decay to the power of its span.
-So an insult is recognised with gaps and inserted characters: letters are folded
-(case, accents, look-alike digits), and every other character only takes up room.
-
-Landmarks are fragments that labelled texts show to be telling. Strings are mapped to
-kernel values with the landmarks times the inverse root of the landmarks' own kernel
-matrix, and a linear support vector machine is fitted there on sentences. Labels are
-given for whole texts, so a toxic text is represented by the sentence that scores
-highest, chosen again after each fit; a clean one by its worst sentences. A text's score
-is the calibrated score of its worst sentence.
+The kernel of two strings counts their common subsequences of four signs within a span
+of seven characters, each occurrence weighted by a decay to the power of its span. Signs
+are letters and the start of a word; every other character only takes up room. So an
+insult is recognised with gaps and inserted characters. Letters are folded: case,
+accents and look-alike digits; letters of scripts beyond Latin are numbered by their
+code points.
+
+Landmarks are fragments of words, word starts included, that labelled texts show to be
+telling. They are chosen one by one, and toxic texts that have several of them already
+count less, so those of rarer languages and topics get their share. Strings are mapped
+to kernel values with the landmarks times the inverse root of the landmarks' own kernel
+matrix, and a linear support vector machine is fitted there on windows of about eighty
+characters. Windows end at sentence ends and never within a word. Labels are given for
+whole texts, so a toxic text is represented by its highest windows, chosen again after
+each fit, and by landmarks that clean texts don't have, alone and with gaps; a clean one
+by its worst windows. A text's score is the calibrated sum of its three worst windows,
+as far as they are beyond the margin of clean ones; windows are laid twice, half a
+window apart, and the worse laying counts.
 
 The machine is linear in the subsequences of its landmarks, so it is folded into one
 weight for each of them, and a text is scored in one pass over its letters.
 
 Fitted on at most ``TRAINING_TEXTS`` labelled texts, half of either label, taken in the
-order of a hash; all texts are scored whole.
-
-Defined results: null and empty texts get the score of a sentence without any match;
-rows with ids that repeat or are null are scored each; without labels of both kinds
-every score is the share of toxic labels (0 if there are none); other columns are
-ignored, whatever their names; an empty table gives none.
+order of a hash. Executors list their words (at most ``WORDS_A_TEXT`` distinct ones by
+hash) and embed their windows (the ``WINDOWS_A_TEXT`` most like a landmark); only those
+go to the driver. All texts are scored whole.
+
+Defined results: null and empty texts get the score of a text without any match; rows
+with ids that repeat or are null are scored each; for the fit an id labelled 0 and 1
+counts as toxic, and of rows with one id the text that sorts first is taken; without
+labels of both kinds every score is the share of toxic labels (0 if there are none);
+other columns are ignored, whatever their names; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -35,24 +45,30 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veritide.llm.scratch import written
+
 LENGTH, SPAN, DECAY = 4, 7, 0.8
-LANDMARKS, ROUNDS, SURE = 96, 4, 12
-TRAINING_TEXTS = 5_000
-SENTENCE = 80  # a sentence ends at . ! ? or a line's end, or after so many characters
+LANDMARKS, ROUNDS, WORST = 160, 4, 3
+TRAINING_TEXTS, WORDS_A_TEXT, WINDOWS_A_TEXT = 5_000, 1_000, 16
+HALF_WINDOW = 40  # a window is two halves; a half begins with the first word behind so many characters
 OFFSETS = [(0, *c) for c in combinations(range(1, SPAN), LENGTH - 1)]
 # Look-alikes of letters.
 LOOK_ALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "ß": "s"}
-GAP, STOP, CODES = 0, 31, 32
+GAP, WORD, STOP, CODES = 0, 27, 31, 32
 
 
 def _code_table() -> np.ndarray:
-    table = np.zeros(0x250, np.uint8)
-    for point in range(0x250):
-        c = unicodedata.normalize("NFKD", LOOK_ALIKES.get(chr(point), chr(point)).lower())[0]
-        table[point] = ord(c) - 96 if "a" <= c <= "z" else GAP
+    table = np.zeros(0x10000, np.uint8)
+    for point in range(0x10000):
+        c = unicodedata.normalize("NFKD", LOOK_ALIKES.get(chr(point), chr(point)).lower())[:1]
+        if "a" <= c <= "z":
+            table[point] = ord(c) - 96
+        elif c.isalpha():
+            table[point] = 1 + ord(c) % 26
     for c in ".!?\n\r":
         table[ord(c)] = STOP
     return table
@@ -62,10 +78,12 @@ CODE = _code_table()
 
 
 def codes(text: str | None) -> np.ndarray:
-    """A letter's number, 0 for what only takes up room, STOP where a sentence ends."""
+    """A letter's number, WORD before a word, STOP where a sentence ends, 0 for what only takes up room."""
     points = np.frombuffer((text or "").encode("utf-32-le", "replace"), np.uint32)
-    c = CODE[np.where(points < len(CODE), points, 32)]
-    letter = (c > GAP) & (c < STOP)
+    c = np.concatenate(([STOP], CODE[np.where(points < len(CODE), points, 32)])).astype(np.uint8)
+    letter = (c > GAP) & (c < WORD)
+    before = c[:-1]
+    before[letter[1:] & (before == GAP)] = WORD
     alone = letter.copy()
     alone[1:] &= ~letter[:-1]
     alone[:-1] &= ~letter[1:]
@@ -79,27 +97,44 @@ def codes(text: str | None) -> np.ndarray:
     return np.concatenate((c, [STOP], np.insert(c[spelt], apart, STOP))).astype(np.uint8)
 
 
-def sentence_of(c: np.ndarray) -> np.ndarray:
-    """The number of the sentence that each character is in."""
-    stops = np.flatnonzero(c == STOP) + 1
-    edges = np.concatenate(([0], stops[stops < len(c)], [len(c)]))
-    lengths = np.diff(edges)
-    whole = np.repeat(np.arange(len(lengths)), lengths)
-    within = np.arange(len(c)) - np.repeat(edges[:-1], lengths)
-    parts = np.maximum(1, -(-lengths // SENTENCE))
-    first = np.cumsum(parts) - parts
-    return first[whole] + within // SENTENCE
+def runs(start: np.ndarray) -> np.ndarray:
+    """For each place the last place at or before it that is marked, 0 if none is."""
+    return np.maximum.accumulate(np.where(start, np.arange(len(start)), 0))
+
+
+def halves_of(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of the half window that each character is in, and of each half its place in its sentence.
+
+    A half ends with a sentence or before the first word that begins behind its length.
+    """
+    if not len(c):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    stop = c == STOP
+    sentence = runs(stop)
+    letter = (c > GAP) & (c < WORD)
+    begins = ~letter
+    begins[0] = True
+    place = (runs(begins) - sentence) // HALF_WINDOW
+    new = np.ones(len(c), bool)
+    new[1:] = (sentence[1:] != sentence[:-1]) | (place[1:] != place[:-1])
+    half = np.cumsum(new) - 1
+    return half, place[new]
 
 
 def padded(c: np.ndarray) -> np.ndarray:
     out = np.zeros(len(c) + SPAN, np.int32)
-    out[: len(c)] = np.where(c == STOP, GAP, c)
+    out[: len(c)] = c
+    stop = np.flatnonzero(c == STOP)
+    following = out[stop + 1]
+    out[stop] = np.where((following > GAP) & (following < WORD), WORD, GAP)
     return out
 
 
 def vector(text: str) -> Counter[int]:
     """The kernel's feature map of a short string: each subsequence's number and weight."""
     c, out = padded(codes(text)).tolist(), Counter()
+    if not text.startswith(" "):
+        c = [GAP, *c[1:]]
     for i in range(len(c) - SPAN):
         for offsets in OFFSETS:
             letters = [c[i + k] for k in offsets]
@@ -113,8 +148,7 @@ class Model:
     numbers: np.ndarray  # of the subsequences that have a weight, sorted
     weights: np.ndarray
     bias: float
-    scale: float
-    shift: float
+    curve: tuple[float, float, float]  # of the worst windows' sum, the logarithm of the text's halves and one
     share: float
 
     def __post_init__(self):
@@ -127,7 +161,7 @@ class Model:
     def found(self, c: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
         """For each shape of gaps: where known subsequences begin, their rows, and their weight.
 
-        Letters are added one by one; what begins no known subsequence goes at once.
+        Signs are added one by one; what begins no known subsequence goes at once.
         """
         c = padded(c)
         n = len(c) - SPAN
@@ -146,55 +180,114 @@ class Model:
                     if len(hit):
                         yield at3[hit], row[hit], DECAY ** (fourth + 1)
 
-    def sums(self, c: np.ndarray, sentence: np.ndarray) -> np.ndarray:
-        n = int(sentence[-1]) + 1 if len(sentence) else 1
-        total = np.zeros(n)
+    def worst(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text the sum of its worst windows and its size; texts are joined for speed, apart by stops."""
+        each = [np.concatenate((codes(t), np.full(SPAN, STOP, np.uint8))) for t in texts]
+        c = np.concatenate(each)
+        half, place = halves_of(c)
+        sums = np.zeros(len(place))
         for at, row, weight in self.found(c):
-            total += np.bincount(sentence[at], self.weights[row] * weight, n)
-        return total
+            sums += np.bincount(half[at], self.weights[row] * weight, len(place))
+        starts = half[np.cumsum([0, *(len(x) for x in each[:-1])])]
+        out = np.zeros(len(texts))
+        for shift in (0, 1):
+            window = (place + shift) // 2
+            new = np.ones(len(place), bool)
+            new[1:] = (place[1:] == 0) | (window[1:] != window[:-1])
+            number = np.cumsum(new) - 1
+            beyond = np.maximum(0, np.bincount(number, sums) + self.bias + 1)
+            edges = [*number[starts].tolist(), int(number[-1]) + 1]
+            out = np.maximum(out, [top(beyond[a:b]) for a, b in zip(edges, edges[1:])])
+        return out, np.log([len(x) / HALF_WINDOW + 1 for x in each])
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        """Of each text, from the sums of its sentences; texts are joined for speed, apart by a stop."""
         if not len(self.numbers) or not texts:
             return np.full(len(texts), self.share)
-        each = [np.concatenate((codes(t), np.full(SPAN, STOP, np.uint8))) for t in texts]
-        c = np.concatenate(each) if each else np.zeros(0, np.uint8)
-        sentence = sentence_of(c)
-        sums = self.sums(c, sentence)
-        starts = np.cumsum([0, *(len(x) for x in each[:-1])])
-        first = sentence[starts] if len(starts) else starts
-        worst = np.maximum.reduceat(sums, first) if len(first) else np.zeros(0)
-        return 1 / (1 + np.exp(-np.clip(self.scale * (worst + self.bias) + self.shift, -30, 30)))
+        worst, size = self.worst(texts)
+        a, b, c = self.curve
+        return 1 / (1 + np.exp(-np.clip(a * worst + b * size + c, -30, 30)))
+
+
+def top(beyond: np.ndarray) -> float:
+    """The sum of the largest few."""
+    return float((beyond if len(beyond) <= WORST else np.partition(beyond, -WORST)[-WORST:]).sum())
+
+
+def words_of(text: str | None) -> list[str]:
+    """Distinct folded words of four letters and more, a space before each; of very many those with the smallest hashes."""
+    c = codes(text)
+    found = {w for w in np.where((c > GAP) & (c < WORD), c + 96, 32).astype(np.uint8).tobytes().decode().split() if len(w) > 3}
+    if len(found) > WORDS_A_TEXT:
+        found = set(sorted(found, key=lambda w: (xxhash.xxh3_64_intdigest(w), w))[:WORDS_A_TEXT])
+    return sorted(f" {w}" for w in found)
+
 
+def fragments(word: str) -> set[str]:
+    return {word[i : i + n] for n in range(5, 10) for i in range(len(word) - n + 1)}
 
-def telling_fragments(texts: list[str], toxic: np.ndarray, most: int) -> list[str]:
-    """Fragments of words, four to eight letters, that toxic texts have and clean ones don't."""
+
+def telling_fragments(bags: list[list[str]], toxic: np.ndarray, most: int) -> tuple[list[str], list[str]]:
+    """Fragments of words that toxic texts have and clean ones don't, and those of them that are sure signs.
+
+    Counts are of texts. Each next one is worth what it adds: a toxic text counts less
+    for each fragment that it has already; clean texts with it count against it.
+    """
+    bad, clean = int(toxic.sum()), int((1 - toxic).sum())
     counts: dict[str, list[int]] = {}
-    for text, y in zip(texts, toxic):
-        c = codes(text)
-        for word in {w for w in np.where((c > GAP) & (c < STOP), c + 96, 32).astype(np.uint8).tobytes().decode().split() if len(w) > 3}:
+    for bag, y in zip(bags, toxic):
+        for word in bag:
             counts.setdefault(word, [0, 0])[int(y)] += 1
-    found: dict[str, list[int]] = {}
-    for word, (clean, bad) in counts.items():
-        if bad:
-            for n in range(4, 9):
-                for x in {word[i : i + n] for i in range(len(word) - n + 1)}:
-                    found.setdefault(x, [0, 0])[1] += bad
-    for word, (clean, _) in counts.items():
-        if clean:
-            for n in range(4, 9):
-                for x in {word[i : i + n] for i in range(len(word) - n + 1)}:
-                    if x in found:
-                        found[x][0] += clean
-    share = toxic.mean()
-    score = {x: (b - 5 * c * share / (1 - share)) * len(x) ** 0.5 for x, (c, b) in found.items() if b >= 4 and b > 8 * c * share / (1 - share)}
-    chosen: list[str] = []
-    for x in sorted(score, key=lambda x: (-score[x], x)):
-        if len(chosen) == most:
-            break
-        if not any(x in y or y in x for y in chosen):
-            chosen.append(x)
-    return chosen
+    hoped: Counter[str] = Counter()
+    for word, (_, b) in counts.items():
+        if b:
+            for x in fragments(word):
+                hoped[x] += b
+    hoped = Counter({x: n for x, n in hoped.items() if n >= 4})
+    against: Counter[str] = Counter()
+    for word, (c, _) in counts.items():
+        if c:
+            for x in fragments(word):
+                if x in hoped:
+                    against[x] += c
+    some = [x for x, n in hoped.items() if n / bad > 4 * against[x] / clean]
+    some = sorted(some, key=lambda x: (-(hoped[x] / bad - 4 * against[x] / clean) * len(x) ** 0.5, x))[: 40 * most]
+    number = {x: k for k, x in enumerate(some)}
+    of_word: dict[str, list[int]] = {}
+    has: list[list[int]] = [[] for _ in some]  # texts of each fragment
+    for t, bag in enumerate(bags):
+        own: set[int] = set()
+        for word in bag:
+            if word not in of_word:
+                of_word[word] = [number[x] for x in fragments(word) if x in number]
+            own.update(of_word[word])
+        for k in own:
+            has[k].append(t)
+    left = np.where(toxic == 1, 1 / bad, -1 / clean)
+    held = [np.array(h, int) for h in has]
+    length = np.array([len(x) ** 0.5 for x in some])
+    open_, chosen = np.ones(len(some), bool), []
+    worth = np.array([left[h].sum() for h in held]) * length
+    while open_.any() and len(chosen) < most:
+        # What a fragment is worth only falls, so most of the old figures need not be made anew.
+        k = int(np.argmax(np.where(open_, worth, -np.inf)))
+        now = float(left[held[k]].sum() * length[k])
+        if now < worth[k] - 1e-12:
+            worth[k] = now
+            continue
+        if now <= 0 or sum(toxic[held[k]]) < 4:
+            open_[k] = False
+            continue
+        chosen.append(k)
+        open_[k] = False
+        for j in np.flatnonzero(open_):
+            if some[j] in some[k] or some[k] in some[j]:
+                open_[j] = False
+        mine = held[k][toxic[held[k]] == 1]
+        left[mine] *= 0.8
+    # A sure sign begins a word and shares its beginning with next to no clean text.
+    stems = Counter(x for bag, y in zip(bags, toxic) if not y for x in {w[:6] for w in bag})
+    sure = [k for k in chosen if some[k][0] == " " and toxic[held[k]].sum() >= 8 and stems[some[k][:6]] * 100 * bad <= toxic[held[k]].sum() * clean]
+    return [some[k] for k in chosen], [some[k] for k in sure]
 
 
 def support_vector_machine(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 50) -> np.ndarray:
@@ -216,12 +309,38 @@ def support_vector_machine(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rou
     return w
 
 
-def fit(texts: list[str], toxic: np.ndarray) -> Model:
-    share = float(toxic.mean()) if len(toxic) else 0.0
-    empty = Model(np.zeros(0, np.int64), np.zeros(0), 0.0, 1.0, 0.0, share)
-    landmarks = telling_fragments(texts, toxic, LANDMARKS) if 0 < share < 1 else []
-    if not landmarks:
-        return empty
+@dataclass
+class Space:
+    """The landmarks' space: weights of subsequences in each of its dimensions."""
+
+    numbers: np.ndarray
+    weights: np.ndarray
+    likeness: np.ndarray  # a direction: likeness to any landmark
+
+    def __post_init__(self):
+        self.probe = Model(self.numbers, np.zeros(len(self.numbers)), 0.0, (1.0, 0.0, 0.0), 0.0)
+
+    def embedded(self, text: str | None) -> np.ndarray:
+        """A row for each window with any known subsequence, the likest ones, and one of zeros besides."""
+        c = codes(text)
+        half, place = halves_of(c)
+        window = half - place[half] % 2
+        hits = [(window[at], row, np.full(len(at), weight)) for at, row, weight in self.probe.found(c)]
+        if not hits:
+            return np.zeros((1, self.weights.shape[1]), np.float32)
+        names, cols, vals = map(np.concatenate, zip(*hits))
+        pairs, at = np.unique(names * len(self.weights) + cols, return_inverse=True)
+        vals, (names, cols) = np.bincount(at, vals), np.divmod(pairs, len(self.weights))
+        starts = np.flatnonzero(np.diff(names, prepend=-1))
+        out = np.zeros((len(starts) + 1, self.weights.shape[1]))
+        for k, (a, b) in enumerate(zip(starts.tolist(), [*starts[1:].tolist(), len(names)])):
+            out[k] = vals[a:b] @ self.weights[cols[a:b]]
+        if len(out) > WINDOWS_A_TEXT:
+            out = out[np.sort(np.argsort(-(out @ self.likeness), kind="stable")[:WINDOWS_A_TEXT])]
+        return out.astype(np.float32)
+
+
+def space_of(landmarks: list[str]) -> Space:
     maps = [vector(x) for x in landmarks]
     numbers = np.array(sorted(set().union(*maps)))
     of = {x: i for i, x in enumerate(numbers.tolist())}
@@ -232,65 +351,85 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     dense /= np.sqrt((dense**2).sum(axis=0))
     values, vectors = np.linalg.eigh(dense.T @ dense)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-    to_space = dense @ root  # feature weights of each dimension
-    probe = Model(numbers, np.zeros(len(numbers)), 0.0, 1.0, 0.0, share)
+    to_space = dense @ root
+    return Space(numbers, to_space, to_space.T @ dense.sum(axis=1))
 
-    def embedded(text: str) -> np.ndarray:
-        """A row for each sentence with any known subsequence; one of zeros besides."""
-        c = codes(text)
-        sentence = sentence_of(c)
-        hits = [(sentence[at], row, np.full(len(at), weight)) for at, row, weight in probe.found(c)]
-        if not hits:
-            return np.zeros((1, len(maps)))
-        rows, cols, vals = map(np.concatenate, zip(*hits))
-        names, rows = np.unique(rows, return_inverse=True)
-        out = np.zeros((len(names) + 1, len(maps)))
-        np.add.at(out, rows, to_space[cols] * vals[:, None])
-        return out
-
-    sure = [written for x in landmarks[:SURE] for written in (" ".join(x), "-".join(x), f"{x[: len(x) // 2]}*{x[len(x) // 2 :]}")]
-    bags = [embedded(t) for t in texts]
-    w = np.append(to_space.T @ dense.sum(axis=1), 0.0)  # at first: likeness to any landmark
-    gapped = [v for x in sure for v in embedded(x)[:1]]
+
+def spelt_out(fragment: str) -> list[str]:
+    """A fragment alone, and with gaps and inserted characters."""
+    x = fragment.strip()
+    return [x, "-".join(x), f"{x[: len(x) // 2]}*{x[len(x) // 2 :]}", f"{x[:1]}.{x[1:]}", f"{x[:-1]}_{x[-1:]}"]
+
+
+def size_of(text: str | None) -> float:
+    """As ``Model.worst`` has it."""
+    return float(np.log((len(codes(text)) + SPAN) / HALF_WINDOW + 1))
+
+
+def fitted(space: Space, bags: list[np.ndarray], sizes: np.ndarray, toxic: np.ndarray, sure: list[str]) -> Model:
+    alone = [space.embedded(v) for x in sure for v in spelt_out(x)]
+    rows = [b[np.argmax(b @ space.likeness)] for b in alone]
+    w = np.append(space.likeness, 0.0)  # at first: likeness to any landmark
     for _ in range(ROUNDS):
-        x, y = [*gapped], [1.0] * len(gapped)
+        x, y = [*rows], [1.0] * len(rows)
         for bag, bad in zip(bags, toxic):
-            s = bag @ w[:-1]
-            for k in np.argsort(-s)[: 1 if bad else 2]:
+            s = bag @ w[:-1] + w[-1]
+            order = np.argsort(-s)[:WORST]
+            for k in order[:1] if not bad else [k for k in order if k == order[0] or s[k] > 0]:
                 x.append(bag[k])
                 y.append(1.0 if bad else -1.0)
-        w = support_vector_machine(np.array(x), np.array(y))
-    tops = np.array([(bag @ w[:-1]).max() + w[-1] for bag in bags])
-    scale, shift = calibrated(tops, toxic)
-    return Model(numbers, to_space @ w[:-1], float(w[-1]), scale, shift, share)
+            if not bad:
+                x += [bag[k] for k in order[1:]]
+                y += [-1.0] * (len(order) - 1)
+        w = support_vector_machine(np.array(x, float), np.array(y))
+    beyond = lambda bag: top(np.maximum(0, bag @ w[:-1] + w[-1] + 1))
+    tops = np.array([beyond(b) for b in [*bags, *alone]])
+    sizes = np.concatenate((sizes, [size_of(v) for x in sure for v in spelt_out(x)]))
+    curve = calibrated(np.column_stack((tops, sizes)), np.concatenate((toxic, np.ones(len(alone), int))))
+    return Model(space.numbers, space.weights @ w[:-1], float(w[-1]), curve, float(toxic.mean()))
 
 
-def calibrated(tops: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve, by Newton's method with step halving.
+def constant(share: float) -> Model:
+    return Model(np.zeros(0, np.int64), np.zeros(0), 0.0, (1.0, 0.0, 0.0), share)
+
+
+def fit(texts: list[str], toxic: np.ndarray) -> Model:
+    """The same fit as ``train``, on texts at hand."""
+    share = float(toxic.mean()) if len(toxic) else 0.0
+    landmarks, sure = telling_fragments([words_of(t) for t in texts], toxic, LANDMARKS) if 0 < share < 1 else ([], [])
+    if not landmarks:
+        return constant(share)
+    space = space_of(landmarks)
+    return fitted(space, [space.embedded(t) for t in texts], np.array([size_of(t) for t in texts]), toxic, sure)
+
+
+def calibrated(x: np.ndarray, toxic: np.ndarray) -> tuple[float, ...]:
+    """Slopes and offset of a logistic curve, by Newton's method with step halving.
 
     Targets are drawn in from 0 and 1 by the size of either class, so separable scores
-    have a finite slope too.
+    have finite slopes too.
     """
     bad = toxic.astype(bool)
     target = np.where(bad, (bad.sum() + 1) / (bad.sum() + 2), 1 / ((~bad).sum() + 2))
+    x = np.column_stack((x, np.ones(len(x))))
+    penalty = np.full(x.shape[1], 1e-6)
 
-    def loss(a: float, b: float) -> float:
-        z = a * tops + b
-        return float((np.logaddexp(0, z) - target * z).sum()) + 1e-6 * (a * a + b * b)
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - target * z).sum() + (penalty * w * w).sum())
 
-    a, b = 0.0, float(np.log((bad.sum() + 1) / ((~bad).sum() + 1)))
+    w = np.zeros(x.shape[1])
+    w[-1] = np.log((bad.sum() + 1) / ((~bad).sum() + 1))
     for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(a * tops + b, -500, 500)))
-        r = p * (1 - p)
-        g = np.array([((p - target) * tops).sum() + 2e-6 * a, (p - target).sum() + 2e-6 * b])
-        h = np.array([[(r * tops * tops).sum() + 1e-6, (r * tops).sum()], [(r * tops).sum(), r.sum() + 1e-6]])
-        step, scale, now = np.linalg.solve(h, g), 1.0, loss(a, b)
-        while scale > 1e-6 and loss(a - scale * step[0], b - scale * step[1]) > now - 1e-4 * scale * float(g @ step):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        g = x.T @ (p - target) + 2 * penalty * w
+        step, scale, now = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), g), 1.0, loss(w)
+        while scale > 1e-6 and loss(w - scale * step) > now - 1e-4 * scale * float(g @ step):
             scale /= 2
-        a, b = a - scale * step[0], b - scale * step[1]
+        w = w - scale * step
         if np.abs(g).max() < 1e-6 or scale <= 1e-6:
             break
-    return float(a), float(b)
+    return tuple(w.tolist())
 
 
 def held_out() -> Column:
@@ -300,20 +439,43 @@ def held_out() -> Column:
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fitted on labelled rows that aren't held out, at most ``TRAINING_TEXTS`` of them."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic is not null and doc_id is not null").filter(~held_out())
+    known = known.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     order = F.xxhash64(F.lit(20_240_503), "doc_id")
     half = TRAINING_TEXTS // 2
     some = [known.filter(F.col("toxic") == y).withColumn("place", order).orderBy("place", "doc_id").limit(half) for y in (1, 0)]
-    chosen = F.broadcast(some[0].unionByName(some[1]).dropDuplicates(["doc_id"]))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(chosen, "doc_id").select("doc_id", "text", "toxic").collect()
-    rows = sorted(((r["doc_id"], r["text"] or "", r["toxic"]) for r in rows))
-    return fit([r[1] for r in rows], np.array([r[2] for r in rows], int))
+    chosen = F.broadcast(some[0].unionByName(some[1]).select("doc_id", "toxic"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    sample = docs.select(F.col("doc_id").cast("long"), text.alias("text")).join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    sample = written(sample, "toxic-sample").repartition(TRAINING_TEXTS // 200)
+
+    def list_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [pa.array([size_of(t.as_py()) for t in batch.column(2)], pa.float64()), pa.array([words_of(t.as_py()) for t in batch.column(2)], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "toxic", "size", "words"])
+
+    rows = sorted((r["doc_id"], r["toxic"], r["words"], r["size"]) for r in sample.select("doc_id", "toxic", "text").mapInArrow(list_words, "doc_id long, toxic int, size double, words array<string>").collect())
+    toxic = np.array([r[1] for r in rows], int)
+    share = float(toxic.mean()) if len(toxic) else 0.0
+    landmarks, sure = telling_fragments([r[2] for r in rows], toxic, LANDMARKS) if 0 < share < 1 else ([], [])
+    if not landmarks:
+        return constant(share)
+    space = space_of(landmarks)
+    shared = docs.sparkSession.sparkContext.broadcast((space.numbers, space.weights, space.likeness))
+
+    def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Space(*shared.value)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.embedded(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], ["doc_id", "rows"])
+
+    found = {r["doc_id"]: np.frombuffer(r["rows"], np.float32).reshape(-1, len(landmarks)) for r in sample.select("doc_id", "text").mapInArrow(embed, "doc_id long, rows binary").collect()}
+    return fitted(space, [found[r[0]] for r in rows], np.array([r[3] for r in rows]), toxic, sure)
 
 
 SCORE_SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
 def scorer(spark, model: Model):
-    shared = spark.sparkContext.broadcast((model.numbers, model.weights, model.bias, model.scale, model.shift, model.share))
+    shared = spark.sparkContext.broadcast((model.numbers, model.weights, model.bias, model.curve, model.share))
 
     def score(column: pa.Array) -> np.ndarray:
         own = Model(*shared.value)
