@@ -1,15 +1,17 @@
 """Personal data by anchor expansion.
 
-An Aho-Corasick automaton runs once over a text and finds anchors: at-signs, dots
-between digits, plus signs, digits, URL schemes and the cues of identifiers. Each
+An Aho-Corasick automaton runs once over a text and finds anchors: at-signs, digits,
+plus signs, the sign behind URL schemes and the cues of identifiers. Each
 kind has a deterministic parser that starts at an anchor, expands to the widest
 stretch of characters the kind allows, and validates what it cuts out of it (octets,
 Luhn, digit counts, check digits). Matches never cross such stretches, so parsing
 them one by one equals parsing the whole text.
 
 Kinds email, ip, card and phone follow fixed patterns, leftmost and non-overlapping
-per kind, with failing matches dropped and not tried again. Kinds url, iban and ssn
-come from cues and are added to those.
+per kind, with failing matches dropped and not tried again. These kinds are added:
+url from its scheme, in any case; iban and ssn, all that stand between a cue and the end
+of its paragraph and are valid; account, a number of 7 to 17 digits that an account cue
+introduces; secret, the value that is assigned to a word for a credential.
 
 Defined results: null and empty texts have no spans; rows with ids that repeat or are
 null are scanned each; texts may be of any length; ``redact`` keeps every column and
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("email", "ip", "card", "phone", "url", "iban", "ssn")
+KINDS = ("email", "ip", "card", "phone", "url", "iban", "ssn", "account", "secret")
 BASE_KINDS = KINDS[:4]
 # The patterns of the base kinds.
 PATTERNS = {
@@ -37,23 +39,30 @@ PATTERNS = {
     "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
-    "url": re.compile(r"(?:https?|ftp)://[^\s<>\"'\\^`{|}]+"),
+    "url": re.compile(r"(?i:https?|ftp)://[^\s<>\"'\\^`{|}]+"),
     "iban": re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"),
-    "ssn": re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"),
+    "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
+    # Behind a cue: how a value is introduced, and the value.
+    "account": re.compile(r"(?i:[ \t]*(?:number|no\.?|nr\.?|num\.?|#)?)[ \t]*[:#=]?[ \t]*([0-9](?:[ -]?[0-9]){6,16})(?![0-9])"),
+    "secret": re.compile(r"[\"']?[ \t]*(?:=>|[:=])[ \t]*[\"']?([^\s\"',;<>]{6,})"),
 }
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 HOST = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789.-")
 DIGITS = frozenset("0123456789")
+# Words that announce an identifier.
+CUES = {
+    "iban": ("iban",),
+    "ssn": ("ssn", "social security"),
+    "account": ("account", "acct", "konto", "kontonummer", "compte", "cuenta"),
+    "secret": ("password", "passwd", "pwd", "secret", "secret_key", "api_key", "api-key", "apikey", "access_key", "access-key", "auth_token", "access_token", "token", "passwort", "contraseña"),
+}
+PARAGRAPH = re.compile(r"\n[ \t\r]*\n")
 #: What an anchor starts: kind, characters of its stretch to the left and to the right.
 ANCHORS = {
     "@": (("email", LOCAL | {"@"}, HOST | LOCAL | {"@"}),),
     "+": (("phone", frozenset(), frozenset("0123456789 ().-")),),
-    "://": (("url", frozenset("abcdefghijklmnopqrstuvwxyz"), None),),
-    "iban": (("iban", frozenset(), None),),
-    "ssn": (("ssn", frozenset(), None),),
-    "social security": (("ssn", frozenset(), None),),
-}
-CUED_WITHIN = 80  # how far behind its cue an identifier may begin
+    "://": (("url", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), None),),
+} | {cue: ((kind, frozenset(), None),) for kind, cues in CUES.items() for cue in cues}
 SPACE = re.compile(r"\s")
 NUMBER = re.compile(r"[0-9][0-9 .-]*")
 MOD97 = {c: str(i) for i, c in enumerate("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ")}
@@ -83,11 +92,22 @@ def valid(kind: str, found: str) -> bool:
     if kind == "iban":
         code = found.replace(" ", "")
         return 15 <= len(code) <= 34 and int("".join(MOD97[c] for c in code[4:] + code[:4])) % 97 == 1
+    if kind == "secret":
+        return any(c in DIGITS for c in found) and any(c.isalpha() for c in found)
     if kind == "ssn":
         return found[:3] not in ("000", "666") and found[0] != "9" and found[4:6] != "00" and found[7:] != "0000"
     return True
 
 
+def shorter(kind: str, m: re.Match) -> Iterator[int]:
+    """Where a match may end: an IBAN also before groups that only follow it."""
+    yield m.end()
+    if kind == "iban":
+        for k in range(m.end() - 1, m.start() + 14, -1):
+            if m.string[k] == " ":
+                yield k
+
+
 def automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for cue in (*ANCHORS, *sorted(DIGITS)):
@@ -160,11 +180,23 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
                 end = SPACE.search(text, hi)
                 hi = end.start() if end else len(text)
                 parse(kind, lo, hi)
-            else:
-                m = PATTERNS[kind].search(text, hi, min(len(text), hi + CUED_WITHIN + 42))
-                if m and m.start() <= hi + CUED_WITHIN and valid(kind, m[0]):
-                    found.append((m.start(), KINDS.index(kind), m.end()))
+            elif kind in ("account", "secret"):
+                if m := PATTERNS[kind].match(text, hi):
                     hi = m.end()
+                    if valid(kind, m[1]):
+                        found.append((m.start(1), KINDS.index(kind), m.end(1)))
+            else:
+                end = PARAGRAPH.search(text, hi)
+                end_at = end.start() if end else len(text)
+                while m := PATTERNS[kind].search(text, hi, end_at):
+                    for stop in shorter(kind, m):
+                        if valid(kind, text[m.start() : stop]):
+                            found.append((m.start(), KINDS.index(kind), stop))
+                            hi = stop
+                            break
+                    else:
+                        hi = m.start() + 1
+                hi = end_at
             done[kind] = hi
     return [(KINDS[k], a, b) for a, k, b in sorted(set(found))]
 
