@@ -12,8 +12,11 @@ the reader streams over sorted segments.
 
 Defined results: null texts and roles count as empty; missing optional fields and
 empty lists give no turn; equal rows are turns each; turns of one number are ordered
-by role and text; records of an unknown layout raise an error that shows their paths;
-extra columns of a table of turns are ignored; an empty table gives no conversations.
+by role and text; fields beside those of a known layout are ignored, and of several layouts
+that fit the one with most fields counts; records of an unknown layout give no turns,
+and ``quarantine`` lists them with their fingerprint and paths, as it does text that is
+no JSON object; extra columns of a table of turns are ignored; an empty table gives no
+conversations.
 """
 
 from __future__ import annotations
@@ -83,11 +86,13 @@ BY_FINGERPRINT = {fingerprint(p): m for m in MAPPINGS for p in m.layouts()}
 
 
 @lru_cache(4096)
-def mapping_of(paths: frozenset[str]) -> Mapping:
-    try:
-        return BY_FINGERPRINT[fingerprint(paths)]
-    except KeyError:
-        raise ValueError(f"no mapping for the layout {sorted(paths)}") from None
+def mapping_of(paths: frozenset[str]) -> Mapping | None:
+    """The mapping of this fingerprint, or of the largest known layout within the paths."""
+    found = BY_FINGERPRINT.get(fingerprint(paths))
+    if found is None:
+        within = [(len(p & paths), -i, m) for i, m in enumerate(MAPPINGS) for p in (frozenset(m.required),) if p <= paths]
+        found = max(within, key=lambda x: x[:2])[2] if within else None
+    return found
 
 
 def at_path(record, path: str):
@@ -101,9 +106,20 @@ def as_text(value) -> str:
     return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
-def canonical(record: dict) -> list[tuple[str, str]]:
-    """The turns of one record by the mapping that its fingerprint selects."""
-    m = mapping_of(field_paths(record))
+def record_of(value: str) -> dict | None:
+    """A JSON object; None for any other text."""
+    try:
+        record = json.loads(value)
+    except ValueError:
+        return None
+    return record if isinstance(record, dict) else None
+
+
+def canonical(record: dict | None) -> list[tuple[str, str]]:
+    """The turns of one record by the mapping that its fingerprint selects; none of an unknown layout."""
+    m = mapping_of(field_paths(record)) if record is not None else None
+    if m is None:
+        return []
     turns: list[tuple[str, str]] = []
     for role, path in m.fields:
         if text := as_text(at_path(record, path)):
@@ -114,8 +130,9 @@ def canonical(record: dict) -> list[tuple[str, str]]:
     if m.messages:
         found = at_path(record, m.messages.strip("."))
         for x in found if isinstance(found, list) else [found]:
-            role = as_text(x.get(m.role)) if x else ""
-            turns.append((ROLES.get(role, role), as_text(x.get(m.text)) if x else ""))
+            x = x if isinstance(x, dict) else {}
+            role = as_text(x.get(m.role))
+            turns.append((ROLES.get(role, role), as_text(x.get(m.text))))
     return turns
 
 
@@ -180,12 +197,33 @@ def format_records(records: DataFrame, record: str = "record", conv_id: str = "c
             rows = []
             for conv, value in zip(*(c.to_pylist() for c in batch.columns)):
                 if value is not None:
-                    rows += [(conv, k, 0, *render(*x)) for k, x in enumerate(canonical(json.loads(value)))]
+                    rows += [(conv, k, 0, *render(*x)) for k, x in enumerate(canonical(record_of(value)))]
             yield segments(rows)
 
     return records.select(F.col(conv_id).cast("long"), F.col(record).cast("string")).mapInArrow(run, SEGMENT_SCHEMA)
 
 
+QUARANTINE_SCHEMA = "conv_id long, fingerprint string, paths array<string>, record string"
+
+
+def quarantine(records: DataFrame, record: str = "record", conv_id: str = "conv_id") -> DataFrame:
+    """Records without a mapping: their fingerprint and field paths (none if they are no JSON object)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for conv, value in zip(*(c.to_pylist() for c in batch.columns)):
+                if value is not None:
+                    found = record_of(value)
+                    paths = frozenset() if found is None else field_paths(found)
+                    if found is None or mapping_of(paths) is None:
+                        rows.append((conv, fingerprint(paths), sorted(paths), value))
+            kinds = (pa.int64(), pa.string(), pa.list_(pa.string()), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 4, kinds)], [x.split()[0] for x in QUARANTINE_SCHEMA.split(", ")])
+
+    return records.select(F.col(conv_id).cast("long"), F.col(record).cast("string")).mapInArrow(run, QUARANTINE_SCHEMA)
+
+
 def segments(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32())
     columns = list(zip(*rows)) or [()] * 6
