@@ -11,7 +11,8 @@ document; documents whose window hashes are all distinct skip the sort.
 
 Defined results: null and empty texts have no words, so they fail ``short``; rows
 with ids that repeat or are null are judged each; texts may be of any length; extra
-columns stay in ``ledger`` unless their names clash with those it adds, which win;
+columns stay in ``ledger``, and one whose name clashes with a column that is added is
+kept there as ``<name>_in``; ``keep_good`` returns its input's columns as they were;
 an empty table gives an empty ledger and zero counts.
 """
 
@@ -90,8 +91,26 @@ def repeat_words(hashes: Column) -> Column:
     return F.when(F.size(hashes) > WINDOW, let(windows, counted)).otherwise(0)
 
 
+#: What ``ledger`` and ``verdicts`` add.
+ADDED = ("n_words", "n_repeat_words", "n_lines", "n_dup_lines", "word_chars", "n_symbols", "failed", "base_failed", "kept")
+
+
+def set_aside(docs: DataFrame) -> DataFrame:
+    """``docs`` with the names that are needed here free: clashing columns get the first ``_in`` name that isn't taken."""
+    taken = {*docs.columns, *ADDED}
+    for name in docs.columns:
+        if name in ADDED or name in ("_of_words", "_of_lines"):
+            new = f"{name}_in"
+            while new in taken:
+                new += "_in"
+            taken.add(new)
+            docs = docs.withColumnRenamed(name, new)
+    return docs
+
+
 def measured(docs: DataFrame) -> DataFrame:
     """``docs`` with the measurements that rules read."""
+    docs = set_aside(docs)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     both = let(words(text), lambda w: F.struct(F.size(w).alias("n_words"), let(F.transform(w, lambda x: F.xxhash64(x)), repeat_words).alias("n_repeat_words")))
@@ -114,6 +133,12 @@ def verdicts(of: DataFrame, version: str = CURRENT) -> DataFrame:
     return of.withColumns({"base_failed": F.col("failed").bitwiseAND(BASE) != 0, "kept": F.col("failed").bitwiseAND(rejecting) == 0})
 
 
+def keep_good(docs: DataFrame, version: str = CURRENT) -> DataFrame:
+    """The rows that a policy keeps, with their columns as they were."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text"))
+    return verdicts(ledger(rows), version).filter("kept").select("row.*")
+
+
 def ablations(of: DataFrame) -> DataFrame:
     """Per policy version and rule in it: documents it fails, it alone rejects, and kept without it."""
     counts = of.groupBy("failed").agg(F.count("*").alias("n"), F.sum(F.bit_count("failed")).alias("n_bits"))
