@@ -83,3 +83,44 @@ def test_queue_runs(spark):
     rows = spark.createDataFrame([("q", 1, 0, 0.0, 25.0), ("q", 2, 0, 0.0, 25.0), ("q", 3, 0, 1.0, 5.0), ("q", 4, 9, 2.0, 5.0)], "queue string, id long, priority int, created double, length double")
     got = {r.id: (r.started, r.ended) for r in operators.queue_runs(rows).collect()}
     assert got == {1: (0.0, 25.0), 2: (0.0, 25.0), 4: (30.0, 35.0), 3: (30.0, 35.0)}
+
+
+def test_queue_runs_look_by_look(spark):
+    """Against a simulation that looks at every poll and sorts all that wait."""
+    import random
+
+    draw = random.Random(3)
+    rows = [(f"q{i % 4}", i, draw.randrange(3), float(draw.randrange(0, 3000)), float(draw.randrange(1, 200))) for i in range(300)]
+
+    def by_hand(own, slots, poll):
+        waiting, running, out = list(own), [], []
+        now = min(t[3] for t in own)
+        while waiting:
+            running = [end for end in running if end > now]
+            ready = sorted((t for t in waiting if t[3] <= now), key=lambda t: (-t[2], t[3], t[1]))
+            for t in ready[: slots - len(running)]:
+                out.append((t[0], t[1], now, now + t[4]))
+                running.append(now + t[4])
+                waiting.remove(t)
+            now += poll
+        return out
+
+    frame = spark.createDataFrame(rows, "queue string, id long, priority int, created double, length double")
+    for slots, poll in ((1, 10.0), (2, 10.0), (3, 7.0)):
+        wanted = [x for q in range(4) for x in by_hand([r for r in rows if r[0] == f"q{q}"], slots, poll)]
+        assert sorted(tuple(r) for r in operators.queue_runs(frame, slots, poll).collect()) == sorted(wanted)
+
+
+def test_long_histories_in_batches(spark, monkeypatch):
+    monkeypatch.setattr(operators, "ROWS_AT_ONCE", 7)
+    rows = some_events(spark).unionByName(some_events(spark).selectExpr("cast(null as string) key", "id + 100 id", "ts", "tokens", "success"))
+    machine = machines.token_bucket(10, 0.5)
+    got = {(r.key, r.id): (r.admitted, r.left) for r in operators.folded(rows, machine).collect()}
+    wanted = {}
+    for key in ("k0", "k1", "k2", None):
+        state = None
+        for e in sorted((r for r in rows.collect() if r.key == key), key=lambda r: (r.ts, r.id)):
+            now = e.ts.timestamp()
+            state, result = machine.step(machine.start(now) if state is None else state, now, e.asDict())
+            wanted[key, e.id] = (result[0], result[2])
+    assert got == wanted

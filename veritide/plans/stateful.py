@@ -20,22 +20,51 @@ def shown(rows: DataFrame) -> DataFrame:
     return rows.drop("ts")
 
 
-@query()
-def token_bucket(t: Tables) -> DataFrame:
-    return shown(operators.folded(requests(t), machines.token_bucket(100, 0.01)))
+# Events in order per user; the machines' states go from row to row.
+EVENTS = """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch(ts) AS now, coalesce((props->>'$.k')::DOUBLE, 0) AS need, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)"""
+NEXT = "JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1"
 
 
-@query()
-def rate_admission(t: Tables) -> DataFrame:
-    return shown(operators.folded(requests(t), machines.admission(2, 120)))
+@query(f"""{EVENTS},
+s AS (SELECT user_id, event_id, k, now, need, 100::DOUBLE AS have, CASE WHEN 100 >= need THEN 100 - need ELSE 100 END::DOUBLE AS left_over FROM e WHERE k = 1
+ UNION ALL SELECT user_id, event_id, k, now, need, have, CASE WHEN have >= need THEN have - need ELSE have END FROM
+  (SELECT e.user_id, e.event_id, e.k, e.now, e.need, least(100::DOUBLE, s.left_over + greatest(0::DOUBLE, e.now - s.now) * 0.01::DOUBLE) AS have FROM s {NEXT}))
+SELECT user_id::VARCHAR AS key, event_id AS id, have >= need AS admitted, round(CASE WHEN have >= need THEN 0 ELSE (need - have) / 0.01::DOUBLE END, 6)::DOUBLE AS wait_seconds, round(left_over, 6) AS "left" FROM s""")
+def token_bucket(t: Tables) -> DataFrame:
+    rows = shown(operators.folded(requests(t), machines.token_bucket(100, 0.01)))
+    return rows.withColumns({c: F.round(c, 6) for c in ("wait_seconds", "left")})
 
 
-@query()
+@query(f"""{EVENTS},
+a AS (SELECT *, 2 / 60::DOUBLE AS rr, 2::DOUBLE AS tr FROM e),
+s AS (SELECT user_id, event_id, k, now AS ra, 1::DOUBLE AS r, 2::DOUBLE AS rhave, now AS ta, 120::DOUBLE AS thave, need, CASE WHEN 120 >= need THEN 120 - need ELSE 120 END::DOUBLE AS t FROM e WHERE k = 1
+ UNION ALL SELECT user_id, event_id, k, now, CASE WHEN rhave >= 1 THEN rhave - 1 ELSE rhave END, rhave, CASE WHEN rhave >= 1 THEN now ELSE ta END, thave, need,
+  CASE WHEN rhave < 1 THEN t WHEN thave >= need THEN thave - need ELSE thave END FROM
+  (SELECT e.user_id, e.event_id, e.k, e.now, e.need, s.t, s.ta, least(2::DOUBLE, s.r + greatest(0::DOUBLE, e.now - s.ra) * (2 / 60::DOUBLE)) AS rhave, least(120::DOUBLE, s.t + greatest(0::DOUBLE, e.now - s.ta) * 2::DOUBLE) AS thave FROM s {NEXT}))
+SELECT user_id::VARCHAR AS key, event_id AS id, rhave >= 1 AND thave >= need AS admitted, round(CASE WHEN rhave < 1 THEN (1 - rhave) / (2 / 60::DOUBLE) WHEN thave >= need THEN 0 ELSE (need - thave) / 2::DOUBLE END, 6)::DOUBLE AS wait_seconds FROM s""")
+def rate_admission(t: Tables) -> DataFrame:
+    return shown(operators.folded(requests(t), machines.admission(2, 120))).withColumn("wait_seconds", F.round("wait_seconds", 6))
+
+
+@query(f"""{EVENTS},
+s AS (SELECT user_id, event_id, k, 'closed' AS name, CASE WHEN ok THEN 0 ELSE 1 END AS failed, 0 AS good, CASE WHEN ok THEN 0 ELSE now END::DOUBLE AS seen, true AS executed FROM e WHERE k = 1
+ UNION ALL SELECT user_id, event_id, k,
+  CASE WHEN waits THEN 'open' WHEN ok THEN CASE WHEN before = 'half_open' AND good < 2 THEN 'half_open' ELSE 'closed' END WHEN before = 'half_open' OR failed + 1 >= 2 THEN 'open' ELSE before END,
+  CASE WHEN waits THEN failed WHEN ok THEN CASE WHEN before = 'half_open' AND good < 2 THEN failed ELSE 0 END ELSE failed + 1 END,
+  CASE WHEN waits THEN good WHEN ok AND before = 'half_open' THEN good + 1 ELSE good END, CASE WHEN waits OR ok THEN seen ELSE now END, NOT waits FROM
+  (SELECT e.user_id, e.event_id, e.k, e.now, e.ok, s.failed, s.seen, s.name = 'open' AND e.now - s.seen <= 3600 AS waits, CASE WHEN s.name = 'open' AND e.now - s.seen > 3600 THEN 'half_open' ELSE s.name END AS before,
+    CASE WHEN s.name = 'open' AND e.now - s.seen > 3600 THEN 0 ELSE s.good END AS good FROM s {NEXT}))
+SELECT user_id::VARCHAR AS key, event_id AS id, name AS breaker, executed FROM s""")
 def circuit_breaker(t: Tables) -> DataFrame:
     return shown(operators.folded(requests(t), machines.circuit_breaker(failures=2, recovery=3600.0)))
 
 
-@query()
+@query(f"""{EVENTS},
+s AS (SELECT user_id, event_id, k, 15 AS current, 1 AS total, (NOT ok)::INT AS errors, now AS since FROM e WHERE k = 1
+ UNION ALL SELECT user_id, event_id, k, CASE WHEN NOT due THEN current WHEN errors / total > 0.15 THEN greatest(5, floor(current * 0.7::DOUBLE)::INT) WHEN errors / total < 0.03 THEN least(25, floor(current * 1.3::DOUBLE)::INT) ELSE current END,
+  CASE WHEN due THEN 0 ELSE total END, CASE WHEN due THEN 0 ELSE errors END, CASE WHEN due THEN now ELSE since END FROM
+  (SELECT e.user_id, e.event_id, e.k, e.now, s.current, s.since, s.total + 1 AS total, s.errors + (NOT e.ok)::INT AS errors, e.now - s.since >= 30 AND s.total + 1 >= 10 AS due FROM s {NEXT}))
+SELECT user_id::VARCHAR AS key, event_id AS id, current AS concurrency FROM s""")
 def adaptive_concurrency(t: Tables) -> DataFrame:
     return shown(operators.folded(requests(t), machines.adaptive_concurrency()))
 

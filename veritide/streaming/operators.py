@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from heapq import heappop, heappush
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -31,11 +34,52 @@ def advance(machine: Machine, state: tuple | None, batch: pd.DataFrame) -> tuple
     return state, out
 
 
+ROWS_AT_ONCE = 10_000
+ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "timestamp": pa.timestamp("us", "UTC")}
+
+
+def in_batches(rows: Iterable[tuple], schema: str) -> Iterator[pa.RecordBatch]:
+    """Rows as Arrow batches of a bounded number of rows."""
+    names, kinds = zip(*(x.split() for x in schema.split(", ")))
+    some: list[tuple] = []
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, ARROW[t]) for c, t in zip(list(zip(*some)) or [()] * len(names), kinds)], list(names))
+
+    for row in rows:
+        some.append(row)
+        if len(some) == ROWS_AT_ONCE:
+            yield batch()
+            some = []
+    yield batch()
+
+
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns))
+
+
 def folded(rows: DataFrame, machine: Machine) -> DataFrame:
-    """A finished table: each key's events in order. One key's chain is sequential by nature."""
+    """A finished table: each key's events in order of time and id.
+
+    One key's chain is sequential by nature; a task reads sorted events one by one and
+    holds one state, whatever the length of a key's history.
+    """
     schema = f"key string, id long, ts timestamp, {machine.result}"
-    names = [x.split()[0] for x in schema.split(", ")]
-    return events(rows).groupBy("key").applyInPandas(lambda pdf: pd.DataFrame(advance(machine, None, pdf)[1], columns=names), schema)
+    names = [x.split()[0] for x in EVENT.split(", ")]
+
+    def results(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        state, last = None, None
+        for row in rows_of(batches):
+            e = dict(zip(names, row))
+            now = e["ts"].timestamp()
+            if last != (e["key"],):
+                last, state = (e["key"],), machine.start(now)
+            state, result = machine.step(state, now, e)
+            yield (e["key"], e["id"], e["ts"], *result)
+
+    ordered = events(rows).repartition("key").sortWithinPartitions("key", "ts", "id")
+    return ordered.mapInArrow(lambda batches: in_batches(results(batches), schema), schema)
 
 
 def streamed(rows: DataFrame, machine: Machine) -> DataFrame:
@@ -74,26 +118,35 @@ def joined_streams(left: DataFrame, right: DataFrame, within: str = "10 minutes"
     return a.join(b, near).drop("other")
 
 
+RUN = "queue string, id long, started double, ended double"
+
+
 def queue_runs(tasks: DataFrame, slots: int = 2, poll: float = 10.0) -> DataFrame:
     """When each task of a queue starts and ends, with so many slots and a look at the queue every few seconds.
 
-    Reads queue, id, priority, created (seconds) and length (seconds).
+    Reads queue, id, priority, created (seconds) and length (seconds). The first look is
+    when a queue's first task is created. A task reads the queue in order of creation and
+    holds what waits and what runs; looks at which nothing can change are passed over.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        waiting = pdf.sort_values(["created", "id"]).to_dict("records")
-        running: list[float] = []
-        out: list[tuple] = []
-        now = float(pdf["created"].min()) if len(pdf) else 0.0
-        while waiting:
-            running = [end for end in running if end > now]
-            ready = sorted((t for t in waiting if t["created"] <= now), key=lambda t: (-t["priority"], t["created"], t["id"]))
-            for t in ready[: slots - len(running)]:
-                out.append((t["queue"], t["id"], now, now + t["length"]))
-                running.append(now + t["length"])
-                waiting.remove(t)
-            later = [t["created"] for t in waiting if t["created"] > now]
-            now += poll if running or len(later) < len(waiting) else max(poll, -(-(min(later) - now) // poll) * poll)
-        return pd.DataFrame(out, columns=["queue", "id", "started", "ended"])
-
-    return tasks.groupBy("queue").applyInPandas(run, "queue string, id long, started double, ended double")
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for queue, own in groupby(rows_of(batches), key=lambda r: (r[0],)):
+            coming, running, ready = next(own), [], []  # running: ends; ready: (-priority, created, id, length)
+            now = coming[3]
+            while coming or ready:
+                while coming and coming[3] <= now:
+                    heappush(ready, (-coming[2], coming[3], coming[1], coming[4]))
+                    coming = next(own, None)
+                while running and running[0] <= now:
+                    heappop(running)
+                while ready and len(running) < slots:
+                    *_, task, length = heappop(ready)
+                    heappush(running, now + length)
+                    yield (*queue, task, now, now + length)
+                # The next look that matters: a slot gets free for who waits, or somebody comes.
+                until = running[0] if ready else coming[3] if coming else now
+                now += poll * max(1, -(-(until - now) // poll))
+
+    kinds = ("cast(queue as string) queue", "cast(id as long) id", "cast(priority as long) priority", "cast(created as double) created", "cast(length as double) length")
+    ordered = tasks.selectExpr(*kinds).repartition("queue").sortWithinPartitions("queue", "created", "id")
+    return ordered.mapInArrow(lambda batches: in_batches(runs(batches), RUN), RUN)
