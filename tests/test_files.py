@@ -124,3 +124,31 @@ def test_validators(spark):
     assert good.count() == 1 and bad.count() == 3
     confidences = table(spark, [(0.5, 1), (1.5, 1), (-0.1, 1), (0.5, 0), (None, None)], "confidence double, line int")
     assert quarantine(confidences, "finding")[0].count() == 2
+
+
+def test_scan_reads_only_what_passes(spark, tmp_path):
+    for path, text in (("src/a.py", "x = 1"), ("src/b.log", "no"), ("node_modules/c.js", "no"), ("big.py", "y" * 600_000), ("app.env", "K=1"), ("notes.md", "text")):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    everything = files.scan(spark, str(tmp_path), "p")
+    assert everything.count() == 6 and {r.path for r in everything.filter("size > 1000").collect()} == {"big.py"}
+    some = files.scan(spark, str(tmp_path), "p", files.Filtering())
+    assert {(r.path, r.content) for r in some.collect()} == {("src/a.py", "x = 1")} and some.columns == everything.columns
+    assert files.scan(spark, str(tmp_path), "p", files.Filtering(include_extensions=("nothing",))).count() == 0
+
+
+def test_uploads(spark, tmp_path):
+    import zipfile
+
+    from veritide.sources import uploads
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("src/main.py", "print(1)")
+        z.writestr("../out.py", "no")
+    (tmp_path / "b.py").write_text("x")
+    (tmp_path / "c.zip").write_bytes(b"no archive")
+    members = uploads.ingest(spark, str(tmp_path))
+    got = {(r.upload.rpartition("/")[2], r.path, bytes(r.data) if r.data is not None else None) for r in members.collect()}
+    assert got == {("a.zip", "src/main.py", b"print(1)"), ("a.zip", "../out.py", None), ("b.py", "b.py", b"x"), ("c.zip", None, None)}
+    totals = {r.upload.rpartition("/")[2]: (r.total_files, r.errors, r.valid) for r in uploads.upload_totals(members).collect()}
+    assert totals == {"a.zip": (1, 1, True), "b.py": (1, 0, True), "c.zip": (0, 1, False)}

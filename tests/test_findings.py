@@ -168,3 +168,22 @@ def test_relevant_code(spark):
     row = spark.createDataFrame([("\n".join(lines),)], "c string").select(detection.relevant_code(F.col("c"), "python", 100).alias("a"), detection.optimised(F.col("c"), "python").alias("b"), detection.optimised(F.col("c"), "python", quick=True).alias("q")).first()
     assert row.a.split("\n") == ["# ... (省略第0-7行)", *(f"{i + 1:4d}: {lines[i]}" for i in range(8, 13)), "# ... (省略第13-39行)", f"  41: {lines[40]}"]
     assert row.b == "\n".join(lines) and row.q.startswith("\n".join(lines[:20]) + "\n\n# ... ")
+
+
+def test_reports_in_order(spark, tmp_path):
+    """Equal lines and types are ordered by severity and the key that is given; HTML is escaped."""
+    rows = spark.createDataFrame([("f<1>", "low", "T", 3, 2), ("f<1>", "low", "T", 3, 1), ("f<1>", "high", "T", 3, 3)], "file string, severity string, type string, line int, id int")
+    lines = tables.report_lines(rows.withColumn("type", F.concat("type", F.col("id").cast("string"))), "id")
+    assert [r.text for r in lines.filter("section = 1").orderBy("number").collect()] == ["1. [low] T1 (line 3)", "2. [low] T2 (line 3)", "3. [high] T3 (line 3)"]
+    same = tables.report_lines(rows.withColumn("text_id", F.col("id")), "id").filter("section = 1")
+    assert [r.text for r in same.orderBy("number").collect()] == ["1. [high] T (line 3)", "2. [low] T (line 3)", "3. [low] T (line 3)"]
+    tables.html_report(rows, str(tmp_path / "h"), "id")
+    html = "\n".join(r.value for r in spark.read.text(str(tmp_path / "h")).collect())
+    assert "<h2>f&lt;1&gt;</h2>" in html and html.count("<p>") == 5
+
+
+def test_seeded_provider_order(spark):
+    some = spark.createDataFrame([(c,) for c in "abcdef"], "name string")
+    orders = {tuple(r.name for r in analysis.random_order(some, seed).collect()) for seed in range(6)}
+    assert len(orders) > 1 and all(sorted(o) == list("abcdef") for o in orders)
+    assert [r.name for r in analysis.random_order(some, 1).collect()] == [r.name for r in analysis.random_order(some, 1).collect()]

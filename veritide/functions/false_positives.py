@@ -134,3 +134,21 @@ def rule_counts(spark) -> DataFrame:
     """How many rules there are, by filter and language."""
     rows = [("project", "any", r.name) for r in PROJECT_RULES] + [("universal", x, r.name) for r in UNIVERSAL_RULES for x in (r.languages or ("any",))]
     return spark.createDataFrame(rows, "scope string, language string, name string").groupBy("scope", "language").agg(F.count("*").alias("n"))
+
+
+# Code that is certainly a problem, and code that certainly is none, by kind.
+DEFINITE = {
+    "hardcoded_credentials": [r"password\s*=\s*[\"'][^\"']+[\"']", r"secret\s*=\s*[\"'][^\"']+[\"']", r"key\s*=\s*[\"'][^\"']+[\"']"],
+    "sql_injection": [r"\+.*[\"'].*SELECT.*FROM", r"String.*sql.*\+.*request\.getParameter", r"\$\{[^}]+\}.*WHERE"],
+    "path_traversal": [r"new\s+File\(.*request\.getParameter", r"FileInputStream\(.*request\.getParameter"],
+}
+SAFE = {
+    "spring_security": [r"@PreAuthorize", r"@Secured", r"@RolesAllowed"],
+    "parameterized_queries": [r"#\{[^}]+\}", r"\.findOne\(", r"\.findBy\w+\("],
+    "normal_operations": [r"session\.getAttribute\([\"']userId[\"']", r"Long\.parseLong\(.*userId", r"@RequestMapping", r"@GetMapping", r"@PostMapping"],
+}
+
+
+def kinds_in(code: Column, rules: dict[str, list[str]]) -> Column:
+    """The kinds of which any pattern occurs in the code, in order."""
+    return F.array_compact(F.array(*(F.when(any_of([code.rlike(p) for p in some]), F.lit(kind)) for kind, some in rules.items())))

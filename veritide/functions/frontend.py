@@ -49,16 +49,19 @@ def is_static(content: Column) -> Column:
     return (dynamic == 0) | ((static > 0) & (static / (static + dynamic) > 0.8) & (dynamic < 3)) | ((F.char_length(content) > 5000) & (dynamic < 5))
 
 
+ANY_HOT_SPOT = "(?i)" + "|".join(f"(?:{p})" for some in HOT_SPOTS.values() for p in some)
+
+
 def n_hot_spots(content: Column) -> Column:
-    """Matches of all patterns; none of them spans lines."""
-    lines = F.split(content, "\n")
+    """Matches of all patterns; none of them spans lines, and lines without any match are passed over at once."""
+    lines = F.filter(F.split(content, "\n"), lambda x: x.rlike(ANY_HOT_SPOT))
     each = lambda x: sum((F.regexp_count(x, F.lit(f"(?i){p}")) for some in HOT_SPOTS.values() for p in some), F.lit(0))
     return F.aggregate(lines, F.lit(0), lambda n, x: n + each(x))
 
 
 def hot_spots(pages: DataFrame, key: str, content: str = "content") -> DataFrame:
     """A row for each match: type, severity, line number, snippet and pattern."""
-    lines = pages.select(key, F.posexplode(F.split(content, "\n")).alias("at", "line"))
+    lines = pages.select(key, F.posexplode(F.split(content, "\n")).alias("at", "line")).filter(F.col("line").rlike(ANY_HOT_SPOT))
     rules = F.array(*(F.struct(F.lit(t).alias("type"), F.lit(SEVERITY[t]).alias("severity"), F.lit(p).alias("pattern"), F.regexp_count("line", F.lit(f"(?i){p}")).alias("n")) for t, some in HOT_SPOTS.items() for p in some))
     hits = lines.select(key, (F.col("at") + 1).alias("line_number"), F.trim("line").alias("code_snippet"), F.explode(F.filter(rules, lambda r: r["n"] > 0)).alias("r"))
     return hits.select(key, "line_number", "code_snippet", "r.type", "r.severity", "r.pattern", F.explode(F.sequence(F.lit(1), F.col("r.n"))).alias("nth"))

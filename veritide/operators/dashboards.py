@@ -88,3 +88,29 @@ def timing_stats(times: DataFrame) -> DataFrame:
 
 def estimated_tokens(n_files: Column, n_findings: Column) -> Column:
     return n_files * 100 + n_findings * 20
+
+
+def system(users: DataFrame, tasks: DataFrame, tokens: DataFrame, logs: DataFrame, task_day: str, log_day: str) -> DataFrame:
+    """One row of the system's figures: users, tasks, tokens (total_tokens, summed beforehand) and logs of a day."""
+    on = lambda day: F.to_date("created_at") == F.lit(day).cast("date")
+    a = users.agg(F.count("*").alias("total_users"), count_if(F.col("is_active")).alias("active_users"))
+    b = tasks.agg(F.count("*").alias("total_tasks"), count_if(F.col("status") == "completed").alias("completed_tasks"), count_if(on(task_day)).alias("today_tasks"))
+    return a.crossJoin(b).crossJoin(tokens).crossJoin(logs.agg(count_if(on(log_day)).alias("today_logs")))  # one row each
+
+
+def provider_stats(providers: DataFrame, requests: DataFrame) -> DataFrame:
+    """Providers with their number of requests, none left out."""
+    counts = requests.groupBy(F.col("provider").alias("name")).agg(F.count("*").alias("request_count"))
+    return providers.join(counts, "name", "left").withColumn("request_count", F.coalesce("request_count", F.lit(0).cast("long")))
+
+
+def benchmark_summary(timings: DataFrame) -> DataFrame:
+    """One row for each run (run, kind system or api, step, seconds): totals, the model's share, and its speed.
+
+    Fixed value: a large request is taken as 4,000 tokens.
+    """
+    total = lambda kind: F.coalesce(F.sum(F.when((F.col("kind") == kind) & (F.col("seconds") > 0), F.col("seconds"))), F.lit(0.0))
+    large = F.max(F.when((F.col("kind") == "api") & (F.col("step") == "large_request") & (F.col("seconds") > 0), F.col("seconds")))
+    rows = timings.groupBy("run").agg(total("system").alias("system_seconds"), total("api").alias("api_seconds"), large.alias("large"))
+    share = F.when(F.col("api_seconds") > 0, F.round(100 * F.col("api_seconds") / (F.col("system_seconds") + F.col("api_seconds")), 1))
+    return rows.select("run", "system_seconds", "api_seconds", share.alias("api_percent"), F.round(4000 / F.col("large"), 1).alias("tokens_per_second"), (F.col("large") * 4).alias("four_files_in_turn"))

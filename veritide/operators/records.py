@@ -77,6 +77,44 @@ def invitation_status(as_of: str) -> Column:
     return F.when(~F.col("is_active"), "inactive").when(F.col("expires_at").isNotNull() & (F.col("expires_at") <= now), "expired").when(F.col("used_count") >= F.col("max_uses"), "inactive").otherwise("active")
 
 
+def invitations_page(codes: DataFrame, as_of: str, number: int, size: int, status: str | None = None) -> DataFrame:
+    """Codes with their status, newest first; of one status if it is given."""
+    rows = codes.withColumn("status", invitation_status(as_of))
+    rows = rows if status is None else rows.filter(F.col("status") == status)
+    return page(rows, [F.desc("created_at"), F.desc("id")], number, size)
+
+
+def cancelled(tasks: DataFrame, task_id: Column, user_id: Column, as_of: str) -> DataFrame:
+    """The table with a user's own task cancelled, if it is pending or running; others stay as they are."""
+    can = (F.col("id") == task_id) & (F.col("user_id") == user_id) & F.col("status").isin("pending", "running")
+    return updated(tasks, can, {"status": F.lit("cancelled"), "completed_at": F.lit(as_of).cast("timestamp_ntz")})
+
+
+def existing(rows: DataFrame, others: DataFrame, key: str, other: str) -> DataFrame:
+    """Rows whose key is among the others."""
+    return rows.join(others.select(F.col(other).alias("_other")), F.col(key) == F.col("_other"), "left_semi")
+
+
+def progress(events: DataFrame) -> DataFrame:
+    """Where each task stands after its last event (task_id, ts, id, analyzed, total, status).
+
+    A running task is at five percent at least and below a hundred; one that is done is at a hundred.
+    """
+    last = events.groupBy("task_id").agg(F.max(F.struct("ts", "id", "analyzed", "total", "status")).alias("e")).select("task_id", "e.*")
+    share = 100.0 * F.col("analyzed") / F.greatest(F.col("total"), F.lit(1))
+    percent = F.when(F.col("status") == "completed", 100.0).when(F.col("status") == "pending", 0.0).otherwise(F.least(F.lit(99.0), F.greatest(F.lit(5.0), share)))
+    return last.select("task_id", "status", "analyzed", "total", F.round(percent, 2).alias("progress_percent"))
+
+
+def limiter_stats(requests: DataFrame, last: int = 100) -> DataFrame:
+    """Per key: successes, errors, their rate, and the mean tokens of the last successes (key, ts, id, tokens, success)."""
+    counts = requests.groupBy("key").agg(F.count(F.when(F.col("success"), 1)).alias("success_count"), F.count(F.when(~F.col("success"), 1)).alias("error_count"))
+    newest = Window.partitionBy("key").orderBy(F.desc("ts"), F.desc("id"))
+    recent = requests.filter("success").withColumn("n", F.row_number().over(newest)).filter(F.col("n") <= last).groupBy("key").agg(F.avg("tokens").alias("avg_actual_tokens"))
+    rate = F.col("error_count") / F.greatest(F.lit(1), F.col("success_count") + F.col("error_count"))
+    return counts.join(recent, "key", "left").select("key", "success_count", "error_count", rate.alias("error_rate"), F.coalesce("avg_actual_tokens", F.lit(0.0)).alias("avg_actual_tokens"))
+
+
 def invitation_stats(codes: DataFrame, as_of: str) -> DataFrame:
     rows = codes.withColumn("status", invitation_status(as_of))
     n = lambda s: F.count(F.when(F.col("status") == s, 1)).alias(s)

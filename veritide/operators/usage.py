@@ -107,3 +107,15 @@ def synthetic_history(spine: DataFrame, average: float, users: int) -> DataFrame
     decay = F.greatest(F.lit(0.7), 1 - 0.05 * F.col("i"))
     ripple = 0.8 + 0.08 * (F.col("i") % 5)
     return spine.withColumn("i", F.row_number().over(Window.orderBy(F.desc("date"))) - 1).select("date", (average * users * weekend * decay * ripple).cast("long").alias("used"))
+
+
+# Names of weekdays from Monday on.
+WEEKDAYS = ["周一", "周二", "周三", "周四", "周五", "周六", "周日"]
+
+
+def weekday_name(date: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, WEEKDAYS)), F.weekday(date) + 1)
+
+
+def month_day(date: Column) -> Column:
+    return F.date_format(date, "MM-dd")

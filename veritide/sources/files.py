@@ -50,19 +50,45 @@ def text_of(content: Column) -> Column:
     return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("�"), F.lit(""))
 
 
-def scan(spark: SparkSession, root: str, project_id: str = "") -> DataFrame:
-    """All files below a folder that any file system Spark reads may hold, with hashes and text."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    absolute = F.regexp_replace("path", "^[a-z]+:/*", "/")
+def scan(spark: SparkSession, root: str, project_id: str = "", by: Filtering | None = None, ignored: list[str] | None = None) -> DataFrame:
+    """All files below a folder that any file system Spark reads may hold, with hashes and text.
+
+    With a filtering, paths and sizes are listed first and put through the scan's gates, and
+    only files that pass are read. The list of their paths is on the driver, as the
+    listing itself is in any case.
+    """
+    read = spark.read.format("binaryFile")
     base = "/" + root.split(":", 1)[-1].strip("/")
-    rows = raw.select(
-        F.lit(project_id).alias("project_id"), F.substring(absolute, len(base) + 2, 1_000_000).alias("path"), absolute.alias("absolute_path"), F.col("length").alias("size"),
-        F.sha2("content", 256).alias("hash"), F.col("modificationTime").alias("last_modified"), text_of(F.col("content")).alias("content"),
-    )
+
+    def named(raw: DataFrame) -> DataFrame:
+        absolute = F.regexp_replace("uri", "^[a-z]+:/*", "/")
+        rows = raw.withColumnsRenamed({"path": "uri", "length": "size", "modificationTime": "last_modified"})
+        return rows.withColumns({"project_id": F.lit(project_id), "absolute_path": absolute, "path": F.substring(absolute, len(base) + 2, 1_000_000)})
+
+    raw = read.option("recursiveFileLookup", "true").load(root)
+    if by is not None:
+        listed = scanned(described(named(raw.select("path", "length", "modificationTime"))), by, ignored)
+        paths = [r["uri"] for r in listed.select("uri").collect()]
+        raw = spark.read.format("binaryFile").load(paths) if paths else raw.limit(0)
+    rows = named(raw).select("project_id", "path", "absolute_path", "size", content_hash(F.col("content")).alias("hash"), "last_modified", text_of(F.col("content")).alias("content"))
     none = F.array().cast("array<string>")
     return described(rows).withColumns({"functions": none, "classes": none, "imports": none})
 
 
+def content_hash(content: Column) -> Column:
+    """SHA-256 in hexadecimal, of text or bytes."""
+    return F.sha2(content, 256)
+
+
+def of_language(files: DataFrame, *languages: str) -> DataFrame:
+    return files.filter(F.lower("language").isin([x.lower() for x in languages]))
+
+
+def of_size(files: DataFrame, least: int = 0, most: int | None = None) -> DataFrame:
+    """Files of so many bytes, both ends included."""
+    return files.filter((F.col("size") >= least) & (F.lit(True) if most is None else F.col("size") <= most))
+
+
 def described(files: DataFrame) -> DataFrame:
     """Files with name, extension and language."""
     name = name_of(F.col("path"))

@@ -48,16 +48,33 @@ def cache_stats(cache: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
     return cache.agg(F.count("*").alias("total"), F.count(F.when(old, 1)).alias("expired"), F.count(F.when(~old, 1)).alias("valid"), F.round(F.sum(F.octet_length("response")) / 1048576, 2).alias("size_mb"))
 
 
-def report_lines(findings: DataFrame) -> DataFrame:
-    """A Markdown report as rows: section 0 counts by severity, then each file's findings, numbered."""
+def report_lines(findings: DataFrame, *key: str) -> DataFrame:
+    """A Markdown report as rows: section 0 counts by severity, then each file's findings, numbered.
+
+    Findings are ordered by line, type, severity and the given key; only equal ones are interchangeable.
+    """
     severity = F.coalesce("severity", F.lit("unknown"))
     head = findings.groupBy(severity.alias("s")).agg(F.count("*").alias("n")).select(F.lit(0).alias("section"), F.lit("").alias("file"), F.lit(0).alias("number"), F.concat(F.lit("- "), "s", F.lit(": "), F.col("n").cast("string")).alias("text"))
-    nth = F.row_number().over(Window.partitionBy("file").orderBy("line", "type"))
+    nth = F.row_number().over(Window.partitionBy("file").orderBy("line", "type", severity, *(key or ("description",) * ("description" in findings.columns))))
     text = F.format_string("%d. [%s] %s (line %d)", F.col("number"), severity, F.col("type"), F.col("line"))
     body = findings.withColumn("number", nth).select(F.lit(1).alias("section"), "file", "number", text.alias("text"))
     return head.unionByName(body)
 
 
-def markdown_report(findings: DataFrame, path: str) -> None:
-    lines = report_lines(findings).orderBy("section", "file", "number", "text")
+def html_text(text: Column) -> Column:
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(sign), F.lit(name))
+    return text
+
+
+def html_report(findings: DataFrame, path: str, *key: str) -> None:
+    """The same report as list items of one HTML text; texts are escaped."""
+    lines = report_lines(findings, *key)
+    item = F.when(F.col("number") == 1, F.concat(F.lit("<h2>"), html_text(F.col("file")), F.lit("</h2>\n"))).otherwise("")
+    rows = lines.select("section", "file", "number", F.concat(item, F.lit("<p>"), html_text(F.col("text")), F.lit("</p>")).alias("value"))
+    rows.orderBy("section", "file", "number", "value").select("value").write.mode("overwrite").text(path)
+
+
+def markdown_report(findings: DataFrame, path: str, *key: str) -> None:
+    lines = report_lines(findings, *key).orderBy("section", "file", "number", "text")
     lines.select("text").write.mode("overwrite").text(path)
