@@ -1,4 +1,4 @@
-"""Every registered query against its SQL on the smallest data; those without SQL must run."""
+"""Every registered query against its SQL on the smallest data; those without SQL have a test of their own."""
 
 from __future__ import annotations
 
@@ -32,12 +32,23 @@ def rows_of(frame, columns):
     return sorted(tuple(plain(v) for v in r) for r in frame[columns].itertuples(index=False, name=None))
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+# Queries that SQL can't say, and the test that holds each against brute force.
+BY_HAND = {"queue_runs": "test_stateful.test_queue_runs_look_by_look"}
+
+
+def test_all_queries_are_held_against_something():
+    import importlib
+
+    assert set(QUERIES) - set(ORACLE_SQL) == set(BY_HAND)
+    for test in BY_HAND.values():
+        module, name = test.split(".")
+        assert callable(getattr(importlib.import_module(module), name))
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query(spark, duck, name):
     found = QUERIES[name](spark, str(DATA)).toPandas()
-    if name not in ORACLE_SQL:
-        assert len(found.columns)
-        return
+    assert len(found)
     wanted = duck.execute(ORACLE_SQL[name]).df()
     columns = sorted(wanted.columns)
     assert sorted(found.columns) == columns

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritide.functions import confidence, detection, false_positives, frontend, languages
@@ -26,7 +26,7 @@ LEVEL = "CASE WHEN c >= 0.8 THEN 'high' WHEN c >= 0.6 THEN 'medium' WHEN c >= 0.
 
 @query("SELECT doc_id, sha256(text) AS hash, n_chars AS size FROM documents")
 def content_hash(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.sha2("text", 256).alias("hash"), F.col("n_chars").alias("size"))
+    return t.documents.select("doc_id", sources.content_hash(F.col("text")).alias("hash"), F.col("n_chars").alias("size"))
 
 
 @query("SELECT doc_id, md5(text || '|owasp|' || coalesce(lang, '')) AS key FROM documents")
@@ -107,13 +107,41 @@ def frontend_strategy(t: Tables) -> DataFrame:
     return rows.select("page_id", "n_hotspots", "analysis_type", "should_skip", F.round("estimated_time_saved", 6).alias("estimated_time_saved"))
 
 
-@query(r"""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) + 1 AS line_number FROM documents),
-m AS (SELECT doc_id, line_number::INT AS line_number, len(regexp_extract_all(line, 'token\s*[:=]\s*[''"][^''"]{20,}[''"]', 0, 'i')) AS n FROM l)
-SELECT doc_id, line_number, 'SENSITIVE_INFO' AS type, 'high' AS severity, sum(n)::BIGINT AS n FROM m WHERE n > 0 GROUP BY ALL""")
+# A line of code for each pattern of hot spots, one of which goes before each document's text.
+HOT_LINES = [
+    "a.innerHTML = 'x' + y;", "a.outerHTML = 'x' + y;", "document.write(a + b)", "eval('f' + x)", "setTimeout('f' + x)", "setInterval('f' + x)", "password = 'abcdef1'", "api_key: '0123456789ab'",
+    "token = 'abcdefghijklmnopqrstuv'", "secret = 'abcdefgh9'", "jdbc:mysql://h?password=xyz", "eval (x)", "new Function (x)", "setTimeout('f()', 3)", "setInterval('f()', 3)", "location.hash", "location.search", "document.referrer", "window.name", "document.URL",
+]
+
+
+def sql_texts(some: list[str]) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in some) + "]"
+
+
+def with_line(rows: DataFrame, number: Column, lines: list[str], text: Column) -> DataFrame:
+    """``content``: the line of this number, then the text."""
+    line = F.element_at(F.array(*map(F.lit, lines)), (number % len(lines) + 1).cast("int"))
+    return rows.withColumn("content", F.concat(line, F.lit("\n"), text))
+
+
+def sql_patterns(rows: list[tuple[str, str, str]]) -> str:
+    return ", ".join("('{}', '{}', '{}')".format(*(x.replace("'", "''") for x in r)) for r in rows)
+
+
+def sql_lines(key: str, lines: list[str]) -> str:
+    content = f"{sql_texts(lines)}[1 + {key} % {len(lines)}] || chr(10) || text"
+    return f"SELECT {key}, unnest(string_split({content}, chr(10))) AS line, unnest(range(len(string_split({content}, chr(10))))) + 1 AS line_number FROM documents"
+
+
+HOT_ROWS = [(kind, frontend.SEVERITY[kind], p) for kind, some in frontend.HOT_SPOTS.items() for p in some]
+
+
+# DuckDB takes constant patterns only, so each has a branch of its own over the lines.
+@query(f"WITH l AS ({sql_lines('doc_id', HOT_LINES)}), m AS (" + " UNION ALL ".join(f"SELECT doc_id, line_number, {i} AS i, len(regexp_extract_all(line, '{p.replace(chr(39), chr(39) * 2)}', 0, 'i')) AS n FROM l" for i, (*_, p) in enumerate(HOT_ROWS)) + f""")
+SELECT doc_id, line_number::INT AS line_number, r.type, r.severity, r.pattern, sum(n)::BIGINT AS n FROM m JOIN (SELECT *, row_number() OVER () - 1 AS i FROM (VALUES {sql_patterns(HOT_ROWS)}) AS r(type, severity, pattern)) r USING (i) WHERE n > 0 GROUP BY ALL""")
 def hotspots(t: Tables) -> DataFrame:
-    rows = frontend.hot_spots(t.documents.select("doc_id", F.col("text").alias("content")), "doc_id")
-    return rows.filter(F.col("pattern").startswith("token")).groupBy("doc_id", "line_number", "type", "severity").agg(F.count("*").alias("n"))
+    rows = frontend.hot_spots(with_line(t.documents, F.col("doc_id"), HOT_LINES, F.col("text")), "doc_id")
+    return rows.groupBy("doc_id", "line_number", "type", "severity", "pattern").agg(F.count("*").alias("n"))
 
 
 @query(f"""
@@ -129,12 +157,19 @@ def sql_content_hits() -> str:
     return ", ".join(f"{{'n': {' + '.join(map(one, ps))}, 'o': {-i}, 'lang': '{lang}'}}" for i, (lang, ps) in enumerate(languages.CONTENT.items()))
 
 
+CODE_LINES = [
+    "import os\ndef main (x)", "function f(a) { var b = 1; let c = 2 }", "package main\nfunc main() ", "interface A\ntype B = string", "public class A\nprivate int b", "fn main() { let x = 1 }\nuse std", "#include <a.h>\nint main (", "using System\nnamespace A",
+    "<?php\n$a = 1\necho 2", "def f\nputs 1\nend", "fun f(x)\nval y = 1", "import UIKit\nlet x = 1\nfunc g(", "object A\nval b = 1\nvar c = 2", "",
+]
+
+
 @query(rf"""
-WITH p AS (SELECT item_id, 'import os' || chr(10) || 'def main (x)' || chr(10) || CASE item_id % 3 WHEN 0 THEN 'function f(a) {{ var b = 1; let c = 2 }}' WHEN 1 THEN 'package main' || chr(10) || 'func main() ' ELSE '' END AS t FROM benchmark),
-h AS (SELECT item_id, list_max([{sql_content_hits()}]) AS best FROM p) SELECT item_id, CASE WHEN best.n >= 2 THEN best.lang END AS language FROM h""".replace("{{", "{").replace("}}", "}"))
+WITH p AS (SELECT doc_id, substr({sql_texts(CODE_LINES).replace("{", "{{").replace("}", "}}").replace(chr(10), "' || chr(10) || '")}[1 + doc_id % {len(CODE_LINES)}] || chr(10) || text, 1, 10240) AS t FROM documents),
+h AS (SELECT doc_id, list_max([{sql_content_hits()}]) AS best FROM p) SELECT doc_id, CASE WHEN best.n >= 2 THEN best.lang END AS language FROM h""".replace("{{", "{").replace("}}", "}"))
 def language_by_content(t: Tables) -> DataFrame:
-    tail = F.when(F.col("item_id") % 3 == 0, "function f(a) { var b = 1; let c = 2 }").when(F.col("item_id") % 3 == 1, "package main\nfunc main() ").otherwise("")
-    return t.benchmark.select("item_id", languages.by_content(F.concat(F.lit("import os\ndef main (x)\n"), tail)).alias("language"))
+    """Over the whole documents, code of each language in front of them; the first 10,240 characters count, as a feature."""
+    rows = with_line(t.documents, F.col("doc_id"), CODE_LINES, F.col("text"))
+    return rows.select("doc_id", languages.by_content(F.col("content")).alias("language"))
 
 
 @query("SELECT sum(greatest(1, n_chars // 50))::BIGINT AS total_lines FROM documents WHERE lang IS NOT NULL AND n_chars > 0")
@@ -177,15 +212,14 @@ def false_positive_reasons(t: Tables) -> DataFrame:
 
 @query(f"""
 WITH f AS ({FINDINGS}), r AS (SELECT file, type, sum(CASE WHEN type = 'SQL注入' THEN 0.2::DOUBLE ELSE -0.1::DOUBLE END) AS change FROM (SELECT DISTINCT file, type FROM f) GROUP BY 1, 2),
-j AS (SELECT doc_id, f.confidence, CASE WHEN f.confidence > 0.99 THEN f.confidence ELSE greatest(0.1::DOUBLE, least(1::DOUBLE, f.confidence + r.change)) END AS a FROM f JOIN r USING (file, type))
-SELECT doc_id, round(a, 6) AS adjusted_confidence, CASE WHEN a > confidence + 0.1 THEN 'up' WHEN a < confidence - 0.1 THEN 'down' ELSE 'same' END AS verdict FROM j WHERE abs(abs(a - confidence) - 0.1) > 1e-9""")
+j AS (SELECT doc_id, f.confidence, CASE WHEN f.confidence > 0.99::DOUBLE THEN f.confidence ELSE greatest(0.1::DOUBLE, least(1::DOUBLE, f.confidence + r.change)) END AS a FROM f JOIN r USING (file, type))
+SELECT doc_id, round(a, 6) AS adjusted_confidence, CASE WHEN a > confidence + 0.1::DOUBLE THEN 'up' WHEN a < confidence - 0.1::DOUBLE THEN 'down' ELSE 'same' END AS verdict FROM j""")
 def cross_file_adjust(t: Tables) -> DataFrame:
     rows = t.findings().withColumn("path", F.col("file"))
     other = F.when(F.col("type") == "SQL注入", F.col("type")).otherwise("另一类")
     related = rows.select("path", "type").distinct().select("path", "type", other.alias("found_type"), F.lit("已有安全验证").alias("found_description"))
     out = found.adjusted(rows, related)
     verdict = F.when(F.col("recommendation").contains("增加"), "up").when(F.col("recommendation").contains("降低"), "down").otherwise("same")
-    out = out.filter(F.abs(F.abs(F.col("adjusted_confidence") - F.col("confidence")) - 0.1) > 1e-9)
     return out.select("doc_id", F.round("adjusted_confidence", 6).alias("adjusted_confidence"), verdict.alias("verdict"))
 
 
@@ -222,30 +256,25 @@ WITH f AS ({FINDINGS}), s AS (SELECT f.doc_id, file, type, (f.doc_id % 50 + 1)::
 SELECT 0 AS section, '' AS file, 0 AS number, '- ' || severity || ': ' || count(*) AS text FROM s GROUP BY severity
 UNION ALL SELECT 1, file, n::INT, n || '. [' || severity || '] ' || type || ' (line ' || line || ')' FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY line, type, severity, doc_id) AS n FROM s)""")
 def markdown_report_rows(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
-    rows = t.findings()
-    lines = tables.report_lines(rows)
-    nth = F.row_number().over(Window.partitionBy("file").orderBy("line", "type", "severity", "doc_id"))
-    body = rows.withColumn("number", nth).select(F.lit(1).alias("section"), "file", "number", F.format_string("%d. [%s] %s (line %d)", "number", "severity", "type", "line").alias("text"))
-    return lines.filter("section = 0").unionByName(body)
+    return tables.report_lines(t.findings(), "doc_id")
 
 
-@query(r"""
-WITH l AS (SELECT page_id, unnest(string_split(html, '>')) AS line FROM pages) SELECT page_id, count(*) AS n FROM l WHERE regexp_matches(line, '(?i)time\.time\s*\(\)|track\(') GROUP BY 1""")
-def pattern_lines(t: Tables) -> DataFrame:
-    lines = t.pages.select("page_id", F.explode(F.split("html", ">")).alias("line"))
-    return lines.filter(F.col("line").rlike(r"(?i)time\.time\s*\(\)|track\(")).groupBy("page_id").agg(F.count("*").alias("n"))
+# A line of code for most patterns of the families.
+FAMILY_LINES = [
+    "if step == 3:", "state = 'open'", "workflow[x] = 1", "process_step (a)", "validate_step(a)", "skip_step(a)", "session['u'] = x.user", "state = request.args", "status = read_input", "role = form.get(x)", "permission = the_user",
+    "render_template_string(a)", "Template('{a}')", "format(a, user.b)", "'a'.format(request.args)", "x % (user.a)", "f'a {b.user} c'", "pickle.loads(a)", "yaml.load(a)", "json.loads(user)", "marshal.load(a)", "eval(user)", "exec(user)", "__import__(user)",
+    "threading.Thread", "multiprocessing.Pool", "async def f", "await g()", "lock = a", "with my_lock", "time.sleep(1)", "check it then use it", "hashlib.md5(a)", "hashlib.sha1 (a)", "random.random()", "time.time()", "DES(a)", "RC4(a)", "ECB mode", "key = 'k'", "iv = 'v'", "salt = 's'",
+    "session_id = the_user", "cookie[a] = user", "session.permanent = True", "remember_me = True", "session_timeout = None", "secure = False", "httponly = False", "nothing at all",
+]
+FAMILY_ROWS = [(family, severity, p) for family, (severity, patterns) in detection.FAMILIES.items() for p in patterns]
+FAMILY_BASE = {family: round(0.7 + 0.1 * (len(patterns) > 3) + 0.1 * (severity == "critical"), 9) for family, (severity, patterns) in detection.FAMILIES.items()}
 
 
-@query(r"""
-WITH c AS (SELECT event_id, CASE user_id % 4 WHEN 0 THEN 'x = hashlib.md5(a)' WHEN 1 THEN 'pickle.loads(data)' WHEN 2 THEN 'role = request.form' ELSE 'a = 1' END AS code FROM events)
-SELECT event_id, 2 AS line, CASE WHEN contains(code, 'md5') THEN 'crypto_flaws' ELSE 'deserialization' END AS type, CASE WHEN contains(code, 'md5') THEN 'high' ELSE 'critical' END AS severity, CASE WHEN contains(code, 'md5') THEN 'hashlib.md5(' ELSE 'pickle.loads(' END AS code,
- CASE WHEN contains(code, 'md5') THEN 0.8 ELSE 0.9 END::DOUBLE AS confidence FROM c WHERE contains(code, 'md5') OR contains(code, 'pickle')""")
+@query(f"WITH l AS ({sql_lines('doc_id', FAMILY_LINES)}), m AS (" + " UNION ALL ".join(
+    f"SELECT doc_id, line_number, '{family}' AS type, '{severity}' AS severity, {FAMILY_BASE[family]}::DOUBLE AS base, unnest(regexp_extract_all(line, '{p.replace(chr(39), chr(39) * 2)}', 0, 'i')) AS code FROM l" for family, severity, p in FAMILY_ROWS) + """)
+SELECT doc_id, line_number::INT AS line, type, severity, code, round(least(1::DOUBLE, base + CASE WHEN length(code) > 20 THEN 0.1::DOUBLE ELSE 0 END), 6) AS confidence FROM m""")
 def advanced_patterns(t: Tables) -> DataFrame:
-    m = F.col("user_id") % 4
-    code = F.when(m == 0, "x = hashlib.md5(a)").when(m == 1, "pickle.loads(data)").when(m == 2, "role = request.form").otherwise("a = 1")
-    rows = detection.findings(t.events.select("event_id", F.concat(F.lit("first\n"), code).alias("content")), "event_id")
+    rows = detection.findings(with_line(t.documents, F.col("doc_id"), FAMILY_LINES, F.col("text")), "doc_id")
     return rows.withColumn("confidence", F.round("confidence", 6))
 
 

@@ -1,6 +1,6 @@
 """All registered queries of the audit engine."""
 
-from veritide.plans import content, relational, stateful
+from veritide.plans import audit, content, relational, stateful
 from veritide.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "content", "relational", "stateful"]
+__all__ = ["ORACLE_SQL", "QUERIES", "audit", "content", "relational", "stateful"]

@@ -60,13 +60,8 @@ SELECT (SELECT count(*) FROM customer) AS total_users, (SELECT count(*) FROM cus
  (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS completed_tasks, (SELECT count(*) FROM orders WHERE o_orderdate::DATE = DATE '1997-03-03') AS today_tasks,
  (SELECT {TOKENS} FROM orders) AS total_tokens, (SELECT count(*) FROM events WHERE ts::DATE = DATE '{DAY}') AS today_logs""")
 def system_dashboard(t: Tables) -> DataFrame:
-    n = lambda c: F.count(F.when(c, 1))
-    a = t.users().agg(F.count("*").alias("total_users"), n(F.col("is_active")).alias("active_users"))
-    today = F.to_date("created_at") == F.lit("1997-03-03").cast("date")
-    b = t.tasks().agg(F.count("*").alias("total_tasks"), n(F.col("status") == "completed").alias("completed_tasks"), n(today).alias("today_tasks"))
-    c = t.usage().agg(usage.exact_sum("tokens_consumed").alias("total_tokens"))
-    d = t.logs().agg(n(F.to_date("created_at") == F.lit(DAY).cast("date")).alias("today_logs"))
-    return a.crossJoin(b).crossJoin(c).crossJoin(d)  # one row each
+    tokens = t.usage().agg(usage.exact_sum("tokens_consumed").alias("total_tokens"))
+    return dashboards.system(t.users(), t.tasks(), tokens, t.logs(), "1997-03-03", DAY)
 
 
 @query("""
@@ -177,7 +172,8 @@ def config_seed_anti(t: Tables) -> DataFrame:
 
 @query("SELECT p_partkey AS id, p_name AS name FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 45)")
 def existence_semi(t: Tables) -> DataFrame:
-    return t.part.join(t.lineitem.filter("l_quantity > 45"), F.col("p_partkey") == F.col("l_partkey"), "left_semi").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    parts = t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    return records.existing(parts, t.lineitem.filter("l_quantity > 45"), "id", "l_partkey")
 
 
 @query("SELECT event_id AS id FROM events WHERE ts >= TIMESTAMP '2024-01-20'")
@@ -285,10 +281,9 @@ def cost_estimate(t: Tables) -> DataFrame:
     return t.events.select(F.col("event_id").alias("id"), F.round(records.cost_estimate(F.get_json_object("props", "$.k").cast("int"), F.col("user_id")), 9).alias("cost"))
 
 
-@query("SELECT o_orderkey AS id, strftime(o_orderdate, '%m-%d') AS month_day, ['周一', '周二', '周三', '周四', '周五', '周六', '周日'][isodow(o_orderdate)] AS weekday FROM orders WHERE o_orderstatus = 'P'")
+@query("SELECT o_orderkey AS id, strftime(o_orderdate, '%m-%d') AS month_day, ['周一', '周二', '周三', '周四', '周五', '周六', '周日'][isodow(o_orderdate)] AS weekday FROM orders")
 def weekday_labels(t: Tables) -> DataFrame:
-    names = F.array(*map(F.lit, ["周一", "周二", "周三", "周四", "周五", "周六", "周日"]))
-    return t.orders.filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("id"), F.date_format("o_orderdate", "MM-dd").alias("month_day"), F.element_at(names, F.weekday("o_orderdate") + 1).alias("weekday"))
+    return t.orders.select(F.col("o_orderkey").alias("id"), usage.month_day(F.col("o_orderdate")).alias("month_day"), usage.weekday_name(F.col("o_orderdate")).alias("weekday"))
 
 
 @query("""
