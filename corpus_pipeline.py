@@ -1,32 +1,28 @@
 """The corpus pipeline: stages over documents, each written as Parquet and read by the next.
 
 Quality rules and toxicity drop the documents they reject, near-duplicate detection
-keeps the smallest id of each component (similarity 0.80 or more), PII replaces personal data in the texts, and
-packing returns the places of all pieces of what is left. All stages but the last
-return the columns of their input. Nulls, empty texts, ties, repeated rows and empty
-tables are handled as each operator's module says; a document without an id can't be
-named as a duplicate, so it stays. Column names may clash with those an operator adds.
+keeps exactly one row of each component (similarity 0.80 or more): the one with the
+smallest id. PII replaces personal data in the texts, and packing returns the places of
+all pieces of what is left. All stages but the last return the columns of their input.
+Nulls, empty texts, ties, repeated rows and empty tables are handled as each operator's
+module says. Column names may clash with those an operator adds.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from veritide.llm import neardup, packing, pii, quality, toxicity
 from veritide.llm.queries import table, tokenizer_path
 from veritide.llm.scratch import written
 from veritide.session import ship
 
-#: A list of dropped ids may be broadcast up to this count (under 40 MB); beyond it, it is joined by a shuffle.
-IDS_BROADCAST = 1_000_000
 #: Texts that share so many percent of their five-word shingles are near copies; op9_minhash_neardup has a threshold of its own.
 PERCENT = 80
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text"))
-    return quality.verdicts(quality.ledger(rows)).filter("kept").select("row.*")
+    return quality.keep_good(docs)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,10 +30,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    dropped = written(neardup.near_duplicates(docs, PERCENT).filter("not kept").select("doc_id").distinct(), "dropped")
-    if dropped.count() <= IDS_BROADCAST:
-        dropped = F.broadcast(dropped)
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    return neardup.keep_one(docs, PERCENT)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
