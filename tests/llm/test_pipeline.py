@@ -48,7 +48,7 @@ def test_stages(spark):
     for a in range(len(rows)):
         for b in range(a):
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+            if both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
                 x, y = sorted((root(a), root(b)))
                 parent[y] = x
     assert {r.doc_id for r in single.collect()} == {rows[k].doc_id for k in range(len(rows)) if root(k) == k}
