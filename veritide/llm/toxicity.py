@@ -8,7 +8,8 @@ accents and look-alike digits; letters of scripts beyond Latin are numbered by t
 code points.
 
 Landmarks are fragments of words, word starts included, that labelled texts show to be
-telling. They are chosen one by one, and toxic texts that have several of them already
+telling: first beginnings of words are counted, then fragments of words with a telling
+beginning. They are chosen one by one, and toxic texts that have several of them already
 count less, so those of rarer languages and topics get their share. Strings are mapped
 to kernel values with the landmarks times the inverse root of the landmarks' own kernel
 matrix, and a linear support vector machine is fitted there on windows of about eighty
@@ -24,8 +25,9 @@ weight for each of them, and a text is scored in one pass over its letters.
 
 Fitted on at most ``TRAINING_TEXTS`` labelled texts, half of either label, taken in the
 order of a hash. Executors list their words (at most ``WORDS_A_TEXT`` distinct ones by
-hash) and embed their windows (the ``WINDOWS_A_TEXT`` most like a landmark); only those
-go to the driver. All texts are scored whole.
+hash), count their beginnings and embed their windows (the ``WINDOWS_A_TEXT`` most like
+a landmark). To the driver go at most ``STEMS`` beginnings, the words that have one, and
+those windows. All texts are scored whole.
 
 Defined results: null and empty texts get the score of a text without any match; rows
 with ids that repeat or are null are scored each; for the fit an id labelled 0 and 1
@@ -49,11 +51,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veritide.functions.patterns import any_of
 from veritide.llm.scratch import written
 
 LENGTH, SPAN, DECAY = 4, 7, 0.8
-LANDMARKS, ROUNDS, WORST = 160, 4, 3
-TRAINING_TEXTS, WORDS_A_TEXT, WINDOWS_A_TEXT = 5_000, 1_000, 16
+LANDMARKS, ROUNDS, WORST = 200, 4, 3
+TRAINING_TEXTS, WORDS_A_TEXT, WINDOWS_A_TEXT, STEMS = 5_000, 1_000, 16, 1_000
+#: A telling beginning of words: its lengths with the space before it, the share of toxic texts that must have it, and how many times the share of clean ones that must be.
+STEM_LENGTHS, SUPPORT, LIFT = (5, 6, 7, 8), 0.015, 4
 HALF_WINDOW = 40  # a window is two halves; a half begins with the first word behind so many characters
 OFFSETS = [(0, *c) for c in combinations(range(1, SPAN), LENGTH - 1)]
 # Look-alikes of letters.
@@ -148,7 +153,7 @@ class Model:
     numbers: np.ndarray  # of the subsequences that have a weight, sorted
     weights: np.ndarray
     bias: float
-    curve: tuple[float, float, float]  # of the worst windows' sum, the logarithm of the text's halves and one
+    curve: tuple[float, float, float, float]  # of the worst windows' sum, the text's size and one; then the largest size that was fitted
     share: float
 
     def __post_init__(self):
@@ -204,8 +209,8 @@ class Model:
         if not len(self.numbers) or not texts:
             return np.full(len(texts), self.share)
         worst, size = self.worst(texts)
-        a, b, c = self.curve
-        return 1 / (1 + np.exp(-np.clip(a * worst + b * size + c, -30, 30)))
+        a, b, c, largest = self.curve
+        return 1 / (1 + np.exp(-np.clip(a * worst + b * np.minimum(size, largest) + c, -30, 30)))
 
 
 def top(beyond: np.ndarray) -> float:
@@ -222,6 +227,25 @@ def words_of(text: str | None) -> list[str]:
     return sorted(f" {w}" for w in found)
 
 
+def beginnings(word: str) -> set[str]:
+    return {word[:n] for n in STEM_LENGTHS if len(word) >= n}
+
+
+def telling(bad_with: float, clean_with: float, bad: int, clean: int) -> bool:
+    return bad_with >= max(4, SUPPORT * bad) and bad_with * clean > LIFT * clean_with * bad
+
+
+def with_telling_stems(bags: list[list[str]], toxic: np.ndarray) -> list[list[str]]:
+    """Of each text the words with a telling beginning; ``train`` does the same in Spark."""
+    counts: dict[str, list[int]] = {}
+    for bag, y in zip(bags, toxic):
+        for x in set().union(*map(beginnings, bag)) if bag else ():
+            counts.setdefault(x, [0, 0])[int(y)] += 1
+    bad, clean = int(toxic.sum()), int((1 - toxic).sum())
+    stems = {x for x, (c, b) in counts.items() if telling(b, c, bad, clean)}
+    return [[w for w in bag if beginnings(w) & stems] for bag in bags]
+
+
 def fragments(word: str) -> set[str]:
     return {word[i : i + n] for n in range(5, 10) for i in range(len(word) - n + 1)}
 
@@ -293,16 +317,22 @@ def telling_fragments(bags: list[list[str]], toxic: np.ndarray, most: int) -> tu
 def support_vector_machine(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 50) -> np.ndarray:
     """Weights (bias last) of a linear machine with squared hinge loss and balanced classes.
 
-    Newton's method on the primal: each step solves for the rows inside the margin.
+    Newton's method on the primal: each step solves for the rows inside the margin, whose
+    products are summed a thousand rows at a time.
     """
-    x = np.hstack((x, np.ones((len(x), 1))))
+    d = x.shape[1] + 1
     bad = y > 0
     c = np.where(bad, cost / max(1, bad.sum()), cost / max(1, (~bad).sum())) * len(y) / 2
-    w, inside = np.zeros(x.shape[1]), np.ones(len(y), bool)
+    w, inside = np.zeros(d), np.ones(len(y), bool)
     for _ in range(rounds):
-        own, weight = x[inside], c[inside]
-        w = np.linalg.solve(own.T @ (own * weight[:, None]) + np.eye(x.shape[1]), own.T @ (weight * y[inside]))
-        now = y * (x @ w) < 1
+        a, b = np.eye(d), np.zeros(d)
+        for k in range(0, len(y), 1000):
+            some = inside[k : k + 1000]
+            own = np.column_stack((x[k : k + 1000][some], np.ones(some.sum()))).astype(float)
+            a += own.T @ (own * c[k : k + 1000][some, None])
+            b += own.T @ (c[k : k + 1000][some] * y[k : k + 1000][some])
+        w = np.linalg.solve(a, b)
+        now = y * (x @ w[:-1] + w[-1]) < 1
         if (now == inside).all():
             break
         inside = now
@@ -318,7 +348,7 @@ class Space:
     likeness: np.ndarray  # a direction: likeness to any landmark
 
     def __post_init__(self):
-        self.probe = Model(self.numbers, np.zeros(len(self.numbers)), 0.0, (1.0, 0.0, 0.0), 0.0)
+        self.probe = Model(self.numbers, np.zeros(len(self.numbers)), 0.0, (1.0, 0.0, 0.0, 0.0), 0.0)
 
     def embedded(self, text: str | None) -> np.ndarray:
         """A row for each window with any known subsequence, the likest ones, and one of zeros besides."""
@@ -327,7 +357,7 @@ class Space:
         window = half - place[half] % 2
         hits = [(window[at], row, np.full(len(at), weight)) for at, row, weight in self.probe.found(c)]
         if not hits:
-            return np.zeros((1, self.weights.shape[1]), np.float32)
+            return np.zeros((1, self.weights.shape[1]), np.float16)
         names, cols, vals = map(np.concatenate, zip(*hits))
         pairs, at = np.unique(names * len(self.weights) + cols, return_inverse=True)
         vals, (names, cols) = np.bincount(at, vals), np.divmod(pairs, len(self.weights))
@@ -337,7 +367,7 @@ class Space:
             out[k] = vals[a:b] @ self.weights[cols[a:b]]
         if len(out) > WINDOWS_A_TEXT:
             out = out[np.sort(np.argsort(-(out @ self.likeness), kind="stable")[:WINDOWS_A_TEXT])]
-        return out.astype(np.float32)
+        return out.astype(np.float16)
 
 
 def space_of(landmarks: list[str]) -> Space:
@@ -362,18 +392,19 @@ def spelt_out(fragment: str) -> list[str]:
 
 
 def size_of(text: str | None) -> float:
-    """As ``Model.worst`` has it."""
+    """The logarithm of a text's halves, as ``Model.worst`` has it."""
     return float(np.log((len(codes(text)) + SPAN) / HALF_WINDOW + 1))
 
 
 def fitted(space: Space, bags: list[np.ndarray], sizes: np.ndarray, toxic: np.ndarray, sure: list[str]) -> Model:
     alone = [space.embedded(v) for x in sure for v in spelt_out(x)]
-    rows = [b[np.argmax(b @ space.likeness)] for b in alone]
+    rows = [b[np.argmax(b.astype(float) @ space.likeness)] for b in alone]
     w = np.append(space.likeness, 0.0)  # at first: likeness to any landmark
     for _ in range(ROUNDS):
         x, y = [*rows], [1.0] * len(rows)
         for bag, bad in zip(bags, toxic):
-            s = bag @ w[:-1] + w[-1]
+            bag = bag.astype(np.float32)
+            s = bag @ w[:-1].astype(np.float32) + w[-1]
             order = np.argsort(-s)[:WORST]
             for k in order[:1] if not bad else [k for k in order if k == order[0] or s[k] > 0]:
                 x.append(bag[k])
@@ -381,22 +412,22 @@ def fitted(space: Space, bags: list[np.ndarray], sizes: np.ndarray, toxic: np.nd
             if not bad:
                 x += [bag[k] for k in order[1:]]
                 y += [-1.0] * (len(order) - 1)
-        w = support_vector_machine(np.array(x, float), np.array(y))
-    beyond = lambda bag: top(np.maximum(0, bag @ w[:-1] + w[-1] + 1))
+        w = support_vector_machine(np.array(x, np.float32), np.array(y))
+    beyond = lambda bag: top(np.maximum(0, bag.astype(float) @ w[:-1] + w[-1] + 1))
     tops = np.array([beyond(b) for b in [*bags, *alone]])
     sizes = np.concatenate((sizes, [size_of(v) for x in sure for v in spelt_out(x)]))
     curve = calibrated(np.column_stack((tops, sizes)), np.concatenate((toxic, np.ones(len(alone), int))))
-    return Model(space.numbers, space.weights @ w[:-1], float(w[-1]), curve, float(toxic.mean()))
+    return Model(space.numbers, space.weights @ w[:-1], float(w[-1]), (*curve, float(sizes.max())), float(toxic.mean()))
 
 
 def constant(share: float) -> Model:
-    return Model(np.zeros(0, np.int64), np.zeros(0), 0.0, (1.0, 0.0, 0.0), share)
+    return Model(np.zeros(0, np.int64), np.zeros(0), 0.0, (1.0, 0.0, 0.0, 0.0), share)
 
 
 def fit(texts: list[str], toxic: np.ndarray) -> Model:
     """The same fit as ``train``, on texts at hand."""
     share = float(toxic.mean()) if len(toxic) else 0.0
-    landmarks, sure = telling_fragments([words_of(t) for t in texts], toxic, LANDMARKS) if 0 < share < 1 else ([], [])
+    landmarks, sure = telling_fragments(with_telling_stems([words_of(t) for t in texts], toxic), toxic, LANDMARKS) if 0 < share < 1 else ([], [])
     if not landmarks:
         return constant(share)
     space = space_of(landmarks)
@@ -404,7 +435,7 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
 
 
 def calibrated(x: np.ndarray, toxic: np.ndarray) -> tuple[float, ...]:
-    """Slopes and offset of a logistic curve, by Newton's method with step halving.
+    """Slopes (the second one held back) and offset of a logistic curve, by Newton's method with step halving.
 
     Targets are drawn in from 0 and 1 by the size of either class, so separable scores
     have finite slopes too.
@@ -412,7 +443,7 @@ def calibrated(x: np.ndarray, toxic: np.ndarray) -> tuple[float, ...]:
     bad = toxic.astype(bool)
     target = np.where(bad, (bad.sum() + 1) / (bad.sum() + 2), 1 / ((~bad).sum() + 2))
     x = np.column_stack((x, np.ones(len(x))))
-    penalty = np.full(x.shape[1], 1e-6)
+    penalty = np.array([1e-6, 0.5, 1e-6])
 
     def loss(w: np.ndarray) -> float:
         z = x @ w
@@ -423,7 +454,7 @@ def calibrated(x: np.ndarray, toxic: np.ndarray) -> tuple[float, ...]:
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
         g = x.T @ (p - target) + 2 * penalty * w
-        step, scale, now = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), g), 1.0, loss(w)
+        step, scale, now = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(2 * penalty), g), 1.0, loss(w)
         while scale > 1e-6 and loss(w - scale * step) > now - 1e-4 * scale * float(g @ step):
             scale /= 2
         w = w - scale * step
@@ -453,10 +484,20 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             columns = [pa.array([size_of(t.as_py()) for t in batch.column(2)], pa.float64()), pa.array([words_of(t.as_py()) for t in batch.column(2)], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "toxic", "size", "words"])
 
-    rows = sorted((r["doc_id"], r["toxic"], r["words"], r["size"]) for r in sample.select("doc_id", "toxic", "text").mapInArrow(list_words, "doc_id long, toxic int, size double, words array<string>").collect())
+    listed = written(sample.select("doc_id", "toxic", "text").mapInArrow(list_words, "doc_id long, toxic int, size double, words array<string>"), "toxic-words")
+    totals = {r["toxic"]: r["n"] for r in listed.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    bad, clean = totals.get(1, 0), totals.get(0, 0)
+    share = bad / max(1, bad + clean)
+    if not bad or not clean:
+        return constant(share)
+    of_length = lambda n: F.transform(F.filter("words", lambda w: F.char_length(w) >= n), lambda w: F.substring(w, 1, n))
+    counts = listed.select("toxic", F.explode(F.array_distinct(F.concat(*map(of_length, STEM_LENGTHS)))).alias("stem")).groupBy("stem").agg(F.sum("toxic").alias("b"), F.sum(1 - F.col("toxic")).alias("c"))
+    found = counts.filter((F.col("b") >= max(4, SUPPORT * bad)) & (F.col("b") * clean > LIFT * F.col("c") * bad))
+    stems = [r["stem"] for r in found.orderBy(F.desc(F.col("b") * clean - LIFT * F.col("c") * bad), "stem").limit(STEMS).collect()]
+    begins = lambda w: any_of([F.substring(w, 1, n).isin([x for x in stems if len(x) == n]) for n in STEM_LENGTHS])
+    rows = sorted((r["doc_id"], r["toxic"], r["words"], r["size"]) for r in listed.select("doc_id", "toxic", "size", F.filter("words", begins).alias("words")).collect())
     toxic = np.array([r[1] for r in rows], int)
-    share = float(toxic.mean()) if len(toxic) else 0.0
-    landmarks, sure = telling_fragments([r[2] for r in rows], toxic, LANDMARKS) if 0 < share < 1 else ([], [])
+    landmarks, sure = telling_fragments([r[2] for r in rows], toxic, LANDMARKS)
     if not landmarks:
         return constant(share)
     space = space_of(landmarks)
@@ -467,7 +508,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.embedded(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], ["doc_id", "rows"])
 
-    found = {r["doc_id"]: np.frombuffer(r["rows"], np.float32).reshape(-1, len(landmarks)) for r in sample.select("doc_id", "text").mapInArrow(embed, "doc_id long, rows binary").collect()}
+    # Read part by part, so that the driver holds them once.
+    embedded = written(sample.select("doc_id", "text").mapInArrow(embed, "doc_id long, rows binary"), "toxic-windows")
+    found = {r["doc_id"]: np.frombuffer(bytes(r["rows"]), np.float16).reshape(-1, len(landmarks)) for r in embedded.toLocalIterator()}
     return fitted(space, [found[r[0]] for r in rows], np.array([r[3] for r in rows]), toxic, sure)
 
 
