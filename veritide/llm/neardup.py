@@ -12,8 +12,8 @@ form one class, named by its smallest row number, so copies cost one row each.
    sizes alone rule a link out.
 2. Buckets of at most ``SMALL`` classes give all their pairs that bit counts allow, so a
    class meets a bounded number of others there. In larger buckets each class meets
-   ``DRAWN`` classes drawn from each of its buckets, and is paired with the two that
-   match best. So a large group becomes one component, or nearly one, by a number of
+   ``DRAWN`` classes drawn from each of its buckets, is compared with the ``COMPARED`` of
+   them that it shares most buckets with, and paired with the two that match best. So a large group becomes one component, or nearly one, by a number of
    pairs that grows with its size and not with its square.
 3. Pairs wait in a queue. In the first round a class's best pair is confirmed on full
    sets, labels are passed on, and pairs whose ends are known to be connected by then
@@ -65,6 +65,8 @@ WORDS_KEPT = 200_000
 SMALL = 64
 #: Classes drawn from each larger bucket, which all its members meet.
 DRAWN = 4
+#: Of the classes it meets there, a class is compared with so many: those it shares most buckets with.
+COMPARED = 8
 #: Outsiders of a bucket that are compared with all of it at first; then eight times as many.
 MEMBERS_FIRST = 256
 #: Classes of a bucket in one part of a comparison in blocks.
@@ -388,7 +390,9 @@ def drawn_pairs(large: DataFrame, classes: DataFrame, at: Threshold) -> DataFram
     """(a, b, m): each class of large buckets with the best two of those drawn from its buckets."""
     draws = [F.min(F.struct(F.xxhash64(F.lit(k), "band", "id").alias("place"), "id"))["id"] for k in range(DRAWN)]
     drawn = stored(large.groupBy("band").agg(F.array_distinct(F.array(*draws)).alias("drawn")).select("band", F.explode("drawn").alias("b")), "drawn")
-    met = stored(large.join(drawn.light, "band").select(F.col("id").alias("a"), "b").filter("a <> b").distinct(), "drawn-pairs")
+    met = large.join(drawn.light, "band").filter("id <> b").groupBy(F.col("id").alias("a"), "b").agg(F.count("*").alias("shared"))
+    most = Window.partitionBy("a").orderBy(F.desc("shared"), F.xxhash64("a", "b"), "b")
+    met = stored(met.withColumn("k", F.row_number().over(most)).filter(F.col("k") <= COMPARED).select("a", "b"), "drawn-pairs")
     best = Window.partitionBy("a").orderBy(F.desc("m"), "b")
     top = of_classes(met, classes, at).withColumn("k", F.row_number().over(best)).filter("k <= 2")
     return top.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "m")
