@@ -351,9 +351,9 @@ def test_toxicity_on_labels(spark):
     model = toxicity.train(docs, marks)
     scored = toxicity.score_documents(docs, model).filter("held_out").join(marks.select("doc_id", "toxic"), "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
     rows = scored.toPandas()
-    assert rows[rows.toxic == 0].predicted.mean() <= 0.025
+    assert rows[rows.toxic == 0].predicted.mean() <= 0.02
     found = rows[rows.toxic == 1].groupby("lang").predicted.mean()
-    assert rows[rows.toxic == 1].predicted.mean() >= 0.85 and found["en"] >= 0.9 and found.min() >= 0.65
+    assert rows[rows.toxic == 1].predicted.mean() >= 0.88 and found["en"] >= 0.9 and found.min() >= 0.8
     assert (model.scores(["moron", "you moron", "m-o-r-o-n", "m*oron", "mo.ron", "M0RON", "loser", "id1ot"]) >= 0.5).all()
     assert (model.scores(["", None, "a table by the window", "more on the matter"]) < 0.5).all()
 

@@ -1,7 +1,8 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nyström landmarks.
 
 The kernel of two strings counts their common subsequences of four signs within a span
-of seven characters, each occurrence weighted by a decay to the power of its span. Signs
+of seven characters, weighted by a decay to the power of the span; of a subsequence that
+occurs more than once in a stretch of text the tightest occurrence counts. Signs
 are letters and the start of a word; every other character only takes up room. So an
 insult is recognised with gaps and inserted characters. Letters are folded: case,
 accents and look-alike digits; letters of scripts beyond Latin are numbered by their
@@ -59,6 +60,8 @@ LANDMARKS, ROUNDS, WORST = 200, 4, 3
 TRAINING_TEXTS, WORDS_A_TEXT, WINDOWS_A_TEXT, STEMS = 5_000, 1_000, 16, 1_000
 #: A telling beginning of words: its lengths with the space before it, the share of toxic texts that must have it, and how many times the share of clean ones that must be.
 STEM_LENGTHS, SUPPORT, LIFT = (5, 6, 7, 8), 0.015, 4
+#: Sure signs alone count as so many of the toxic texts at most when the curve is fitted.
+SURE_SHARE = 0.1
 HALF_WINDOW = 40  # a window is two halves; a half begins with the first word behind so many characters
 OFFSETS = [(0, *c) for c in combinations(range(1, SPAN), LENGTH - 1)]
 # Look-alikes of letters.
@@ -185,14 +188,22 @@ class Model:
                     if len(hit):
                         yield at3[hit], row[hit], DECAY ** (fourth + 1)
 
+    def occurrences(self, c: np.ndarray, half: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Half, row and weight of each known subsequence, its tightest occurrence in a half only: repeated words count once."""
+        hits = sorted(((weight, half[at] * len(self.numbers) + row) for at, row, weight in self.found(c)), key=lambda h: -h[0])
+        if not hits:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        keys, first = np.unique(np.concatenate([k for _, k in hits]), return_index=True)
+        weight = np.repeat([w for w, _ in hits], [len(k) for _, k in hits])[first]
+        return (*np.divmod(keys, len(self.numbers)), weight)
+
     def worst(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Of each text the sum of its worst windows and its size; texts are joined for speed, apart by stops."""
         each = [np.concatenate((codes(t), np.full(SPAN, STOP, np.uint8))) for t in texts]
         c = np.concatenate(each)
         half, place = halves_of(c)
-        sums = np.zeros(len(place))
-        for at, row, weight in self.found(c):
-            sums += np.bincount(half[at], self.weights[row] * weight, len(place))
+        where, row, weight = self.occurrences(c, half)
+        sums = np.bincount(where, self.weights[row] * weight, len(place))
         starts = half[np.cumsum([0, *(len(x) for x in each[:-1])])]
         out = np.zeros(len(texts))
         for shift in (0, 1):
@@ -354,13 +365,10 @@ class Space:
         """A row for each window with any known subsequence, the likest ones, and one of zeros besides."""
         c = codes(text)
         half, place = halves_of(c)
-        window = half - place[half] % 2
-        hits = [(window[at], row, np.full(len(at), weight)) for at, row, weight in self.probe.found(c)]
-        if not hits:
+        names, cols, vals = self.probe.occurrences(c, half)
+        if not len(names):
             return np.zeros((1, self.weights.shape[1]), np.float16)
-        names, cols, vals = map(np.concatenate, zip(*hits))
-        pairs, at = np.unique(names * len(self.weights) + cols, return_inverse=True)
-        vals, (names, cols) = np.bincount(at, vals), np.divmod(pairs, len(self.weights))
+        names = names - place[names] % 2
         starts = np.flatnonzero(np.diff(names, prepend=-1))
         out = np.zeros((len(starts) + 1, self.weights.shape[1]))
         for k, (a, b) in enumerate(zip(starts.tolist(), [*starts[1:].tolist(), len(names)])):
@@ -396,7 +404,8 @@ def size_of(text: str | None) -> float:
     return float(np.log((len(codes(text)) + SPAN) / HALF_WINDOW + 1))
 
 
-def fitted(space: Space, bags: list[np.ndarray], sizes: np.ndarray, toxic: np.ndarray, sure: list[str]) -> Model:
+def fitted(space: Space, bags: list[np.ndarray], sizes: np.ndarray, toxic: np.ndarray, sure: list[str], clean_weight: float = 1.0) -> Model:
+    """``clean_weight``: for how many clean texts one in the sample stands, next to a toxic one."""
     alone = [space.embedded(v) for x in sure for v in spelt_out(x)]
     rows = [b[np.argmax(b.astype(float) @ space.likeness)] for b in alone]
     w = np.append(space.likeness, 0.0)  # at first: likeness to any landmark
@@ -416,7 +425,10 @@ def fitted(space: Space, bags: list[np.ndarray], sizes: np.ndarray, toxic: np.nd
     beyond = lambda bag: top(np.maximum(0, bag.astype(float) @ w[:-1] + w[-1] + 1))
     tops = np.array([beyond(b) for b in [*bags, *alone]])
     sizes = np.concatenate((sizes, [size_of(v) for x in sure for v in spelt_out(x)]))
-    curve = calibrated(np.column_stack((tops, sizes)), np.concatenate((toxic, np.ones(len(alone), int))))
+    marks = np.concatenate((toxic, np.ones(len(alone), int)))
+    weight = np.where(marks == 1, 1.0, clean_weight)
+    weight[len(bags) :] = min(1.0, SURE_SHARE * toxic.sum() / max(1, len(alone)))
+    curve = calibrated(np.column_stack((tops, sizes)), marks, weight)
     return Model(space.numbers, space.weights @ w[:-1], float(w[-1]), (*curve, float(sizes.max())), float(toxic.mean()))
 
 
@@ -424,17 +436,17 @@ def constant(share: float) -> Model:
     return Model(np.zeros(0, np.int64), np.zeros(0), 0.0, (1.0, 0.0, 0.0, 0.0), share)
 
 
-def fit(texts: list[str], toxic: np.ndarray) -> Model:
+def fit(texts: list[str], toxic: np.ndarray, clean_weight: float = 1.0) -> Model:
     """The same fit as ``train``, on texts at hand."""
     share = float(toxic.mean()) if len(toxic) else 0.0
     landmarks, sure = telling_fragments(with_telling_stems([words_of(t) for t in texts], toxic), toxic, LANDMARKS) if 0 < share < 1 else ([], [])
     if not landmarks:
         return constant(share)
     space = space_of(landmarks)
-    return fitted(space, [space.embedded(t) for t in texts], np.array([size_of(t) for t in texts]), toxic, sure)
+    return fitted(space, [space.embedded(t) for t in texts], np.array([size_of(t) for t in texts]), toxic, sure, clean_weight)
 
 
-def calibrated(x: np.ndarray, toxic: np.ndarray) -> tuple[float, ...]:
+def calibrated(x: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[float, ...]:
     """Slopes (the second one held back) and offset of a logistic curve, by Newton's method with step halving.
 
     Targets are drawn in from 0 and 1 by the size of either class, so separable scores
@@ -447,14 +459,14 @@ def calibrated(x: np.ndarray, toxic: np.ndarray) -> tuple[float, ...]:
 
     def loss(w: np.ndarray) -> float:
         z = x @ w
-        return float((np.logaddexp(0, z) - target * z).sum() + (penalty * w * w).sum())
+        return float((weight * (np.logaddexp(0, z) - target * z)).sum() + (penalty * w * w).sum())
 
     w = np.zeros(x.shape[1])
     w[-1] = np.log((bad.sum() + 1) / ((~bad).sum() + 1))
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
-        g = x.T @ (p - target) + 2 * penalty * w
-        step, scale, now = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(2 * penalty), g), 1.0, loss(w)
+        g = x.T @ (weight * (p - target)) + 2 * penalty * w
+        step, scale, now = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(2 * penalty), g), 1.0, loss(w)
         while scale > 1e-6 and loss(w - scale * step) > now - 1e-4 * scale * float(g @ step):
             scale /= 2
         w = w - scale * step
@@ -471,6 +483,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fitted on labelled rows that aren't held out, at most ``TRAINING_TEXTS`` of them."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic is not null and doc_id is not null").filter(~held_out())
     known = known.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
+    # The sample holds toxic texts more often than the labels do; the curve is fitted as if it didn't.
+    all_marks = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     order = F.xxhash64(F.lit(20_240_503), "doc_id")
     half = TRAINING_TEXTS // 2
     some = [known.filter(F.col("toxic") == y).withColumn("place", order).orderBy("place", "doc_id").limit(half) for y in (1, 0)]
@@ -511,7 +525,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     # Read part by part, so that the driver holds them once.
     embedded = written(sample.select("doc_id", "text").mapInArrow(embed, "doc_id long, rows binary"), "toxic-windows")
     found = {r["doc_id"]: np.frombuffer(bytes(r["rows"]), np.float16).reshape(-1, len(landmarks)) for r in embedded.toLocalIterator()}
-    return fitted(space, [found[r[0]] for r in rows], np.array([r[3] for r in rows]), toxic, sure)
+    return fitted(space, [found[r[0]] for r in rows], np.array([r[3] for r in rows]), toxic, sure, (all_marks[0] / clean) / (all_marks[1] / bad))
 
 
 SCORE_SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
