@@ -68,7 +68,7 @@ DRAWN = 4
 #: Of the classes it meets there, a class is compared with so many: those it shares most buckets with.
 COMPARED = 8
 #: Outsiders of a bucket that are compared with all of it at first; then eight times as many.
-MEMBERS_FIRST = 256
+MEMBERS_FIRST = 1_024
 #: Classes of a bucket in one part of a comparison in blocks.
 PART = 2_048
 #: Buckets that would take more comparisons are split by finer bands.
@@ -484,7 +484,9 @@ def compare_blocks(opened: Table, classes: DataFrame, links: Links, at: Threshol
         rows = rows.unionByName(bucketed(keys.select("id", F.explode("keys").alias("band"))).join(keys, "id").select(rows.columns))
     few = rows.select("band", "id", "size", "keys")
     rows = written(few.join(classes.select("id", "n").join(fine.select("id", "fine"), "id"), "id"), "near-blocks")
-    now, most, turn = open_rows(rows.select("band", "id", "size"), links.labels), MEMBERS_FIRST, 0
+    # Without a split the open rows are known already.
+    now = open_rows(rows.select("band", "id", "size"), links.labels) if split.rows else opened
+    most, turn = MEMBERS_FIRST, 0
     while now.rows:
         # The largest component of a bucket has outsiders to meet, so these are never the whole bucket.
         some = (F.col("component") != F.col("main")) & (F.pmod(F.xxhash64(F.lit(turn), "id"), F.col("outside")) < most)
