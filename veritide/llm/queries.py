@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritide.llm import bpe, chat, html_text, media, neardup, packing, pii, quality, sharding, toxicity
+from veritide.llm import bpe, chat, html_text, media, neardup, packing, pii, quality, runs, sharding, toxicity
 from veritide.session import ship
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -72,6 +72,10 @@ def op10_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.find_runs(runs.with_repeated_tails(table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_chat_formatting": op2_chat_formatting,
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_minhash_neardup": op9_minhash_neardup,
     "op10_bpe_encoding": op10_bpe_encoding,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 # Whole documents; the eight-word windows are compared as strings.
