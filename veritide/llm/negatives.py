@@ -181,13 +181,13 @@ def small_nodes(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 class Rows:
     """Rows of one side in a task, in the order of their small tree."""
 
-    def __init__(self, batches: list[pa.RecordBatch], dim: int, size: int):
+    def __init__(self, batches: list[pa.RecordBatch], dim: int, anchors: bool):
         t = pa.Table.from_batches(batches).combine_chunks()
         x = unpacked(t["data"].combine_chunks(), dim)
-        order, self.starts = small_nodes(x, size)
+        order, self.starts = small_nodes(x, SMALL_A if anchors else SMALL_C)
         self.x = x[order]
         self.rid, self.vec_id, self.label = (longs(t[c].combine_chunks())[order] for c in ("rid", "vec_id", "label"))
-        self.slots = [t["slots"][i].as_py() for i in order] if size == SMALL_A else []
+        self.slots = [t["slots"][i].as_py() for i in order.tolist()] if anchors else []
         self.centre = np.array([self.x[a:b].mean(axis=0) for a, b in zip(self.starts, self.starts[1:])])
         self.radius = np.array([np.sqrt(((self.x[a:b] - c) ** 2).sum(axis=1).max()) for a, b, c in zip(self.starts, self.starts[1:], self.centre)])
         self.largest = np.abs(self.x).max(initial=0)
@@ -293,7 +293,7 @@ class Search:
             key, rows, anchors, chunk = None, [], [], None
 
             def results() -> Iterator[pa.RecordBatch]:
-                found = list(zip(*best(Rows(anchors, dim, SMALL_A), chunk, k, same))) or [()] * 5
+                found = list(zip(*best(Rows(anchors, dim, True), chunk, k, same))) or [()] * 5
                 anchors.clear()
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, kinds)], [c.split()[0] for c in FOUND.split(", ")])
@@ -308,7 +308,7 @@ class Search:
                         rows.append(some)
                         continue
                     if chunk is None:
-                        chunk, rows = Rows(rows, dim, SMALL_C), []
+                        chunk, rows = Rows(rows, dim, False), []
                     anchors.append(some)
                     if sum(map(len, anchors)) >= AT_ONCE:
                         yield from results()
