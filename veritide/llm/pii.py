@@ -43,8 +43,8 @@ PATTERNS = {
     "iban": re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"),
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     # Behind a cue: how a value is introduced, and the value.
-    "account": re.compile(r"(?i:[ \t]*(?:number|no\.?|nr\.?|num\.?|#)?)[ \t]*[:#=]?[ \t]*([0-9](?:[ -]?[0-9]){6,16})(?![0-9])"),
-    "secret": re.compile(r"[\"']?[ \t]*(?:=>|[:=])[ \t]*[\"']?([^\s\"',;<>]{6,})"),
+    "account": re.compile(r"[ \t]*+(?i:(?:number|no\.?|nr\.?|num\.?|#)[ \t]*+)?+(?:[:#=][ \t]*+)?+([0-9](?:[ -]?[0-9]){6,16})(?![0-9])"),
+    "secret": re.compile(r"[\"']?[ \t]*+(?:=>|[:=])[ \t]*+[\"']?([^\s\"',;<>]{6,}+)"),
 }
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 HOST = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789.-")
@@ -64,6 +64,8 @@ ANCHORS = {
     "://": (("url", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), None),),
 } | {cue: ((kind, frozenset(), None),) for kind, cues in CUES.items() for cue in cues}
 SPACE = re.compile(r"\s")
+#: As the pattern of the kind: a match can only begin where a number does, and takes whole numbers.
+ADDRESS = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 NUMBER = re.compile(r"[0-9][0-9 .-]*")
 MOD97 = {c: str(i) for i, c in enumerate("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ")}
 HOST_NAME = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -136,7 +138,7 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
     found: list[tuple[int, int, int]] = []
 
     def parse(kind: str, lo: int, hi: int) -> None:
-        for m in PATTERNS[kind].finditer(text, lo, hi):
+        for m in (ADDRESS if kind == "ip" else PATTERNS[kind]).finditer(text, lo, hi):
             if valid(kind, m[0]):
                 found.append((m.start(), KINDS.index(kind), m.end()))
 
@@ -238,9 +240,12 @@ def redacted(text: str | None) -> str | None:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data in ``text`` replaced; all columns and rows stay."""
     at = docs.columns.index("text")
+    # Names with dots and the like can't be looked up within mapInArrow, so columns go through it by number.
+    rows = docs.withColumn("text", F.col("text").cast("string"))
+    plain = rows.toDF(*(f"c{i}" for i in range(len(docs.columns))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.set_column(at, "text", pa.array([redacted(t.as_py()) for t in batch.column(at)], pa.string()))
+            yield batch.set_column(at, f"c{at}", pa.array([redacted(t.as_py()) for t in batch.column(at)], pa.string()))
 
-    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, docs.withColumn("text", F.col("text").cast("string")).schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
