@@ -4,15 +4,13 @@
    sequence long, and only the first piece of a cut document may be shorter.
 2. What is packed is the histogram of piece lengths. It has at most ``capacity``
    rows for any corpus, so the driver plans on it: pieces of one length are alike.
-   Bins that are filled alike form one group with a count. Best fit decreasing
-   makes the first plan; then the local search moves pieces or exchanges one for one
-   or two for one between underfull bins whenever the sum of squared fills grows,
-   for whole groups at once, until emptied bins bring the plan to the lower bound or
-   no such step is left anywhere. Where the bound isn't reached, the search also
-   starts from best fit in a seeded order, and the plan with fewer bins counts. No
-   number of steps or bins is capped. Where best fit alone reaches the bound, no
-   search could do better and there is nothing for it to do; ``Search.steps`` counts
-   what it did.
+   Bins that are filled alike form one group with a count. At first every piece has a bin
+   of its own; then the local search moves pieces or exchanges one for one or two for one
+   between underfull bins whenever the sum of squared fills grows, for whole groups at
+   once, until emptied bins bring the plan to the lower bound or no such step is left
+   anywhere. Where the bound isn't reached, the search also starts from best fit in two
+   orders, and the plan with fewest bins counts. No number of steps or bins is capped.
+   ``Search.steps`` counts what it did.
 3. Each piece has a rank among the pieces of its length (place in its task plus the
    counts of the tasks before), and the plan says for each range of ranks which
    sequence and offset they take. No task sees more than its own pieces.
@@ -25,6 +23,7 @@ whatever their names.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -39,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veritide.llm.bpe import Vocabulary
+from veritide.llm.bpe import Vocabulary, encoder
 from veritide.llm.scratch import written
 
 END_ID = 0
@@ -55,12 +54,15 @@ class _Packed(dict):
     """The ids of what stands between one space and the next, as little-endian bytes."""
 
     def __init__(self, path: str):
+        self.path = path
         v = Vocabulary(path)
         special = v.special
         ranks = {b: i for b, i in v.id_of.items()}
         self.encoding = tiktoken.Encoding("from_file", pat_str=PRETOKEN_PLAIN, mergeable_ranks=ranks, special_tokens=special)
 
     def whole(self, text: str) -> bytes:
+        if LONG_SPACE.search(text):  # the library's pattern gives up on these
+            return np.array(encoder(self.path).encode(text), "<u4").tobytes()
         return np.array(self.encoding.encode(text, allowed_special="all"), "<u4").tobytes()
 
     def __missing__(self, piece: str) -> bytes:
@@ -85,6 +87,7 @@ class _Packed(dict):
 
 # The Rust side knows \s as Unicode White_Space already.
 PRETOKEN_PLAIN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+LONG_SPACE = re.compile(r"(?<!\s)\s{10000}")
 _encoders: dict[str, _Packed] = {}
 
 
@@ -261,41 +264,45 @@ class Search:
         self.steps[f"{len(out)} for {len(back)}"] += times
         return True
 
-    def run(self) -> None:
-        """From the emptiest bins on, again and again, until the lower bound is reached or no bin has a step."""
+    def run(self, fullest_first: bool) -> None:
+        """Over all underfull bins by fill, again and again, until the lower bound is reached or no bin has a step."""
         least = -(-sum(fill(b) * k for b, k in self.bins.items()) // self.capacity)
         going = True
         while going and self.bins.total() > least:
             going = False
-            for a in sorted((b for b in self.bins if fill(b) < self.capacity), key=lambda b: (fill(b), b)):
-                if self.bins.get(a) and self.step(a):
+            for a in sorted((b for b in self.bins if fill(b) < self.capacity), key=lambda b: (fill(b), b), reverse=fullest_first):
+                while self.bins.get(a) and self.step(a):
                     going = True
                     if self.bins.total() <= least:
                         return
 
 
-def searched(histogram: dict[int, int], capacity: int) -> tuple[Search, int]:
-    """The finished search and the number of bins it began with."""
-    lengths = sorted(n for n, k in histogram.items() if k)
-    orders = [lengths[::-1], np.random.default_rng(20_240_505).permutation(lengths).tolist()]
-    least, best = -(-sum(n * k for n, k in histogram.items()) // capacity), None
-    for order in orders:
-        bins = best_fit(histogram, capacity, order)
+def searched(histogram: dict[int, int], capacity: int) -> Search:
+    """The finished search.
+
+    It begins with a bin for each piece. Where it ends above the lower bound, it also begins
+    with best fit, on lengths from long to short and in a seeded order; the fewest bins count.
+    """
+    histogram = {n: k for n, k in histogram.items() if k}
+    down = sorted(histogram, reverse=True)
+    seeded = np.random.default_rng(20_240_505).permutation(down[::-1]).tolist()
+    least, found = -(-sum(n * k for n, k in histogram.items()) // capacity), None
+    for order in (None, down, seeded):
+        bins = Counter({((n, 1),): k for n, k in histogram.items()}) if order is None else best_fit(histogram, capacity, order)
         search = Search(capacity, Counter({b: k for b, k in bins.items() if b and k}))
-        began = search.bins.total()
-        search.run()
-        if best is None or search.bins.total() < best[0].bins.total():
-            best = (search, began)
-        if best[0].bins.total() <= least:
+        search.run(fullest_first=order is None)
+        if found is None or search.bins.total() < found.bins.total():
+            found = search
+        if found.bins.total() <= least:
             break
-    return best
+    return found
 
 
-def plan(histogram: dict[int, int], capacity: int) -> np.ndarray:
+def plan(bins: Counter[Bin]) -> np.ndarray:
     """Rows (length, first rank, sequence of it, per sequence, offset), by length and rank."""
     rank: Counter[int] = Counter()
     rows, sequence = [], 0
-    for b, times in sorted(searched(histogram, capacity)[0].bins.items()):
+    for b, times in sorted(bins.items()):
         at = 0
         for length, each in b:
             rows.append((length, rank[length], sequence, each, at))
@@ -306,7 +313,7 @@ def plan(histogram: dict[int, int], capacity: int) -> np.ndarray:
 
 
 def pack(docs: DataFrame, path: str, capacity: int = 2048) -> DataFrame:
-    """Every piece with the sequence it is in and its offset there.
+    """Every piece with the sequence it is in and its offset there, and how many steps of each kind the search took.
 
     To the driver goes the histogram of lengths: at most ``capacity`` rows.
     """
@@ -317,7 +324,8 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048) -> DataFrame:
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    table = docs.sparkSession.sparkContext.broadcast(plan(histogram, capacity))
+    search = searched(histogram, capacity)
+    table = docs.sparkSession.sparkContext.broadcast(plan(search.bins))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,4 +339,5 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(own[:, 2] + nth // each), pa.array(own[:, 4] + nth % each * length)], [x.split()[0] for x in schema.split(", ")])
 
     ranked = cut.join(bases, ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("place")).alias("rank"))
-    return ranked.mapInArrow(place, schema)
+    steps = {"search_moves": ("1 for 0", "2 for 0"), "search_swaps": ("1 for 1",), "search_pair_swaps": ("2 for 1",)}
+    return ranked.mapInArrow(place, schema).withColumns({name: F.lit(sum(search.steps[x] for x in kinds)).cast("long") for name, kinds in steps.items()})
