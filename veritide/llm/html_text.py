@@ -9,7 +9,7 @@
 3. Each page is extracted again from all elements on its host's winning path. A page
    without such an element, or with no text there, falls back on its own best one.
 
-The scanner is one regular expression over tags; elements are closed as HTML closes
+The scanner is a regular expression over tags, whose quotes are paired once for a page; elements are closed as HTML closes
 them (paragraphs, list items and cells by their like, everything by its parent), so
 broken and cut pages are read to their end. Paths are numbered step by step and written
 out for a chosen container only, and open tags are known by their places on the stack,
@@ -42,7 +42,8 @@ from veritide.llm.scratch import written
 #: Winning paths may be broadcast up to this many hosts (about 20 MB); beyond, they are joined by a shuffle.
 HOSTS_BROADCAST = 200_000
 
-SCAN = re.compile(r"""<(?:!--(?:.*?-->|.*)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|[!?/][^>]*(?:>|\Z))""", re.S)
+TAG = re.compile(r"<(?:!--(?:.*?-->|.*)|(/?)([a-zA-Z][^\s/>]*+)|[!?/][^>]*(?:>|\Z))", re.S)  # a tag without its attributes
+EVENT = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -101,6 +102,32 @@ def attributes_of(raw: str) -> dict[str, str]:
     return {n.lower(): unescape(v.strip("\"'")) for n, v in ATTRIBUTE.findall(raw)} if raw.strip(" /\n\t") else {}
 
 
+def tag_end(html: str, at: int, quotes: dict[int, int]) -> int:
+    """Behind the ``>`` that ends a tag and stands in no quotes; behind the first one if a quote on the way has no partner.
+
+    ``quotes`` remembers what is found from each opening quote on (-1: no partner), so a
+    page's quotes are paired once and not once for each tag.
+    """
+    begin, passed, end = at, [], -1
+    while e := EVENT.search(html, at):
+        q = e.start()
+        if e[0] == ">":
+            end = q + 1
+            break
+        if q in quotes:
+            end = quotes[q]
+            break
+        passed.append(q)
+        if (at := html.find(e[0], q + 1) + 1) == 0:
+            break
+    else:
+        end = len(html)
+    quotes.update(dict.fromkeys(passed, end))
+    if end < 0:
+        end = html.find(">", begin) + 1 or len(html)
+    return end
+
+
 def step_of(tag: str, attributes: dict[str, str]) -> str:
     classes = sorted(re.sub(r"\d+", "0", c).replace(">", "") for c in attributes.get("class", "").lower().split())
     return ".".join((tag.replace(">", ""), *classes))
@@ -171,16 +198,18 @@ class Page:
         def last(tags: tuple[str, ...]) -> int:
             return max((own[-1] for t in tags if (own := places.get(t))), default=0)
 
-        while m := SCAN.search(html, pos):
+        quotes: dict[int, int] = {}
+        while m := TAG.search(html, pos):
             if m.start() > at:
                 add(html[at : m.start()])
             at = pos = m.end()
-            tag = (m[2] or m[5] or "").lower()
+            tag = (m[2] or "").lower()
             if not tag:
                 continue
-            if m.end() == len(html) and not m[0].endswith(">"):
+            at = pos = tag_end(html, m.end(), quotes)
+            if pos == len(html) and html[-1] != ">":
                 break
-            if m[1] or m[4]:
+            if m[1]:
                 if tag not in INLINE or block.tag == tag:
                     flush()
                 if tag == "br":
@@ -189,7 +218,7 @@ class Page:
                     cut(size)
                 block = stack[-1].outer
                 continue
-            attributes = attributes_of(m[3] or m[6] or "")
+            attributes = attributes_of(html[m.end() : pos - 1])
             if tag in VOID:
                 if tag == "br":
                     text.append(" ")
