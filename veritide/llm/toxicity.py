@@ -40,6 +40,7 @@ other columns are ignored, whatever their names; an empty table gives none.
 from __future__ import annotations
 
 import unicodedata
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -531,11 +532,17 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 SCORE_SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
+_models: dict[str, Model] = {}
+
+
 def scorer(spark, model: Model):
-    shared = spark.sparkContext.broadcast((model.numbers, model.weights, model.bias, model.curve, model.share))
+    shared, key = spark.sparkContext.broadcast((model.numbers, model.weights, model.bias, model.curve, model.share)), uuid.uuid4().hex
 
     def score(column: pa.Array) -> np.ndarray:
-        own = Model(*shared.value)
+        own = _models.get(key)
+        if own is None:  # built once for each worker and fit
+            _models.clear()
+            own = _models[key] = Model(*shared.value)
         out, texts, size = [], [], 0
         for t in column:
             text = t.as_py()
@@ -565,9 +572,10 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that aren't predicted toxic, with all their columns."""
     score, at = scorer(docs.sparkSession, model), docs.columns.index("text")
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names with dots can't be looked up within mapInArrow
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(score(batch.column(at)) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
