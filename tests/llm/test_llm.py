@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -85,7 +86,7 @@ def test_packing_plan():
     for _ in range(60):
         capacity = draw.choice([10, 50, 97])
         histogram = Counter(draw.randint(1, capacity) for _ in range(draw.randint(0, 300)))
-        plan = packing.plan(dict(histogram), capacity)
+        plan = packing.plan(packing.searched(dict(histogram), capacity).bins)
         bins: dict[int, list[tuple[int, int]]] = {}
         for length, n in histogram.items():
             for rank in range(n):
@@ -129,10 +130,10 @@ def test_local_search_against_the_optimum():
         capacity = draw.choice([10, 20, 31])
         items = sorted((draw.randint(2, capacity * 2 // 3) for _ in range(draw.randint(4, 12))), reverse=True)
         histogram = dict(Counter(items))
-        search, began = packing.searched(histogram, capacity)
+        search = packing.searched(histogram, capacity)
         least, plain = optimum(items, capacity), packing.best_fit(histogram, capacity, sorted(histogram, reverse=True)).total()
         assert sum((Counter({n: k * times for n, k in b}) for b, times in search.bins.items()), Counter()) == Counter(items)
-        assert search.bins.total() <= min(plain, began) and all(packing.fill(b) <= capacity for b in search.bins)
+        assert search.bins.total() <= plain and all(packing.fill(b) <= capacity for b in search.bins)
         missed += search.bins.total() > least
         if plain > least == search.bins.total():
             mended += 1
@@ -145,18 +146,34 @@ def test_local_search_on_many_copies():
     draw = random.Random(8)
     histogram = {draw.randint(1, 100): 1000 + draw.randint(0, 9) for _ in range(60)}
     plain = packing.best_fit(histogram, 101, sorted(histogram, reverse=True)).total()
-    search, _ = packing.searched(histogram, 101)
+    search = packing.searched(histogram, 101)
     assert search.bins.total() < plain and {"1 for 1", "2 for 1", "1 for 0"} <= set(search.steps)
 
 
 def test_steps_of_the_search():
     search = packing.Search(10, Counter({((3, 1),): 1, ((6, 1),): 1}))
-    search.run()
+    search.run(fullest_first=True)
     assert search.bins == {((6, 1), (3, 1)): 1} and search.steps == {"1 for 0": 1}
     search = packing.Search(10, Counter({((7, 1),): 1, ((6, 1), (2, 1)): 1}))
     assert not search.step(((7, 1),)) or search.bins.total() == 2
 
 
+@pytest.mark.parametrize("sf, sequences", [("sf0.01", 481), ("sf0.1", 4936)])
+def test_the_search_takes_all_kinds_of_steps(spark, path, sf, sequences):
+    """From a bin for each piece the search alone comes to the lower bound."""
+    from pyspark.sql import functions as F
+
+    rows = packing.pack(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"), path)
+    r = rows.agg(F.count_distinct("sequence_id").alias("n"), *(F.min(c).alias(c) for c in ("search_moves", "search_swaps", "search_pair_swaps"))).first()
+    assert r.n == sequences and r.search_moves > 0 and r.search_swaps > 0 and r.search_pair_swaps > 0
+
+
+def test_long_white_space_is_packed(path, library):
+    own = packing._Packed(path)
+    for text in (" \n" * 500_000, "word" + " \n" * 300_000 + "word two  three", " " * 300_000 + "x"):
+        assert np.frombuffer(own.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_ids_equal_the_library(path, library):
     import pyarrow.parquet as pq
 
@@ -497,8 +514,8 @@ def test_pii_extras(spark):
     assert [(k, more[a:b]) for k, a, b in pii.spans(more) if k not in pii.BASE_KINDS] == [
         ("iban", "DE89370400440532013000"), ("iban", "GB82 WEST 1234 5698 7654 32"), ("url", "HTTPS://X.org/a;"), ("account", "1234 5678 90"), ("secret", "hunter2x"), ("ssn", "123-45-6789"),
     ]
-    for text in ("password=" * 30_000, "iban " + "DE89 3704 0044 0532 0130 01 " * 8_000, "ssn " * 50_000, "account: " * 30_000):
-        pii.spans(text)
+    for long in ("password=" * 30_000, "iban " + "DE89 3704 0044 0532 0130 01 " * 8_000, "ssn " * 50_000, "account: " * 30_000):
+        pii.spans(long)
     assert pii.redacted(text) == "see [URL] and IBAN [IBAN], ssn: [SSN], [EMAIL]"
     for frame in (edge(spark), clashing(spark)):
         assert pii.scan(frame).count() == len(EDGE)
@@ -507,6 +524,39 @@ def test_pii_extras(spark):
     assert pii.scan(empty(spark)).count() == 0
 
 
+def under(seconds, work, *args):
+    began = time.perf_counter()
+    out = work(*args)
+    assert time.perf_counter() - began < seconds
+    return out
+
+
+def test_pii_is_linear_on_blanks_and_digits():
+    million = 1_000_000
+    assert under(2, pii.spans, "account" + " " * million + "x") == []
+    assert under(2, pii.spans, ("account" + " " * 1000 + "x") * 1000) == []
+    assert under(2, pii.spans, "password" + " " * million + "x") == []
+    assert under(3, pii.spans, "1" * million + " 1.2.3.x") == []
+    assert under(3, pii.spans, "1" * (million // 2) + "." + "2" * (million // 2) + ".2.") == []
+    assert under(3, pii.spans, "1.2.3 " * (million // 6)) == []
+    assert pii.spans("account" + " " * 5000 + "no. : 1234 5678 90") == [("account", 5013, 5025)]
+
+
+def test_columns_with_dots_in_their_names(spark):
+    docs = spark.createDataFrame([(1, "mail me@x.org", 3)], "doc_id long, text string, `a.b` int")
+    assert pii.redact(docs).collect() == [(1, "mail [EMAIL]", 3)]
+    assert pii.redact(docs).columns == docs.columns
+    model = toxicity.constant(0.1)
+    assert toxicity.keep_clean(docs, model).columns == docs.columns and toxicity.keep_clean(docs, model).count() == 1
+
+
+def test_html_is_linear_on_quotes():
+    million = 1_000_000
+    for page in ('<a ">"' * (million // 6) + '"', "<a x='\">\"" * (million // 9), '<a"' * (million // 3) + "'", "<p a='" * (million // 6) + '"'):
+        under(4, html_text.main_text, page, None)
+    assert html_text.main_text('<p title="a > b">one</p><p title="c>two</p><p>three</p>', None) == "one two three"
+
+
 # Quality
 
 

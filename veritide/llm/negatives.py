@@ -54,7 +54,7 @@ TOGETHER = 8192  # anchors that meet a chunk in one task, about
 AT_ONCE = 512
 SMALL_A, SMALL_C = 16, 128  # rows of the smallest nodes within a task
 NO_ID = (1 << 63) - 1
-FARTHEST = 1 << 62
+FARTHEST = NO_ID  # no bound: so large, or so small, may stand for any score beyond
 POINT = "rid long, vec_id long, label long, anchor boolean, code int, away double, data binary"
 FOUND = "arid long, slot int, vec_id long, score long, rid long"
 PLACED = ["code", "chunk", "part", "kind"]
@@ -143,13 +143,17 @@ def intervals(a: np.ndarray, ra: np.ndarray, b: np.ndarray, rb: np.ndarray, prod
     return product - reach, product + reach
 
 
+def bounds(low: int, high: int) -> tuple[float, float]:
+    return (-np.inf if low <= -FARTHEST else float(low)), (np.inf if high >= FARTHEST else float(high))
+
+
 def leaf_pairs(tree: Tree, anchors: dict[int, tuple[float, int, int]], rows: dict[int, float]) -> list[tuple[int, int]]:
     """Pairs of an anchor leaf (radius, least and largest score that is looked for) and another leaf that may hold such scores."""
     first, n = 2**tree.depth - 1, 2 ** (tree.depth + 1) - 1
     ra, rc = tree.balls({code: x[0] for code, x in anchors.items()}), tree.balls(rows)
-    low, high = np.full(n, float(FARTHEST)), np.full(n, -float(FARTHEST))
+    low, high = np.full(n, np.inf), np.full(n, -np.inf)
     for code, (_, least, most) in anchors.items():
-        low[first + code], high[first + code] = least, most
+        low[first + code], high[first + code] = bounds(least, most)
     for i in range(first - 1, -1, -1):
         low[i], high[i] = min(low[2 * i + 1], low[2 * i + 2]), max(high[2 * i + 1], high[2 * i + 2])
     i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
@@ -197,14 +201,13 @@ def products(a: np.ndarray, c: np.ndarray, exact: bool) -> np.ndarray:
     if exact:
         return (a @ c.T).astype(np.int64)
     whole = lambda x: np.vectorize(int, otypes=[object])(x)
-    return np.clip(whole(a) @ whole(c).T, -NO_ID - 1, NO_ID).astype(np.int64)
+    return np.clip(whole(a) @ whole(c).T, -FARTHEST, FARTHEST).astype(np.int64)
 
 
 def best(a: Rows, c: Rows, k: int, same: bool) -> Iterator[tuple[int, int, int | None, int, int]]:
     """For each anchor and slot the first rows of a chunk."""
     exact = max(1, a.x.shape[1]) * a.largest * c.largest < 1 << 53
-    low = np.array([min(s["low"] for s in own) for own in a.slots], float)
-    high = np.array([max(s["high"] for s in own) for own in a.slots], float)
+    low, high = np.array([bounds(min(s["low"] for s in own), max(s["high"] for s in own)) for own in a.slots]).T
     least, most = intervals(a.centre[:, None], a.radius[:, None], c.centre[None], c.radius[None], a.centre @ c.centre.T)
     need_low, need_high = np.minimum.reduceat(low, a.starts[:-1]), np.maximum.reduceat(high, a.starts[:-1])
     alive = (most >= need_low[:, None]) & (least <= need_high[:, None])
