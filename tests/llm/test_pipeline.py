@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from veritide.llm import pii, toxicity
-from veritide.llm.scratch import written
+from veritide.scratch import written
 
 DATA = "/root/testdata/sf0.001"
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritide.llm.scratch import written
+from veritide.scratch import written
 
 #: Winning paths may be broadcast up to this many hosts (about 20 MB); beyond, they are joined by a shuffle.
 HOSTS_BROADCAST = 200_000

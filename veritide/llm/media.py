@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritide.llm.scratch import new_path, written
+from veritide.scratch import new_path, written
 
 UNIT, HEADER, RATE = 192, 44, 8_000
 LEAST, MOST, ZERO_BITS = 1_024, 16_384, 12

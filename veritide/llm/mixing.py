@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritide.llm.quality import words
-from veritide.llm.scratch import counted, written
+from veritide.scratch import counted, written
 from veritide.llm.sharding import ranked
 
 WEIGHTS = (5, 2, 1)

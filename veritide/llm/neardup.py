@@ -51,7 +51,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veritide.llm.scratch import counted, written
+from veritide.scratch import counted, written
 
 SHINGLE, ROWS, BITS = 5, 4, 4
 #: The default threshold: shingles shared, in percent of the shingles of either.

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veritide.llm.scratch import written
+from veritide.scratch import written
 
 SAMPLE = 4096
 SAMPLE_VALUES = 1 << 20  # of the sample, whatever the vectors' length

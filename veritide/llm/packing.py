@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritide.llm.bpe import Vocabulary, encoder
-from veritide.llm.scratch import written
+from veritide.scratch import written
 
 END_ID = 0
 PIECES_KEPT, PIECE_LENGTH = 200_000, 48

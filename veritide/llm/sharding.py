@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veritide.llm.scratch import written
+from veritide.scratch import written
 
 ORDER = ["place", "doc_id", "size", "text_crc32", "rid"]
 

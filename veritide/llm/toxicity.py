@@ -54,7 +54,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritide.functions.patterns import any_of
-from veritide.llm.scratch import written
+from veritide.scratch import written
 
 LENGTH, SPAN, DECAY = 4, 7, 0.8
 LANDMARKS, ROUNDS, WORST = 200, 4, 3
