@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritide.functions.patterns import any_of, name_of, stem_of, suffix_of
+from veritide.operators.substrings import contained
+from veritide.scratch import written
 
 ITEM = "type string, severity string, line int, description string, code_snippet string, impact string, recommendation string"
 # Words that make an answer without JSON worth reading, and a line a finding.
@@ -42,17 +44,27 @@ def parsed(responses: DataFrame) -> DataFrame:
     return first.unionByName(second).withColumn("issues", F.array("description"))
 
 
-def caller_edges(files: DataFrame, most: int = 5, searched: int = 100, size: int = 500 * 1024, read: int = 10_240) -> DataFrame:
-    """(path, caller, pattern): files whose first characters name another's stem or name.
+def caller_edges(files: DataFrame, most: int = 5, searched: int = 100, size: int = 500 * 1024, read: int | None = 10_240, mode: str = "first") -> DataFrame:
+    """(path, caller, pattern): files whose first characters name another's stem or name; five for a pattern, by path.
 
-    As a feature, only the first hundred files by path that can call are searched and five
-    kept for a pattern; so one side of the comparison has a hundred rows, whatever the
-    number of files.
+    ``mode="first"``: only the first hundred files by path that can call are searched, as a
+    feature; so one side of the comparison has a hundred rows, whatever the number of files.
+    ``mode="all"``: all of them are, by an index of grams; ``read=None`` reads them whole.
     """
-    callers = files.filter(suffix_of(name_of(F.col("path"))).isin(SEARCHED) & (F.col("size") <= size)).orderBy("path").limit(searched)
-    callers = F.broadcast(callers.select(F.col("path").alias("caller"), F.substring("content", 1, read).alias("head")))
+    callers = files.filter(suffix_of(name_of(F.col("path"))).isin(SEARCHED) & (F.col("size") <= size))
+    head = F.col("content") if read is None else F.substring("content", 1, read)
     name = name_of(F.col("path"))
     patterns = files.select("path", F.posexplode(F.array_distinct(F.array(stem_of(name), name))).alias("rank", "pattern"))
+    if mode == "all":
+        named = contained(callers.select(F.col("path").alias("id"), head.alias("text")), patterns.select(F.col("pattern").alias("string")))
+        # One more than are kept, as a file isn't its own caller. Many files may share a name.
+        nth = F.row_number().over(Window.partitionBy("string").orderBy("id"))
+        first = written(named.withColumn("n", nth).filter(F.col("n") <= most + 1).select(F.col("string").alias("pattern"), F.col("id").alias("caller")), "callers")
+        lists = first.groupBy("pattern").agg(F.sort_array(F.collect_list("caller")).alias("callers"))
+        rows = patterns.join(lists, "pattern")
+        others = F.slice(F.filter("callers", lambda c: c != F.col("path")), 1, most)
+        return rows.select("path", "pattern", "rank", F.posexplode(others).alias("at", "caller")).select("path", "caller", "pattern", "rank", (F.col("at") + 1).alias("n"))
+    callers = F.broadcast(callers.orderBy("path").limit(searched).select(F.col("path").alias("caller"), head.alias("head")))
     hits = patterns.join(callers, F.col("head").contains(F.col("pattern"))).filter("caller <> path")
     nth = F.row_number().over(Window.partitionBy("path", "pattern").orderBy("caller"))
     return hits.withColumn("n", nth).filter(F.col("n") <= most).select("path", "caller", "pattern", "rank", "n")
@@ -131,14 +143,3 @@ def recommendation(before: Column, after: Column) -> Column:
 
 def analysis_key(path: Column, kind: Column, line: Column) -> Column:
     return F.md5(F.concat_ws(":", path, kind, line.cast("string")).cast("binary"))
-
-
-def reachable(edges: DataFrame, starts: DataFrame, hops: int = 3) -> DataFrame:
-    """(start, node, depth) within some hops, no node twice on a path; each found at its least depth."""
-    level = starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth"), F.array("node").alias("seen"))
-    out = level
-    for k in range(1, hops + 1):
-        step = level.join(edges.select(F.col("a").alias("node"), "b"), "node").filter(~F.array_contains("seen", F.col("b")))
-        level = step.select("start", F.col("b").alias("node"), F.lit(k).alias("depth"), F.concat("seen", F.array("b")).alias("seen"))
-        out = out.unionByName(level)
-    return out.groupBy("start", "node").agg(F.min("depth").alias("depth"))

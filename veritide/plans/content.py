@@ -234,6 +234,18 @@ def caller_edges(t: Tables) -> DataFrame:
     return found.caller_edges(docs.unionByName(names)).filter(F.col("path").startswith("b/")).select("path", "caller", "pattern")
 
 
+# Every document is searched whole for every document's first word, as stem and as file name.
+@query("""
+WITH c AS (SELECT 'a/f' || lpad(doc_id::VARCHAR, 7, '0') || '.py' AS caller, text FROM documents WHERE n_chars <= 512000),
+p AS (SELECT 'b/' || word || '.txt' AS path, unnest([word, word || '.txt']) AS pattern FROM (SELECT DISTINCT split_part(trim(text), ' ', 1) AS word FROM documents) WHERE regexp_full_match(word, '[A-Za-z]+')),
+h AS (SELECT path, caller, pattern, row_number() OVER (PARTITION BY path, pattern ORDER BY caller) AS n FROM p JOIN c ON contains(text, pattern)) SELECT path, caller, pattern FROM h WHERE n <= 5""")
+def caller_edges_all(t: Tables) -> DataFrame:
+    docs = t.documents.select(F.concat(F.lit("a/f"), F.lpad(F.col("doc_id").cast("string"), 7, "0"), F.lit(".py")).alias("path"), F.col("text").alias("content"), F.col("n_chars").alias("size"))
+    word = F.element_at(F.split(F.trim("text"), " "), 1)
+    names = t.documents.select(word.alias("word")).distinct().filter(F.col("word").rlike("^[A-Za-z]+$")).select(F.concat(F.lit("b/"), "word", F.lit(".txt")).alias("path"), F.lit("").alias("content"), F.lit(1).cast("long").alias("size"))
+    return found.caller_edges(docs.unionByName(names), mode="all", read=None).filter(F.col("path").startswith("b/")).select("path", "caller", "pattern")
+
+
 @query("SELECT doc_id, (length(text) // 4)::BIGINT AS tokens, length(CASE WHEN length(text) > 2000 THEN substr(text, 1, 2000) || chr(10) || '... (truncated)' ELSE text END)::INT AS shown FROM documents")
 def token_estimate(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", detection.token_estimate(F.col("text")).alias("tokens"), F.char_length(detection.truncated(F.col("text"))).alias("shown"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritide.operators import findings as found
+from veritide.operators import graphs
 from veritide.plans.registry import Tables, query
 from veritide.streaming import machines, operators
 
@@ -103,4 +103,19 @@ SELECT start, node, min(depth)::INT AS depth FROM r GROUP BY 1, 2""")
 def reachable_files(t: Tables) -> DataFrame:
     n = F.col("n_nationkey")
     edges = t.nation.select(n.alias("a"), ((n * 3 + 1) % 25).alias("b")).union(t.nation.select(n, ((n + 5) % 25))).distinct()
-    return found.reachable(edges, t.nation.select(n.alias("node")), 3)
+    return graphs.reachable(edges, t.nation.select(n.alias("node")), 3)
+
+
+# Each document leads to two or three later ones, and a few lead back; any number of hops.
+@query("""
+WITH RECURSIVE d AS (SELECT doc_id AS i, count(*) OVER () AS n FROM documents),
+e AS (SELECT i AS a, 2 * i + 1 AS b FROM d WHERE 2 * i + 1 < n UNION SELECT i, 2 * i + 2 FROM d WHERE 2 * i + 2 < n UNION SELECT i, 3 * i + 1 FROM d WHERE 3 * i + 1 < n UNION SELECT i, i - 1 FROM d WHERE i % 64 = 63),
+r AS (SELECT i AS start, i AS node, 0 AS depth FROM d UNION SELECT start, b, depth + 1 FROM r JOIN e ON e.a = r.node WHERE depth < 40)
+SELECT start, node, min(depth)::INT AS depth FROM r GROUP BY 1, 2""")
+def reachable_any_depth(t: Tables) -> DataFrame:
+    docs = t.documents.select(F.col("doc_id").alias("a"))
+    n = t.documents.select(F.count("*").alias("n"))
+    a = F.col("a")
+    ahead = docs.crossJoin(F.broadcast(n)).select("a", F.explode(F.array(2 * a + 1, 2 * a + 2, 3 * a + 1)).alias("b"), "n").filter("b < n").select("a", "b")
+    back = docs.filter(a % 64 == 63).select("a", a - 1)
+    return graphs.reachable(ahead.union(back), docs.select(a.alias("node")))
