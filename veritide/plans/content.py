@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from veritide.functions import confidence, detection, false_positives, frontend, languages
 from veritide.operators import findings as found
 from veritide.plans.registry import Tables, query
+from veritide.scratch import new_path
 from veritide.sources import files as sources
 from veritide.sources import tables
+from veritide.sources.cache import ResponseCache
 
 PATH = "regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1)"
 FINDINGS = """
@@ -42,6 +44,21 @@ def cache_lookup_miss(t: Tables) -> DataFrame:
     return misses.groupBy("key").agg(F.count("*").alias("n"))
 
 
+# Three batches, the second one twice; then what has expired goes.
+@query("""
+WITH e AS (SELECT md5(text) AS key, lang || ' ' || doc_id AS response, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 HOUR * (doc_id % 48) AS cached_at, doc_id % 3 AS batch FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY cached_at DESC, batch DESC, response DESC) AS r FROM e)
+SELECT key, response, strftime(cached_at, '%Y-%m-%d %H:%M:%S') AS cached_at FROM n WHERE r = 1 AND cached_at + INTERVAL 24 HOURS >= TIMESTAMP '2024-01-02 12:00:00'""")
+def cache_after_batches(t: Tables) -> DataFrame:
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_interval(hours=(F.col("doc_id") % 48).cast("int"))
+    entries = t.documents.select((F.col("doc_id") % 3).alias("batch"), F.md5(F.col("text").cast("binary")).alias("key"), F.concat("lang", F.lit(" "), F.col("doc_id").cast("string")).alias("response"), at.alias("cached_at"))
+    cache = ResponseCache(t.spark, new_path(t.spark, "cache"))
+    for batch in (0, 1, 1, 2):
+        cache.put(entries.filter(F.col("batch") == batch), batch)
+    cache.expire("2024-01-02 12:00:00")
+    return cache.read().withColumn("cached_at", F.date_format("cached_at", "yyyy-MM-dd HH:mm:ss"))
+
+
 @query(f"SELECT page_id, lower(regexp_extract(regexp_extract({PATH}, '[^/]*$'), '^.+([.][^.]+)$', 1)) AS ext FROM pages WHERE lower(regexp_extract(regexp_extract({PATH}, '[^/]*$'), '^.+([.][^.]+)$', 1)) <> '.html'")
 def file_ext_filter(t: Tables) -> DataFrame:
     rows = sources.described(t.pages_with_path())

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from veritide.operators import dashboards, records, usage
 from veritide.plans.registry import Tables, query
+from veritide.scratch import new_path
+from veritide.sources.buckets import Buckets, cascade
 
 START, END = "1997-01-01 00:00:00", "1997-06-30 23:59:59"
 DAY = "2024-01-15"
@@ -192,6 +194,22 @@ def cascade_delete(t: Tables) -> DataFrame:
     return records.cascade(gone, "id", {"lines": (t.lineitem, "l_orderkey")})["lines"].select("l_orderkey", "l_linenumber")
 
 
+# Customers in debt go, with their orders and those orders' lines: keys are written, and reading leaves the rows out.
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal < 0)")
+def cascade_tombstones(t: Tables) -> DataFrame:
+    def table(rows: DataFrame, name: str, key: str) -> Buckets:
+        own = Buckets(t.spark, new_path(t.spark, name), rows.schema, key)
+        own.put(rows, 0)
+        return own
+
+    customers = table(t.customer.select("c_custkey", "c_acctbal"), "tomb-customer", "c_custkey")
+    orders = table(t.orders.select("o_orderkey", "o_custkey"), "tomb-orders", "o_custkey")
+    lines = table(t.lineitem.select("l_orderkey", "l_linenumber"), "tomb-lineitem", "l_orderkey")
+    cascade(customers.read().filter("c_acctbal < 0").select("c_custkey"), [(customers, "c_custkey"), (orders, "o_orderkey"), (lines, "l_orderkey")], 1)
+    lines.rewrite()
+    return lines.read()
+
+
 @query("SELECT user_id, event_type AS provider FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) AS k FROM events GROUP BY 1, 2) WHERE k = 1")
 def topk_provider_per_user(t: Tables) -> DataFrame:
     return usage.top_per_key(t.logs(), "user_id", "action", "provider")
