@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritide.functions.patterns import any_of, name_of, suffix_of
+from veritide.functions.prefilter import bitmap, has
 
 # Families of patterns with their severities.
 FAMILIES = {
@@ -38,20 +39,22 @@ def line_of_inclusive(code: Column, offset: Column) -> Column:
     return F.least(F.size(F.filter(cumulative, lambda e: e < offset)) + 1, F.size(ends))
 
 
-def pattern_confidence(n_patterns: int, length: Column, severity: str) -> Column:
-    return F.least(F.lit(1.0), F.lit(0.7 + 0.1 * (n_patterns > 3) + 0.1 * (severity == "critical")) + F.when(length > 20, 0.1).otherwise(0.0))
-
-
 def findings(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
     """A row for each match of each pattern, with its line, as code is read line by line."""
+    rules = [(family, severity, len(patterns), p) for family, (severity, patterns) in FAMILIES.items() for p in patterns]
     lines = files.select(key, F.posexplode(F.split(F.coalesce(content, F.lit("")), "\n")).alias("at", "text"))
-
-    def case(family: str, severity: str, n: int, pattern: str) -> Column:
-        found = F.regexp_extract_all("text", F.lit(f"(?i){pattern}"), F.lit(0))
-        return F.transform(found, lambda m: F.struct(F.lit(family).alias("type"), F.lit(severity).alias("severity"), m.alias("code"), pattern_confidence(n, F.char_length(m), severity).alias("confidence")))
-
-    cases = [case(family, severity, len(patterns), p) for family, (severity, patterns) in FAMILIES.items() for p in patterns]
-    return lines.select(key, (F.col("at") + 1).alias("line"), F.explode(F.concat(*cases)).alias("f")).select(key, "line", "f.*")
+    lines = lines.withColumn("low", F.lower("text")).withColumn("bits", bitmap(F.col("low"), [p for *_, p in rules])).filter("bits <> 0")
+
+    def case(i: int, pattern: str) -> Column:
+        return F.when(has(F.col("bits"), i), F.regexp_extract_all("text", F.lit(f"(?i){pattern}"), F.lit(0))).otherwise(F.array().cast("array<string>"))
+
+    found = lines.select(key, "at", F.posexplode(F.array(*(case(i, r[3]) for i, r in enumerate(rules)))).alias("rule", "codes"))
+    flat = found.filter(F.size("codes") > 0).select(key, (F.col("at") + 1).alias("line"), "rule", F.explode("codes").alias("code"))
+    # What a rule says is constant, so it is looked up by number.
+    of_rule = F.array(*(F.struct(F.lit(family).alias("type"), F.lit(severity).alias("severity"), F.lit(0.7 + 0.1 * (n > 3) + 0.1 * (severity == "critical")).alias("base")) for family, severity, n, _ in rules))
+    r = F.get(of_rule, F.col("rule"))
+    confidence = F.least(F.lit(1.0), r["base"] + F.when(F.char_length("code") > 20, 0.1).otherwise(0.0))
+    return flat.select(key, "line", r["type"].alias("type"), r["severity"].alias("severity"), "code", confidence.alias("confidence"))
 
 
 def business_logic(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:

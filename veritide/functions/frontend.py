@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritide.functions.patterns import any_of
+from veritide.functions.prefilter import bitmap, has
 
 # Signs of static and of dynamic pages. They are looked for in lower-case text, so those with capitals never match.
 STATIC = ["<!DOCTYPE html>", "<html>", "<head>", "<title>", "<meta", "<link", "<style>", "text-align:", "font-size:", "color:", "background:"]
@@ -49,22 +50,29 @@ def is_static(content: Column) -> Column:
     return (dynamic == 0) | ((static > 0) & (static / (static + dynamic) > 0.8) & (dynamic < 3)) | ((F.char_length(content) > 5000) & (dynamic < 5))
 
 
-ANY_HOT_SPOT = "(?i)" + "|".join(f"(?:{p})" for some in HOT_SPOTS.values() for p in some)
+RULES = [(t, p) for t, some in HOT_SPOTS.items() for p in some]
+
+
+def hits(line: Column, bits: Column) -> Column:
+    """How often each pattern matches in a line that has its bit."""
+    return F.array(*(F.when(has(bits, i), F.regexp_count(line, F.lit(f"(?i){p}"))).otherwise(0) for i, (_, p) in enumerate(RULES)))
 
 
 def n_hot_spots(content: Column) -> Column:
-    """Matches of all patterns; none of them spans lines, and lines without any match are passed over at once."""
-    lines = F.filter(F.split(content, "\n"), lambda x: x.rlike(ANY_HOT_SPOT))
-    each = lambda x: sum((F.regexp_count(x, F.lit(f"(?i){p}")) for some in HOT_SPOTS.values() for p in some), F.lit(0))
-    return F.aggregate(lines, F.lit(0), lambda n, x: n + each(x))
+    """Matches of all patterns; none of them spans lines."""
+    marked = lambda line: F.transform(F.array(F.lower(line)), lambda low: F.struct(line.alias("line"), bitmap(low, [p for _, p in RULES]).alias("bits")))
+    lines = F.filter(F.flatten(F.transform(F.split(content, "\n"), marked)), lambda x: x["bits"] != 0)
+    return F.aggregate(lines, F.lit(0), lambda n, x: n + F.aggregate(hits(x["line"], x["bits"]), F.lit(0), lambda a, k: a + k))
 
 
 def hot_spots(pages: DataFrame, key: str, content: str = "content") -> DataFrame:
     """A row for each match: type, severity, line number, snippet and pattern."""
-    lines = pages.select(key, F.posexplode(F.split(content, "\n")).alias("at", "line")).filter(F.col("line").rlike(ANY_HOT_SPOT))
-    rules = F.array(*(F.struct(F.lit(t).alias("type"), F.lit(SEVERITY[t]).alias("severity"), F.lit(p).alias("pattern"), F.regexp_count("line", F.lit(f"(?i){p}")).alias("n")) for t, some in HOT_SPOTS.items() for p in some))
-    hits = lines.select(key, (F.col("at") + 1).alias("line_number"), F.trim("line").alias("code_snippet"), F.explode(F.filter(rules, lambda r: r["n"] > 0)).alias("r"))
-    return hits.select(key, "line_number", "code_snippet", "r.type", "r.severity", "r.pattern", F.explode(F.sequence(F.lit(1), F.col("r.n"))).alias("nth"))
+    lines = pages.select(key, F.posexplode(F.split(content, "\n")).alias("at", "line"))
+    lines = lines.withColumn("low", F.lower("line")).withColumn("bits", bitmap(F.col("low"), [p for _, p in RULES])).filter("bits <> 0")
+    found = lines.select(key, "at", "line", F.posexplode(hits(F.col("line"), F.col("bits"))).alias("rule", "n")).filter("n > 0")
+    of_rule = F.array(*(F.struct(F.lit(t).alias("type"), F.lit(SEVERITY[t]).alias("severity"), F.lit(p).alias("pattern")) for t, p in RULES))
+    r = F.get(of_rule, F.col("rule"))
+    return found.select(key, (F.col("at") + 1).alias("line_number"), F.trim("line").alias("code_snippet"), r["type"].alias("type"), r["severity"].alias("severity"), r["pattern"].alias("pattern"), F.explode(F.sequence(F.lit(1), F.col("n"))).alias("nth"))
 
 
 def form_inputs(content: Column) -> Column:

@@ -23,25 +23,47 @@ RESOLVED = ["", ".php", ".html", ".js", ".py"]
 DEFAULTS = {"type": "security_issue", "severity": "medium", "description": "", "code_snippet": "", "impact": "", "recommendation": ""}
 
 
+STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+OBJECT = r"\{[^{}]*+\}"
+for _depth in range(4):  # objects in objects, so many levels deep; braces within strings don't count
+    OBJECT = r"\{(?:[^{}\"]++|" + STRING + ("|" + OBJECT if _depth else "") + r")*+\}"
+LIST = r'"findings"\s*:\s*\['
+
+
+def complete_objects(part: Column) -> Column:
+    """The objects at the beginning of a list, up to its end or to one that is cut."""
+    tokens = lambda t: F.when(F.exists(t, ends), F.slice(t, 1, F.array_position(F.transform(t, ends), True).cast("int") - 1)).otherwise(t)
+    ends = lambda x: x.isin("{", "]")
+    return F.flatten(F.transform(F.array(F.regexp_extract_all(part, F.lit(f"(?s){OBJECT}|[{{\\]]"), F.lit(0))), tokens))
+
+
 def parsed(responses: DataFrame) -> DataFrame:
     """Findings of each answer (file, language, response).
 
-    A fenced JSON object with a list of findings comes first, with defaults for what is
-    missing; an answer without one that speaks of problems gives a finding for each line
+    Behind the first JSON fence every list of findings counts, in one block or several, with
+    text around it or cut anywhere: each complete object that is JSON gives a finding, whatever
+    else is broken. A field that is missing or of another type than it should be has its
+    default. An answer without such a list that speaks of problems gives a finding for each line
     that names a kind of problem.
     """
     text = F.coalesce("response", F.lit(""))
-    fenced = F.nullif(F.regexp_extract(text, r"(?s)```json\s*(\{.*\})\s*```", 1), F.lit(""))
-    rows = responses.select("file", "language", text.alias("text"), F.get_json_object(fenced, "$.findings").alias("list"))
-    item = F.from_json("list", f"array<struct<{', '.join(x.replace(' ', ':') for x in ITEM.split(', ')) }>>")
-    listed = rows.filter("list is not null").select("file", "language", F.posexplode(item).alias("seq", "f"))
-    values = [F.coalesce(F.col(f"f.{n}"), F.lit(DEFAULTS.get(n, 0))).alias(n) for n in (x.split()[0] for x in ITEM.split(", "))]
-    first = listed.select("file", "language", "seq", *values)
+    rows = responses.select("file", "language", text.alias("text"), F.split(F.coalesce(F.get(F.split(text, "```json", 2), F.lit(1)), F.lit("")), LIST).alias("parts"))
+    lists = F.slice("parts", F.lit(2), F.size("parts"))
+    names = [x.split() for x in ITEM.split(", ")]
+
+    def listed(v: Column, at: Column) -> Column:
+        return F.struct(at.cast("int").alias("seq"), *(F.coalesce(F.try_variant_get(v, f"$.{n}", t), F.lit(DEFAULTS.get(n, 0))).alias(n) for n, t in names))
+
+    def named(line: Column, at: Column) -> Column:
+        own = {"type": F.lit("security_issue"), "severity": F.lit("medium"), "line": F.lit(0), "description": F.trim(line)}
+        return F.struct(at.cast("int").alias("seq"), *(own.get(n, F.lit("")).alias(n) for n, _ in names))
+
+    objects = F.filter(F.transform(F.flatten(F.transform(lists, complete_objects)), F.try_parse_json), lambda v: v.isNotNull())
     speaks = any_of([F.col("text").contains(w) for w in ANSWER_WORDS]) | F.lower("text").contains("vulnerability")
-    lines = rows.filter(F.col("list").isNull() & speaks).select("file", "language", F.posexplode(F.split("text", "\n")).alias("seq", "raw")).withColumn("raw", F.trim("raw"))
-    named = lines.filter(any_of([F.col("raw").contains(w) for w in LINE_WORDS]))
-    second = named.select("file", "language", "seq", F.lit("security_issue").alias("type"), F.lit("medium").alias("severity"), F.lit(0).alias("line"), F.col("raw").alias("description"), *(F.lit("").alias(c) for c in ("code_snippet", "impact", "recommendation")))
-    return first.unionByName(second).withColumn("issues", F.array("description"))
+    lines = F.filter(F.transform(F.split("text", "\n"), named), lambda x: any_of([x["description"].contains(w) for w in LINE_WORDS]))
+    items = F.when(F.size(lists) > 0, F.transform(objects, listed)).when(speaks, lines)
+    flat = rows.select("file", "language", F.explode(items).alias("f")).select("file", "language", "f.*")
+    return flat.withColumn("issues", F.array("description"))
 
 
 def caller_edges(files: DataFrame, most: int = 5, searched: int = 100, size: int = 500 * 1024, read: int | None = 10_240, mode: str = "first") -> DataFrame:
