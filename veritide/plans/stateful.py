@@ -90,12 +90,6 @@ def session_usage(t: Tables) -> DataFrame:
     return operators.sessions(requests(t), gap="6 hours").select("key", "n", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"))
 
 
-@query()
-def queue_runs(t: Tables) -> DataFrame:
-    rows = t.events.filter("event_type = 'purchase'").select((F.col("user_id") % 16).cast("string").alias("queue"), F.col("event_id").alias("id"), (F.col("user_id") % 3).cast("int").alias("priority"), (F.unix_seconds(F.col("ts").cast("timestamp")) - 1704067200).cast("double").alias("created"), (F.col("value") + 60).alias("length"))
-    return operators.queue_runs(rows)
-
-
 @query("""
 WITH RECURSIVE e AS (SELECT n_nationkey AS a, (n_nationkey * 3 + 1) % 25 AS b FROM nation UNION SELECT n_nationkey, (n_nationkey + 5) % 25 FROM nation),
 r AS (SELECT n_nationkey AS start, n_nationkey AS node, 0 AS depth, [n_nationkey] AS seen FROM nation UNION ALL SELECT start, b, depth + 1, list_append(seen, b) FROM r JOIN e ON e.a = r.node WHERE depth < 3 AND NOT list_contains(seen, b))

@@ -12,12 +12,17 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Machine:
-    """``state``: its fields as a schema; ``result``: what each event adds; ``step`` makes both."""
+    """``state``: its fields as a schema; ``result``: what each event adds; ``step`` makes both.
+
+    ``due`` says when a state changes without an event, and ``tick`` how.
+    """
 
     state: str
     result: str
     start: Callable[[float], tuple]
     step: Callable[[tuple, float, dict], tuple[tuple, tuple]]
+    due: Callable[[tuple], float | None] = lambda state: None
+    tick: Callable[[tuple], tuple[tuple, tuple]] | None = None
 
 
 def token_bucket(capacity: float, rate: float) -> Machine:
@@ -71,7 +76,13 @@ def circuit_breaker(failures: int = 5, recovery: float = 60.0, successes: int =
                 name = "open"
         return (name, failed, good, last), (name, True)
 
-    return Machine("name string, failed int, good int, last double", "breaker string, executed boolean", lambda now: ("closed", 0, 0, 0.0), step)
+    def due(state: tuple) -> float | None:
+        return state[3] + recovery if state[0] == "open" else None
+
+    def tick(state: tuple) -> tuple[tuple, tuple]:
+        return ("half_open", state[1], 0, state[3]), ("half_open", False)
+
+    return Machine("name string, failed int, good int, last double", "breaker string, executed boolean", lambda now: ("closed", 0, 0, 0.0), step, due, tick)
 
 
 def adaptive_concurrency(initial: int = 15, least: int = 5, most: int = 25, interval: float = 30.0, sample: int = 10) -> Machine:
