@@ -16,6 +16,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+#: Rows of a batch that goes to Python, and Spark's own default: whole texts are long, and a batch is held several times over.
+ROWS, ROWS_BY_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+ROWS_AT_ONCE = "2000"
 
 
 def session(name: str = "veritide", **more: str) -> SparkSession:
@@ -30,8 +33,13 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each application, so that their Python workers can import it."""
+    """Send this package to the executors, once for each application, so that their Python workers can import it.
+
+    A session that leaves the size of Arrow batches at Spark's default gets smaller ones.
+    """
     context = spark.sparkContext
+    if spark.conf.get(ROWS) == ROWS_BY_DEFAULT:
+        spark.conf.set(ROWS, ROWS_AT_ONCE)
     if context.applicationId in _shipped:
         return
     package = Path(__file__).resolve().parent
