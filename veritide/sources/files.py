@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veritide.functions.languages import EXTENSIONS, by_extension
 from veritide.functions.patterns import any_of, ignored_by_globs, matches_globs, name_of, suffix_of
+from veritide.sources import trees
 
 # What scans leave out, and names of source files without an extension.
 IGNORED = [".git", ".svn", ".hg", "__pycache__", "node_modules", "target", "build", "dist", ".pytest_cache", ".mypy_cache", ".coverage", "*.pyc", "*.pyo", "*.pyd", "*.so", "*.dll", "*.dylib", "*.log", "*.tmp", "*.temp"]
@@ -53,9 +54,9 @@ def text_of(content: Column) -> Column:
 def scan(spark: SparkSession, root: str, project_id: str = "", by: Filtering | None = None, ignored: list[str] | None = None) -> DataFrame:
     """All files below a folder that any file system Spark reads may hold, with hashes and text.
 
-    With a filtering, paths and sizes are listed first and put through the scan's gates, and
-    only files that pass are read. The list of their paths is on the driver, as the
-    listing itself is in any case.
+    With a filtering, executors list paths and sizes, put them through the scan's gates and
+    open only files that pass; no list of files crosses the driver. File systems that
+    only Spark reads are listed by Spark, whose list of what passes the driver does hold.
     """
     read = spark.read.format("binaryFile")
     base = "/" + root.split(":", 1)[-1].strip("/")
@@ -65,12 +66,19 @@ def scan(spark: SparkSession, root: str, project_id: str = "", by: Filtering | N
         rows = raw.withColumnsRenamed({"path": "uri", "length": "size", "modificationTime": "last_modified"})
         return rows.withColumns({"project_id": F.lit(project_id), "absolute_path": absolute, "path": F.substring(absolute, len(base) + 2, 1_000_000)})
 
-    raw = read.option("recursiveFileLookup", "true").load(root)
-    if by is not None:
-        listed = scanned(described(named(raw.select("path", "length", "modificationTime"))), by, ignored)
-        paths = [r["uri"] for r in listed.select("uri").collect()]
-        raw = spark.read.format("binaryFile").load(paths) if paths else raw.limit(0)
-    rows = named(raw).select("project_id", "path", "absolute_path", "size", content_hash(F.col("content")).alias("hash"), "last_modified", text_of(F.col("content")).alias("content"))
+    if by is not None and (root.split(":", 1)[0] if ":" in root else "") in trees.SCHEMES:
+        trees.register(spark)
+        listed = spark.read.format("source_tree").options(content="false", ignored="").load(root)
+        listed = listed.withColumns({"project_id": F.lit(project_id), "absolute_path": F.concat(F.lit(f"{base}/"), "path")}).select("project_id", "path", "absolute_path", "size", "last_modified")
+        found = trees.with_bytes(scanned(described(listed), by, ignored), root).withColumnRenamed("data", "content")
+    else:
+        raw = read.option("recursiveFileLookup", "true").load(root)
+        if by is not None:
+            listed = scanned(described(named(raw.select("path", "length", "modificationTime"))), by, ignored)
+            paths = [r["uri"] for r in listed.select("uri").collect()]
+            raw = spark.read.format("binaryFile").load(paths) if paths else raw.limit(0)
+        found = named(raw)
+    rows = found.select("project_id", "path", "absolute_path", "size", content_hash(F.col("content")).alias("hash"), "last_modified", text_of(F.col("content")).alias("content"))
     none = F.array().cast("array<string>")
     return described(rows).withColumns({"functions": none, "classes": none, "imports": none})
 
