@@ -357,11 +357,6 @@ def simple_false_positives(t: Tables) -> DataFrame:
     return rows.select("doc_id", false_positives.simply_false(F.col("type"), F.col("code"), F.col("file"), F.col("confidence")).alias("simply_false"))
 
 
-@query(f"SELECT scope, language, count(*) AS n FROM (VALUES {', '.join(f'({chr(39)}project{chr(39)}, {chr(39)}any{chr(39)})' for _ in false_positives.PROJECT_RULES)}, {', '.join(f'({chr(39)}universal{chr(39)}, {chr(39)}{x}{chr(39)})' for r in false_positives.UNIVERSAL_RULES for x in (r.languages or ('any',)))}) AS r(scope, language) GROUP BY ALL")
-def rule_inventory(t: Tables) -> DataFrame:
-    return false_positives.rule_counts(t.spark)
-
-
 # Templates and standards
 
 KINDS = list(analysis.WEAKNESSES) + ["error_handling", "other"]

@@ -315,10 +315,3 @@ def task_duration(t: Tables) -> DataFrame:
 @query("SELECT n_nationkey AS id, (n_nationkey - 3) % 25 + CASE WHEN n_nationkey < 3 THEN 25 ELSE 0 END AS turn FROM nation")
 def round_robin(t: Tables) -> DataFrame:
     return records.rotation(t.nation.select(F.col("n_nationkey").alias("id")), "id", 2, 25)
-
-
-@query("""
-WITH d AS (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY))::DATE AS date), i AS (SELECT date, row_number() OVER (ORDER BY date DESC) - 1 AS i FROM d)
-SELECT strftime(date, '%Y-%m-%d') AS date, trunc(120.0::DOUBLE * 50 * (CASE WHEN isodow(date) >= 6 THEN 0.6::DOUBLE ELSE 1::DOUBLE END) * greatest(0.7::DOUBLE, 1 - 0.05::DOUBLE * i) * (0.8::DOUBLE + 0.08::DOUBLE * (i % 5)))::BIGINT AS used FROM i""")
-def synthetic_history(t: Tables) -> DataFrame:
-    return usage.synthetic_history(usage.day_spine(t.spark, "2024-01-01", "2024-01-30"), 120.0, 50).withColumn("date", date_text("date"))
