@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritide.operators import dashboards, records, usage
+from veritide.operators.pages import Pages
 from veritide.plans.registry import Tables, query
 from veritide.scratch import new_path
 from veritide.sources.buckets import Buckets, cascade
@@ -178,6 +181,15 @@ def existence_semi(t: Tables) -> DataFrame:
     return records.existing(parts, t.lineitem.filter("l_quantity > 45"), "id", "l_partkey")
 
 
+# Every third page of ten from the newest log on, found by bounds.
+@query("""
+WITH o AS (SELECT event_id AS id, (row_number() OVER (ORDER BY value DESC, event_id) - 1) // 200 + 1 AS page FROM events)
+SELECT page::INT AS page, id FROM o WHERE page IN (1, 4, 7, 10)""")
+def log_pages_by_bounds(t: Tables) -> DataFrame:
+    pages = Pages(t.logs(), "value", "id", size=200, descending=True)
+    return reduce(DataFrame.unionAll, (pages.number(k).select(F.lit(k).alias("page"), "id") for k in (1, 4, 7, 10)))
+
+
 @query("SELECT event_id AS id FROM events WHERE ts >= TIMESTAMP '2024-01-20'")
 def retention_delete(t: Tables) -> DataFrame:
     return records.retained(t.logs(), "2024-01-20 00:00:00").select("id")
