@@ -152,3 +152,23 @@ def test_uploads(spark, tmp_path):
     assert got == {("a.zip", "src/main.py", b"print(1)"), ("a.zip", "../out.py", None), ("b.py", "b.py", b"x"), ("c.zip", None, None)}
     totals = {r.upload.rpartition("/")[2]: (r.total_files, r.errors, r.valid) for r in uploads.upload_totals(members).collect()}
     assert totals == {"a.zip": (1, 1, True), "b.py": (1, 0, True), "c.zip": (0, 1, False)}
+
+
+def test_damaged_and_large_archives(spark):
+    import io
+    import zipfile
+
+    from veritide.sources import uploads
+
+    made = io.BytesIO()
+    with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in (("a.py", "x = 1\n" * 500), ("b.py", "y = 2\n" * 500), ("big.txt", "z" * 100_000)):
+            z.writestr(name, text)
+    data = bytearray(made.getvalue())
+    at = data.index(b"b.py") + 4
+    data[at : at + 8] = b"\xff" * 8  # the second member's stream
+    rows = spark.createDataFrame([("p/ok.zip", bytes(made.getvalue())), ("p/bad.zip", bytes(data)), ("p/cut.zip", bytes(data[: len(data) // 2])), ("p/none.zip", b""), ("p/null.zip", None)], "path string, content binary")
+    got = {(r.upload, r.path): r for r in uploads.unpacked(rows, most=50_000).collect()}
+    assert got["p/ok.zip", "b.py"].size == 3000 and got["p/ok.zip", "big.txt"].error == "too large"
+    assert got["p/bad.zip", "a.py"].size == 3000 and got["p/bad.zip", "b.py"].error and got["p/bad.zip", "b.py"].data is None
+    assert all(got[p, None].error for p in ("p/cut.zip", "p/none.zip", "p/null.zip"))

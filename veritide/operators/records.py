@@ -230,3 +230,14 @@ def system_report(stats: DataFrame, users: DataFrame, most: int = 1000) -> DataF
     """One JSON document: a row of statistics and the first users by id; the number of users is the feature's limit."""
     some = users.orderBy("id").limit(most).agg(F.sort_array(F.collect_list(F.struct(*users.columns))).alias("users"))
     return stats.crossJoin(some).select(F.to_json(F.struct(F.struct(*stats.columns).alias("statistics"), "users")).alias("report"))  # one row each
+
+
+def snapshot_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Distinct rows with the change: added, removed and kept between two snapshots, and any that is in either."""
+    found = {"added": after.select(before.columns).subtract(before), "removed": before.subtract(after.select(before.columns)), "kept": before.intersect(after.select(before.columns)), "any": before.union(after.select(before.columns)).distinct()}
+    return reduce(DataFrame.unionAll, (rows.select(F.lit(change).alias("change"), *before.columns) for change, rows in found.items()))
+
+
+def with_user(logs: DataFrame, users: DataFrame) -> DataFrame:
+    """Log rows with the name of their user; those of unknown users are left out."""
+    return logs.join(users.select(F.col("id").alias("user_id"), "username"), "user_id")

@@ -392,3 +392,28 @@ def template_registry(t: Tables) -> DataFrame:
     last = templates.latest(rows)
     wrong = templates.invalid(last).select("name", F.lit(True).alias("invalid"))
     return templates.with_variables(last).join(wrong, "name", "left").select("name", "version", "text", F.array_join("used", ",").alias("used"), F.coalesce("invalid", F.lit(False)).alias("invalid"))
+
+
+# Two snapshots of the parts' manifests: what came, went and stayed
+
+@query("""
+WITH a AS (SELECT p_brand AS name, p_size AS version FROM part WHERE p_partkey % 3 <> 0), b AS (SELECT p_brand AS name, p_size AS version FROM part WHERE p_partkey % 3 <> 1)
+SELECT 'added' AS change, * FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT 'removed', * FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
+UNION ALL SELECT 'kept', * FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'any', * FROM (SELECT * FROM a UNION SELECT * FROM b)""")
+def snapshot_changes(t: Tables) -> DataFrame:
+    of = lambda left_out: t.part.filter(F.col("p_partkey") % 3 != left_out).select(F.col("p_brand").alias("name"), F.col("p_size").alias("version"))
+    return records.snapshot_changes(of(0), of(1))
+
+
+@query("""
+SELECT e.event_id AS id, c_name AS username, CASE WHEN e.value > 100 THEN 'blocked' ELSE 'success' END AS export_status
+FROM events e JOIN customer ON c_custkey = e.user_id WHERE e.event_type = 'purchase'""")
+def export_log_users(t: Tables) -> DataFrame:
+    logs = t.events.filter("event_type = 'purchase'").select(F.col("event_id").alias("id"), "user_id", F.when(F.col("value") > 100, "blocked").otherwise("success").alias("export_status"))
+    return records.with_user(logs, t.users()).select("id", "username", "export_status")
+
+
+@query("""
+SELECT doc_id, (c > 0.4 AND c < 0.98) OR kind IN ('权限验证绕过', 'XSS攻击') AS needs_related FROM (SELECT doc_id, (doc_id % 11) / 10 AS c, CASE lang WHEN 'en' THEN 'SQL注入' WHEN 'fr' THEN '权限验证绕过' WHEN 'de' THEN 'XSS攻击' ELSE '其他' END AS kind FROM documents)""")
+def cross_file_guards(t: Tables) -> DataFrame:
+    return t.findings().select("doc_id", found.needs_related(F.col("type"), F.col("confidence")).alias("needs_related"))

@@ -4,20 +4,24 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+MOST = 256 << 20
+BROKEN = (zipfile.BadZipFile, zlib.error, EOFError, OSError, RuntimeError, NotImplementedError, ValueError)
 MEMBER = "upload string, path string, size long, data binary, error string"
 
 
-def unpacked(uploads: DataFrame) -> DataFrame:
+def unpacked(uploads: DataFrame, most: int = MOST) -> DataFrame:
     """A row for each file of each upload (path, content): a ZIP archive's members, or the file itself.
 
-    Other archives stay files. An archive that can't be read gives one row that says so; members whose
-    paths lead out of the project are refused in the same way.
+    Other archives stay files. An archive that can't be read gives one row that says so; members that are
+    damaged, larger than ``most`` bytes unpacked, or whose paths lead out of the project are refused one
+    by one in the same way. One member at a time is in memory, and no more of it than ``most``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,9 +43,17 @@ def unpacked(uploads: DataFrame) -> DataFrame:
                             if member.filename.startswith("/") or ".." in member.filename.split("/"):
                                 yield one(path, member.filename, None, None, "path leads out of the project")
                                 continue
-                            found = archive.read(member)
-                            yield one(path, member.filename, len(found), found, None)
-                except (zipfile.BadZipFile, RuntimeError, NotImplementedError) as e:
+                            try:
+                                with archive.open(member) as part:
+                                    found = part.read(most + 1)  # what the archive says of the size may be wrong
+                            except BROKEN as e:
+                                yield one(path, member.filename, None, None, f"{type(e).__name__}: {e}")
+                                continue
+                            if len(found) > most:
+                                yield one(path, member.filename, None, None, "too large")
+                            else:
+                                yield one(path, member.filename, len(found), found, None)
+                except BROKEN as e:
                     yield one(path, None, None, None, f"{type(e).__name__}: {e}")
 
     return uploads.select(F.col("path").cast("string"), F.col("content").cast("binary")).mapInArrow(run, MEMBER)
