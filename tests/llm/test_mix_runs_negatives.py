@@ -282,3 +282,20 @@ def test_against_sql(spark, name):
     keys = [c for c in ("doc_id", "anchor_id", "positive_id", "rank") if c in wanted]
     for c in wanted.columns:
         assert got.sort_values(keys)[c].tolist() == wanted.sort_values(keys)[c].tolist(), c
+
+
+# Near duplicates: the bound on the sets' difference
+
+
+def test_odd_bits_never_differ_by_more_than_the_sets():
+    from veritide.llm import neardup
+
+    draw = np.random.default_rng(9)
+    bits = lambda s: np.array(neardup.odd_bits(s), np.int64).view(np.uint8)
+    for size in (0, 1, 5, 160, 5_000):
+        for _ in range(30):
+            a = np.unique(draw.integers(0, 1 << 63, size, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[draw.random(len(a)) > 0.1], draw.integers(0, 1 << 63, size // 12, dtype=np.uint64)]))
+            apart = len(np.setxor1d(a, b))
+            differ = int(np.unpackbits(bits(a) ^ bits(b)).sum())
+            assert differ <= apart and (apart > 100 or differ >= apart - 8)

@@ -13,16 +13,17 @@ form one class, named by its smallest row number, so copies cost one row each.
 2. Buckets of at most ``SMALL`` classes give all their pairs that bit counts allow, so a
    class meets a bounded number of others there. In larger buckets each class meets
    ``DRAWN`` classes drawn from each of its buckets, is compared with the ``COMPARED`` of
-   them that it shares most buckets with, and paired with the two that match best. So a large group becomes one component, or nearly one, by a number of
-   pairs that grows with its size and not with its square.
+   them that it shares most buckets with, and paired with the two that match best. So a
+   large group becomes one component, or nearly one, by a number of pairs that grows with
+   its size and not with its square.
 3. Pairs wait in a queue. In the first round a class's best pair is confirmed on full
    sets, labels are passed on, and pairs whose ends are known to be connected by then
    leave the queue unread. In the second round the others are confirmed.
 4. What is still outside the largest component of a large bucket must be compared with
    all of its bucket, or a link could be lost. That is done in blocks: some of the
    outsiders at a time, copied to parts of the bucket that hold ``PART`` classes each,
-   with finer signatures as part of the join's condition; components are made anew after
-   each turn. Buckets where that would take more than ``SPLIT_ABOVE`` comparisons are
+   with finer signatures and a bound on the sets' difference as parts of the join's
+   condition; components are made anew after each turn. Buckets where that would take more than ``SPLIT_ABOVE`` comparisons are
    first split by bands of many more minima, which texts that share a passage only don't
    meet in. Only groups of texts that are all similar but nowhere by enough are compared
    pair by pair.
@@ -58,6 +59,8 @@ SHINGLE, ROWS, BITS = 5, 4, 4
 PERCENT = 85
 #: A finer signature for classes in open buckets: two bits of 1024 minima.
 FINE_HASHES, FINE_BITS = 1024, 2
+#: And so many bits that tell by how much two sets differ.
+ODD_BITS = 2048
 #: Odds that a pair just at the threshold shares no band, or has fewer matches than the coarse or the fine filter asks for.
 BAND_ODDS, MATCH_ODDS, FINE_ODDS = 4e-7, 2.5e-6, 1e-6
 WORDS_KEPT = 200_000
@@ -254,6 +257,23 @@ def matches(a: str, b: str, hashes: int, bits: int = BITS) -> Column:
     return F.lit(hashes) - reduce(Column.__add__, [differing(k) for k in range(hashes * bits // 64)])
 
 
+def odd_bits(s: np.ndarray) -> list[int]:
+    """For each of ``ODD_BITS`` places whether an odd number of the set's hashes falls there."""
+    place = (s.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - ODD_BITS.bit_length() + 1)
+    odd = np.bincount(place.astype(np.int64), minlength=ODD_BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
+def differ_little(a: str, b: str, n_a: str, n_b: str, percent: int) -> Column:
+    """Whether two sets might differ by as few members as a link allows.
+
+    Each member that is in one set only changes one of the bits, so as many bits differ as
+    members at most: nothing is lost.
+    """
+    bits = reduce(Column.__add__, [F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(ODD_BITS // 64)])
+    return (100 + percent) * bits <= (100 - percent) * (F.col(n_a) + F.col(n_b))
+
+
 def sizes_fit(a: str, b: str, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
@@ -288,14 +308,14 @@ def texts_of(ids: DataFrame, most: int, texts: DataFrame) -> DataFrame:
 
 
 def fine_signatures(texts: DataFrame, at: Threshold) -> DataFrame:
-    """(id, fine, fine_bands): packed bits and band keys of many more minima, for classes in open buckets."""
+    """(id, fine, fine_bands, odd): packed bits and band keys of many more minima, and odd bits, for classes in open buckets."""
     band_rows = at.fine_rows
 
     def chunk(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
         m = minima(sets, FINE_HASHES) if sets else np.zeros((0, FINE_HASHES), np.uint64)
         fine, bands = (packed_bits(m, FINE_BITS), band_keys(m, band_rows)) if sets else ((), ())
         longs = pa.list_(pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(list(fine), longs), pa.array(list(bands), longs)], ["id", "fine", "fine_bands"])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(list(fine), longs), pa.array(list(bands), longs), pa.array(list(map(odd_bits, sets)), longs)], ["id", "fine", "fine_bands", "odd"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -311,7 +331,7 @@ def fine_signatures(texts: DataFrame, at: Threshold) -> DataFrame:
             yield chunk(ids, sets)
         _words.clear()  # workers are kept, and later steps need their memory
 
-    return texts.select("id", "text").mapInArrow(run, "id long, fine array<long>, fine_bands array<long>")
+    return texts.select("id", "text").mapInArrow(run, "id long, fine array<long>, fine_bands array<long>, odd array<long>")
 
 
 def confirmed(pairs: Table, all_texts: DataFrame, percent: int) -> DataFrame:
@@ -413,11 +433,12 @@ def block_pairs(rows: DataFrame, chosen: DataFrame, at: Threshold) -> DataFrame:
     A bucket is dealt to parts, and the chosen ones go to each of them.
     """
     parts = F.expr(f"(size + {PART - 1}) div {PART}")
-    names = ["band", "part", "id", "component", "n", "fine", "keys"]
+    names = ["band", "part", "id", "component", "n", "odd", "fine", "keys"]
     left, _ = sides(chosen.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))), names)
     _, right = sides(rows.withColumn("part", F.pmod(F.xxhash64("id"), parts)), names)
     m = matches("fine_a", "fine_b", FINE_HASHES, FINE_BITS)
-    fits = (F.col("component_a") != F.col("component_b")) & sizes_fit("n_a", "n_b", at.percent) & (m >= at.fine_least) & first_shared("band_a", "keys_a", "keys_b")
+    little = differ_little("odd_a", "odd_b", "n_a", "n_b", at.percent)
+    fits = (F.col("component_a") != F.col("component_b")) & sizes_fit("n_a", "n_b", at.percent) & little & (m >= at.fine_least) & first_shared("band_a", "keys_a", "keys_b")
     found = left.join(right, (F.col("band_a") == F.col("band_b")) & (F.col("part_a") == F.col("part_b")) & fits)
     return found.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), m.alias("m")).distinct()
 
@@ -483,7 +504,7 @@ def compare_blocks(opened: Table, classes: DataFrame, links: Links, at: Threshol
         keys = split.frame.join(fine.select("id", F.col("fine_bands").alias("keys")), "id")
         rows = rows.unionByName(bucketed(keys.select("id", F.explode("keys").alias("band"))).join(keys, "id").select(rows.columns))
     few = rows.select("band", "id", "size", "keys")
-    rows = written(few.join(classes.select("id", "n").join(fine.select("id", "fine"), "id"), "id"), "near-blocks")
+    rows = written(few.join(classes.select("id", "n").join(fine.select("id", "fine", "odd"), "id"), "id"), "near-blocks")
     # Without a split the open rows are known already.
     now = open_rows(rows.select("band", "id", "size"), links.labels) if split.rows else opened
     most, turn = MEMBERS_FIRST, 0
