@@ -161,10 +161,10 @@ def model_failover(t: Tables) -> DataFrame:
     return analysis.analyse(rows, ("first", even_only), ("second", not_short)).select("file", "response", "provider", "error")
 
 
-@query("SELECT p_partkey AS ord, p_name || p_partkey AS name FROM part WHERE p_partkey <= 40 ORDER BY CASE WHEN p_partkey = 7 THEN 0 ELSE 1 END, p_retailprice, p_partkey LIMIT 5")
+@query("SELECT p_partkey AS ord, p_name || p_partkey AS name FROM part ORDER BY CASE WHEN p_partkey = 7 THEN 0 ELSE 1 END, p_retailprice, p_partkey LIMIT 5")
 def provider_order(t: Tables) -> DataFrame:
     """The five that are asked first: a report of the top ones."""
-    some = t.part.filter("p_partkey <= 40").select(F.concat("p_name", F.col("p_partkey").cast("string")).alias("name"), F.col("p_retailprice").alias("cost"), F.col("p_partkey").alias("ord"))
+    some = t.part.select(F.concat("p_name", F.col("p_partkey").cast("string")).alias("name"), F.col("p_retailprice").alias("cost"), F.col("p_partkey").alias("ord"))
     preferred = some.filter("ord = 7").first()
     return analysis.provider_order(some, preferred["name"] if preferred else None).limit(5).select("ord", "name")
 
@@ -283,19 +283,24 @@ def sql_list(some: list[str]) -> str:
 
 
 WITH_SNIPPET = f"WITH s AS (SELECT *, {sql_list(SNIPPETS)}[1 + doc_id % {len(SNIPPETS)}] AS line FROM documents)"
+# The line stands in front of a document's whole text.
+WITH_CODE = f"WITH s AS (SELECT doc_id, {sql_list(SNIPPETS)}[1 + doc_id % {len(SNIPPETS)}] || chr(10) || text AS code FROM documents)"
 
 
 def coded(t: Tables) -> DataFrame:
-    return t.documents.withColumn("line", snippet(F.col("doc_id")))
+    return t.documents.withColumn("line", snippet(F.col("doc_id"))).withColumn("code", F.concat("line", F.lit("\n"), "text"))
 
 
 def sql_any(patterns: list[str], of: str, flags: str = "") -> str:
     return "(" + " OR ".join(f"regexp_matches({of}, '{p.replace(chr(39), chr(39) * 2)}'{flags})" for p in patterns) + ")"
 
 
-@query(f"{WITH_SNIPPET} SELECT doc_id, 'price_manipulation' AS type FROM s WHERE {sql_any(detection.BUSINESS['price_manipulation'], 'line', ', ' + chr(39) + 'i' + chr(39))} UNION ALL SELECT doc_id, 'privilege_escalation' FROM s WHERE {sql_any(detection.BUSINESS['privilege_escalation'], 'line', ', ' + chr(39) + 'i' + chr(39))}")
+I_FLAG = ", 'i'"
+
+
+@query(f"{WITH_CODE} " + " UNION ALL ".join(f"SELECT doc_id, '{kind}' AS type FROM s WHERE {sql_any(detection.BUSINESS[kind], 'code', I_FLAG)}" for kind in detection.LOOKED_FOR))
 def business_logic(t: Tables) -> DataFrame:
-    return detection.business_logic(coded(t).select("doc_id", "line"), "doc_id", "line")
+    return detection.business_logic(coded(t).select("doc_id", "code"), "doc_id", "code")
 
 
 def sql_kinds(rules: dict[str, list[str]]) -> str:
@@ -327,15 +332,25 @@ def language_confidence(t: Tables) -> DataFrame:
     return coded(t).select("doc_id", F.round(F.coalesce(scores["python"], F.lit(0.0)), 6).alias("python"))
 
 
-@query(f"""{WITH_SNIPPET} SELECT doc_id, concat_ws(',', CASE WHEN contains(line, 'subprocess') THEN '检查命令注入漏洞' END, CASE WHEN contains(line, 'execute') AND contains(line, 'sql') THEN '检查SQL注入漏洞' END, CASE WHEN contains(line, 'exec') THEN '检查代码注入漏洞' END) AS hints FROM s""")
+def sql_words(words: list[str]) -> str:
+    return "(" + " AND ".join(f"contains(lower(code), '{w}')" for w in words) + ")"
+
+
+def sql_hints(language: str) -> str:
+    return "concat_ws(',', " + ", ".join(f"CASE WHEN {sql_words(first)} OR {sql_words(second)} THEN '{hint}' END" for first, second, hint in detection.HINTS[language]) + ")"
+
+
+@query(f"{WITH_CODE} SELECT doc_id, CASE doc_id % 3 " + " ".join(f"WHEN {i} THEN {sql_hints(x)}" for i, x in enumerate(detection.HINTS)) + " END AS hints FROM s")
 def analysis_hints(t: Tables) -> DataFrame:
-    return coded(t).select("doc_id", F.array_join(detection.hints(F.col("line"), F.lit("python")), ",").alias("hints"))
+    language = F.get(F.array(*map(F.lit, detection.HINTS)), (F.col("doc_id") % 3).cast("int"))
+    return coded(t).select("doc_id", F.array_join(detection.hints(F.col("code"), language), ",").alias("hints"))
 
 
-@query(f"""{WITH_SNIPPET} SELECT doc_id, 2 AS line, CASE WHEN starts_with(line, 'def') THEN 'function' ELSE 'class' END AS kind, line AS text FROM s WHERE starts_with(line, 'def ') OR starts_with(line, 'class ')""")
+@query(f"""{WITH_CODE}, l AS (SELECT doc_id, trim(unnest(string_split(code, chr(10)))) AS text, unnest(range(len(string_split(code, chr(10)))))::INT + 1 AS line FROM s),
+k AS (SELECT *, CASE WHEN regexp_matches(text, '^(async\s+)?def |^function |^func |^fn |^(public|private|protected)\b.*\(') THEN 'function' WHEN regexp_matches(text, '^class |^struct |^interface |\bclass \w+') THEN 'class'
+ WHEN regexp_matches(text, '^import |^from \w|^#include|^using |^require') THEN 'import' END AS kind FROM l) SELECT doc_id, line, kind, text FROM k WHERE kind IS NOT NULL""")
 def code_definitions(t: Tables) -> DataFrame:
-    rows = coded(t).select("doc_id", F.concat(F.lit("x = 1\n  "), "line").alias("content"))
-    return detection.definitions(rows, "doc_id")
+    return detection.definitions(coded(t).select("doc_id", F.col("code").alias("content")), "doc_id")
 
 
 @query("SELECT page_id, length(substr(html, 1, instr(html, '<article>'))) - length(replace(substr(html, 1, instr(html, '<article>')), chr(10), '')) + 1 AS line FROM pages")
