@@ -8,7 +8,6 @@ import re
 import zlib
 from fractions import Fraction
 
-import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -272,18 +271,6 @@ def test_intervals_hold_and_prune():
     assert pairs and all((a < 4) == (c < 4) for a, c in pairs)  # the far side is dropped with all its leaves
 
 
-@pytest.mark.parametrize("name", ["op11_sainte_lague_mix", "op13_hard_negatives"])
-def test_against_sql(spark, name):
-    con = duckdb.connect()
-    for t in ("documents", "embeddings"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
-    wanted = con.execute(queries.ORACLE_SQL[name]).df()
-    got = queries.QUERIES[name](spark, DATA).toPandas()
-    keys = [c for c in ("doc_id", "anchor_id", "positive_id", "rank") if c in wanted]
-    for c in wanted.columns:
-        assert got.sort_values(keys)[c].tolist() == wanted.sort_values(keys)[c].tolist(), c
-
-
 # Near duplicates: the bound on the sets' difference
 
 
