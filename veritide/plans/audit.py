@@ -346,7 +346,7 @@ def analysis_hints(t: Tables) -> DataFrame:
     return coded(t).select("doc_id", F.array_join(detection.hints(F.col("code"), language), ",").alias("hints"))
 
 
-@query(f"""{WITH_CODE}, l AS (SELECT doc_id, trim(unnest(string_split(code, chr(10)))) AS text, unnest(range(len(string_split(code, chr(10)))))::INT + 1 AS line FROM s),
+@query(rf"""{WITH_CODE}, l AS (SELECT doc_id, trim(unnest(string_split(code, chr(10)))) AS text, unnest(range(len(string_split(code, chr(10)))))::INT + 1 AS line FROM s),
 k AS (SELECT *, CASE WHEN regexp_matches(text, '^(async\s+)?def |^function |^func |^fn |^(public|private|protected)\b.*\(') THEN 'function' WHEN regexp_matches(text, '^class |^struct |^interface |\bclass \w+') THEN 'class'
  WHEN regexp_matches(text, '^import |^from \w|^#include|^using |^require') THEN 'import' END AS kind FROM l) SELECT doc_id, line, kind, text FROM k WHERE kind IS NOT NULL""")
 def code_definitions(t: Tables) -> DataFrame:
