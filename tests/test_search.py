@@ -29,6 +29,29 @@ def test_contained_against_brute_force(spark, monkeypatch, part):
     assert substrings.contained(spark.createDataFrame([], "id string, text string"), spark.createDataFrame(strings, "string string")).count() == 0
 
 
+@pytest.mark.parametrize(("part", "blocked"), [(500_000, 10_000), (40, 1)])
+def test_first_texts_of_a_string(spark, monkeypatch, part, blocked):
+    monkeypatch.setattr(substrings, "PART", part)
+    monkeypatch.setattr(substrings, "BLOCKED", blocked)
+    draw = random.Random(2)
+    word = lambda most: "".join(draw.choice("abé日😀") for _ in range(draw.randint(1, most)))
+    texts = [(f"t{i:03}", " ".join(word(20) for _ in range(draw.randint(0, 9))) + " the") for i in range(200)] + [("none", None), (None, "the"), ("empty", "")]
+    draw.shuffle(texts)
+    strings = [(w,) for w in {word(11) for _ in range(100)} | {"the", "zzz", "", "a b"} | {(t or "")[3:k] for _, t in texts[:20] for k in (7, 12, 30)}]
+    frame = spark.createDataFrame(texts, "id string, text string").repartition(3)
+    wanted = {(i, s) for (s,) in strings if s for i in sorted(i for i, t in texts if i and t and s in t)[:3]}
+    got = [tuple(r) for r in substrings.first_containing(frame, spark.createDataFrame(strings, "string string"), 3).collect()]
+    assert len(got) == len(set(got)) and set(got) == wanted
+    # A task gives a common string's first texts only, and not a row for each text.
+    assert substrings.searched(substrings.plain(frame), ["the"], 3).count() == 9
+
+
+def test_callers_of_some_files(spark):
+    files = spark.createDataFrame([(f"z/c{i}.py", "target1 target2", 10) for i in range(3)], "path string, content string, size long")
+    called = spark.createDataFrame([("b/target1.txt",)], "path string")
+    assert {tuple(r) for r in findings.caller_edges(files, mode="all", called=called).select("path", "caller").collect()} == {("b/target1.txt", f"z/c{i}.py") for i in range(3)}
+
+
 def test_all_files_are_callers(spark):
     rows = [(f"z/c{i:03}.py", f"import target{i % 3} index.js", 10) for i in range(130)] + [(f"b/target{i}.py", "", 1) for i in range(3)] + [("b/index.js", "index.js", 1), ("b/other.txt", "target0", 1)]
     files = spark.createDataFrame(rows, "path string, content string, size long")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritide.functions.patterns import any_of, name_of, stem_of, suffix_of
-from veritide.operators.substrings import contained
+from veritide.operators.substrings import first_containing
 from veritide.scratch import written
 
 ITEM = "type string, severity string, line int, description string, code_snippet string, impact string, recommendation string"
@@ -66,22 +66,22 @@ def parsed(responses: DataFrame) -> DataFrame:
     return flat.withColumn("issues", F.array("description"))
 
 
-def caller_edges(files: DataFrame, most: int = 5, searched: int = 100, size: int = 500 * 1024, read: int | None = 10_240, mode: str = "first") -> DataFrame:
+def caller_edges(files: DataFrame, most: int = 5, searched: int = 100, size: int = 500 * 1024, read: int | None = 10_240, mode: str = "first", called: DataFrame | None = None) -> DataFrame:
     """(path, caller, pattern): files whose first characters name another's stem or name; five for a pattern, by path.
 
     ``mode="first"``: only the first hundred files by path that can call are searched, as a
     feature; so one side of the comparison has a hundred rows, whatever the number of files.
-    ``mode="all"``: all of them are, by an index of grams; ``read=None`` reads them whole.
+    ``mode="all"``: all of them are, by windows of the names; ``read=None`` reads them whole.
+    ``called`` (path): only callers of these files are looked for, else of all.
     """
     callers = files.filter(suffix_of(name_of(F.col("path"))).isin(SEARCHED) & (F.col("size") <= size))
     head = F.col("content") if read is None else F.substring("content", 1, read)
     name = name_of(F.col("path"))
-    patterns = files.select("path", F.posexplode(F.array_distinct(F.array(stem_of(name), name))).alias("rank", "pattern"))
+    patterns = (files if called is None else called).select("path", F.posexplode(F.array_distinct(F.array(stem_of(name), name))).alias("rank", "pattern"))
     if mode == "all":
-        named = contained(callers.select(F.col("path").alias("id"), head.alias("text")), patterns.select(F.col("pattern").alias("string")))
         # One more than are kept, as a file isn't its own caller. Many files may share a name.
-        nth = F.row_number().over(Window.partitionBy("string").orderBy("id"))
-        first = written(named.withColumn("n", nth).filter(F.col("n") <= most + 1).select(F.col("string").alias("pattern"), F.col("id").alias("caller")), "callers")
+        named = first_containing(callers.select(F.col("path").alias("id"), head.alias("text")), patterns.select(F.col("pattern").alias("string")), most + 1)
+        first = written(named.select(F.col("string").alias("pattern"), F.col("id").alias("caller")), "callers")
         lists = first.groupBy("pattern").agg(F.sort_array(F.collect_list("caller")).alias("callers"))
         rows = patterns.join(lists, "pattern")
         others = F.slice(F.filter("callers", lambda c: c != F.col("path")), 1, most)

@@ -260,7 +260,7 @@ def caller_edges_all(t: Tables) -> DataFrame:
     docs = t.documents.select(F.concat(F.lit("a/f"), F.lpad(F.col("doc_id").cast("string"), 7, "0"), F.lit(".py")).alias("path"), F.col("text").alias("content"), F.col("n_chars").alias("size"))
     word = F.element_at(F.split(F.trim("text"), " "), 1)
     names = t.documents.select(word.alias("word")).distinct().filter(F.col("word").rlike("^[A-Za-z]+$")).select(F.concat(F.lit("b/"), "word", F.lit(".txt")).alias("path"), F.lit("").alias("content"), F.lit(1).cast("long").alias("size"))
-    return found.caller_edges(docs.unionByName(names), mode="all", read=None).filter(F.col("path").startswith("b/")).select("path", "caller", "pattern")
+    return found.caller_edges(docs.unionByName(names), mode="all", read=None, called=names).select("path", "caller", "pattern")
 
 
 @query("SELECT doc_id, (length(text) // 4)::BIGINT AS tokens, length(CASE WHEN length(text) > 2000 THEN substr(text, 1, 2000) || chr(10) || '... (truncated)' ELSE text END)::INT AS shown FROM documents")
