@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from veritide.functions import detection, false_positives, frontend, prefilter
+from veritide.functions import detection, false_positives, frontend, languages, patterns, prefilter
 from veritide.operators import findings, graphs, substrings, usage
 
 
@@ -94,6 +94,28 @@ def test_pieces_are_in_every_match():
     assert seen > 5_000
 
 
+def test_language_patterns_run_only_where_their_pieces_are(spark):
+    draw = random.Random(6)
+    parts = [x for ps in languages.CONTENT.values() for p in ps for some in prefilter.pieces(p) for x in some] + list("=:('\")[]{}<>$@ x1;\n") + [" x = ", " a (", " b\n", "claſs a", "İmport b", "pacKage c", "ımport d"]
+    texts = ["".join(draw.choice(parts) + draw.choice([" ", "", " w"]) for _ in range(draw.randint(1, 25))) for _ in range(600)]
+    rows = spark.createDataFrame([(i, t.upper() if i % 7 == 0 else t) for i, t in enumerate([*texts, "", None])], "id int, content string")
+    head = F.substring("content", 1, languages.READ)
+    plain = {lang: sum((F.regexp_count(head, F.lit(patterns.regex(p, ignore_case=True, multiline=True))) for p in ps), F.lit(0)) for lang, ps in languages.CONTENT.items()}
+    both = rows.select(*(c.alias(f"a_{lang}") for lang, c in plain.items()), *(languages.content_hits(F.col("content"), lang).alias(f"b_{lang}") for lang in plain)).collect()
+    assert all(r[f"a_{lang}"] == r[f"b_{lang}"] for r in both for lang in plain) and sum(r[f"a_{lang}"] or 0 for r in both for lang in plain) > 500
+    plan = rows.select(languages.by_content(F.col("content")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(" in plan or "contains(" in plan.lower()
+
+
+def test_lines_are_lowered_before_they_are_filtered(spark):
+    files = spark.createDataFrame([("a", "x\nPICKLE.loads(x)")], "path string, content string")
+    pages = files.withColumn("content", F.lit("a\n<A href=JAVASCRIPT:x onclick=eval(x)>"))
+    for rows in (detection.findings(files), frontend.hot_spots(pages, "path")):
+        filters = [line for line in rows._jdf.queryExecution().optimizedPlan().toString().split("\n") if line.lstrip(" :+-").startswith("Filter")]
+        assert filters and not any("lower(" in line for line in filters)
+    assert [r.line for r in detection.findings(files).collect()] == [2]
+
+
 def test_rule_counts_and_invented_curve(spark):
     counts = {(r.scope, r.language): r.n for r in false_positives.rule_counts(spark).collect()}
     assert counts["project", "any"] == len(false_positives.PROJECT_RULES) and sum(n for (scope, _), n in counts.items() if scope == "universal") >= len(false_positives.UNIVERSAL_RULES)

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veritide.functions.patterns import any_of, name_of, regex, suffix_of
+from veritide.functions.prefilter import lowered, might
 
 # Supported languages.
 SUPPORTED = ["python", "javascript", "typescript", "java", "go", "rust", "cpp", "c", "csharp", "php", "ruby", "kotlin", "swift", "scala"]
@@ -80,8 +81,14 @@ def by_first_line(content: Column) -> Column:
 
 
 def content_hits(content: Column, language: str) -> Column:
+    """Matches of the language's patterns; one runs only where all its plain pieces are. Equal terms of several languages are evaluated once."""
     head = F.substring(content, 1, READ)
-    return sum((F.regexp_count(head, F.lit(regex(p, ignore_case=True, multiline=True))) for p in CONTENT[language]), F.lit(0))
+
+    def hits(pattern: str) -> Column:
+        n, there = F.regexp_count(head, F.lit(regex(pattern, ignore_case=True, multiline=True))), might(lowered(head), pattern)
+        return n if there is None else F.when(there, n).when(head.isNotNull(), 0)
+
+    return sum((hits(p) for p in CONTENT[language]), F.lit(0))
 
 
 def by_content(content: Column) -> Column:
