@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritide.functions.patterns import any_of, name_of, suffix_of
-from veritide.functions.prefilter import bitmap, has
+from veritide.functions.prefilter import has, marked_lines
 
 # Families of patterns with their severities.
 FAMILIES = {
@@ -42,8 +42,7 @@ def line_of_inclusive(code: Column, offset: Column) -> Column:
 def findings(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
     """A row for each match of each pattern, with its line, as code is read line by line."""
     rules = [(family, severity, len(patterns), p) for family, (severity, patterns) in FAMILIES.items() for p in patterns]
-    lines = files.select(key, F.posexplode(F.split(F.coalesce(content, F.lit("")), "\n")).alias("at", "text"))
-    lines = lines.withColumn("low", F.lower("text")).withColumn("bits", bitmap(F.col("low"), [p for *_, p in rules])).filter("bits <> 0")
+    lines = marked_lines(files, key, F.coalesce(content, F.lit("")), [p for *_, p in rules])
 
     def case(i: int, pattern: str) -> Column:
         return F.when(has(F.col("bits"), i), F.regexp_extract_all("text", F.lit(f"(?i){pattern}"), F.lit(0))).otherwise(F.array().cast("array<string>"))

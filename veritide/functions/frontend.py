@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritide.functions.patterns import any_of
-from veritide.functions.prefilter import bitmap, has
+from veritide.functions.prefilter import bitmap, has, marked_lines
 
 # Signs of static and of dynamic pages. They are looked for in lower-case text, so those with capitals never match.
 STATIC = ["<!DOCTYPE html>", "<html>", "<head>", "<title>", "<meta", "<link", "<style>", "text-align:", "font-size:", "color:", "background:"]
@@ -67,8 +67,7 @@ def n_hot_spots(content: Column) -> Column:
 
 def hot_spots(pages: DataFrame, key: str, content: str = "content") -> DataFrame:
     """A row for each match: type, severity, line number, snippet and pattern."""
-    lines = pages.select(key, F.posexplode(F.split(content, "\n")).alias("at", "line"))
-    lines = lines.withColumn("low", F.lower("line")).withColumn("bits", bitmap(F.col("low"), [p for _, p in RULES])).filter("bits <> 0")
+    lines = marked_lines(pages, key, F.col(content), [p for _, p in RULES]).withColumnRenamed("text", "line")
     found = lines.select(key, "at", "line", F.posexplode(hits(F.col("line"), F.col("bits"))).alias("rule", "n")).filter("n > 0")
     of_rule = F.array(*(F.struct(F.lit(t).alias("type"), F.lit(SEVERITY[t]).alias("severity"), F.lit(p).alias("pattern")) for t, p in RULES))
     r = F.get(of_rule, F.col("rule"))
