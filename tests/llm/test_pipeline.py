@@ -8,7 +8,7 @@ import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
 
-from veritide.llm import pii, toxicity
+from veritide.llm import neardup, pii, toxicity
 from veritide.scratch import written
 
 DATA = "/root/testdata/sf0.001"
@@ -98,3 +98,23 @@ def test_near_copies_from_80_percent(spark):
                 root = [min(root[a], root[b]) if x in (root[a], root[b]) else x for x in root]
     single = dict(corpus_pipeline.STAGES)["near duplicates"](spark, docs, DATA)
     assert between >= 10 and {r.doc_id for r in single.collect()} == {rows[k].doc_id for k in range(len(rows)) if root[k] == k}
+
+
+def test_rounds_on_short_tables_take_no_exchange(spark, monkeypatch):
+    """Labels of a long chain and a star, in one task and by exchanges; each exchange or broadcast costs the driver memory."""
+    pairs = [(k, k + 1) for k in range(300)] + [(1000, 1000 + k) for k in range(1, 50)]
+    edges = neardup.stored(spark.createDataFrame(pairs, "a long, b long").repartition(4), "t")
+    found = neardup.stored(neardup.flooded(edges.frame, 1, edges.rows), "t")
+    for df in (neardup.contracted(edges.frame, found, edges.rows), neardup.labelled(edges.frame, found, edges.rows)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan
+    for most in (0, neardup.SHORT):
+        monkeypatch.setattr(neardup, "SHORT", most)
+        links = neardup.Links(None, 80)
+        links.flood(spark.createDataFrame(pairs[::2], "a long, b long"), len(pairs))
+        links.join_up()
+        links.flood(neardup.contracted(spark.createDataFrame(pairs[1::2], "a long, b long"), links.labels, len(pairs)), len(pairs))
+        links.join_up()
+        labels = {r.id: r.label for r in links.labels.frame.collect()}
+        assert set(labels) == {x for p in pairs for x in p} and len(set(labels.values())) == 2
+        assert len({labels[k] for k in range(301)}) == 1

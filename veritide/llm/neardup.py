@@ -79,6 +79,8 @@ SPLIT_ABOVE = 20_000_000
 SHINGLES_AT_ONCE = 400_000
 #: A table of a few numbers a row may be broadcast up to this count (under 40 MB); beyond it, it is joined by a shuffle.
 IDS_BROADCAST = 500_000
+#: Two tables of a few numbers a row are joined and grouped in one task up to this count (a few MB), as adaptive plans would do after an exchange.
+SHORT = 200_000
 SETS_KEPT = 64
 
 _seeds = np.random.default_rng(20_240_502)
@@ -290,9 +292,26 @@ class Table:
         """To be broadcast if it is short."""
         return F.broadcast(self.frame) if self.rows <= IDS_BROADCAST else self.frame
 
+    def beside(self, most: int | None) -> DataFrame:
+        """To be joined with so many rows at most (None: unknown): where both are short, by a merge in one task.
+
+        That takes neither an exchange nor a broadcast, both of which cost the driver memory for each round.
+        """
+        return self.frame.hint("merge") if short(most) and short(self.rows) else self.light
+
+
+def short(most: int | None) -> bool:
+    return most is not None and most <= SHORT
+
+
+def together(df: DataFrame, most: int | None) -> DataFrame:
+    """So many rows at most (None: unknown), in one partition if they are few."""
+    return df.coalesce(1) if short(most) else df
+
 
 def stored(df: DataFrame, tag: str) -> Table:
-    return Table(*counted(df, f"near-{tag}"))
+    frame, rows = counted(df, f"near-{tag}")
+    return Table(together(frame, rows), rows)
 
 
 def of_classes(pairs: Table, classes: DataFrame, at: Threshold) -> DataFrame:
@@ -360,25 +379,25 @@ def confirmed(pairs: Table, all_texts: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def flooded(edges: DataFrame, turn: int) -> DataFrame:
-    """(id, label) of every node with an edge: the first node within two steps, in an order drawn anew each turn."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+def flooded(edges: DataFrame, turn: int, most: int | None = None) -> DataFrame:
+    """(id, label) of every node with an edge: the first node within two steps, in an order drawn anew each turn; ``most``: of the edges."""
+    both = together(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), most)
     placed = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("place"), F.col(c).alias("id"))
     one = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min(placed("b")), F.first(placed("a"))).alias("label")), "step")
-    near = both.join(one.light.select(F.col("id").alias("b"), F.col("label").alias("near")), "b").select(F.col("a").alias("id"), F.col("near").alias("label"))
-    return one.frame.unionByName(near).groupBy("id").agg(F.min("label")["id"].alias("label"))
+    near = both.join(one.beside(most).select(F.col("id").alias("b"), F.col("label").alias("near")), "b").select(F.col("a").alias("id"), F.col("near").alias("label"))
+    return together(one.frame.unionByName(near), most).groupBy("id").agg(F.min("label")["id"].alias("label"))
 
 
-def labelled(pairs: DataFrame, labels: Table) -> DataFrame:
+def labelled(pairs: DataFrame, labels: Table, most: int | None = None) -> DataFrame:
     """``pairs`` with the labels x and y of their ends; a class without a label is its own."""
-    of = lambda c: labels.light.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))
+    of = lambda c: labels.beside(most).select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))
     both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
     return both.withColumns({"x": F.coalesce("a_label", "a"), "y": F.coalesce("b_label", "b")})
 
 
-def contracted(edges: DataFrame, labels: Table) -> DataFrame:
+def contracted(edges: DataFrame, labels: Table, most: int | None = None) -> DataFrame:
     """The edges between labels."""
-    return labelled(edges, labels).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return labelled(edges, labels, most).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def first_shared(band: str, keys_a: str, keys_b: str) -> Column:
@@ -418,13 +437,13 @@ def drawn_pairs(large: DataFrame, classes: DataFrame, at: Threshold) -> DataFram
     return top.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "m")
 
 
-def open_rows(members: DataFrame, labels: Table | None) -> Table:
-    """Members of buckets that hold several components: also component, the largest one, and the number outside it."""
-    named = members.withColumn("component", F.col("id")) if labels is None else members.join(labels.light, "id", "left").withColumn("component", F.coalesce("label", "id")).drop("label")
+def open_rows(members: DataFrame, labels: Table | None, most: int | None = None) -> Table:
+    """Members of buckets that hold several components: also component, the largest one, and the number outside it; ``most``: of the members."""
+    named = members.withColumn("component", F.col("id")) if labels is None else members.join(labels.beside(most), "id", "left").withColumn("component", F.coalesce("label", "id")).drop("label")
     counts = named.groupBy("band", "component").agg(F.count("*").alias("n"))
     several = counts.groupBy("band").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("k")).filter("k > 1")
     several = stored(several.select("band", F.col("top.component").alias("main"), (F.col("all") - F.col("top.n")).alias("outside")), "several")
-    return stored(named.join(several.light, "band"), "open") if several.rows else several
+    return stored(named.join(several.beside(most), "band"), "open") if several.rows else several
 
 
 def block_pairs(rows: DataFrame, chosen: DataFrame, at: Threshold) -> DataFrame:
@@ -455,39 +474,43 @@ class Links:
         """Confirm these pairs and pass labels on by two steps."""
         found = stored(confirmed(pairs, self.texts, self.percent), "links")
         if found.rows:
-            edges = found.frame if self.labels is None else contracted(found.frame, self.labels)
-            self.flood(edges if self.rest is None else self.rest.frame.unionByName(edges))
+            edges = found.frame if self.labels is None else contracted(found.frame, self.labels, found.rows)
+            if self.rest is None:
+                self.flood(edges, found.rows)
+            else:
+                self.flood(self.rest.frame.unionByName(edges), self.rest.rows + found.rows)
 
-    def flood(self, edges: DataFrame) -> None:
+    def flood(self, edges: DataFrame, most: int) -> None:
         """What is within two steps gets one label and becomes one node.
 
         The order of nodes is drawn anew each time, so each turn leaves a fraction of the
         edges between labels on any graph, long chains included.
         """
         self.turn += 1
-        found = stored(flooded(edges, self.turn), "flood")
+        edges = together(edges, most)
+        found = stored(flooded(edges, self.turn, most), "flood")
         if self.labels is None:
             self.labels = found
         else:
-            of = found.light.select(F.col("id").alias("label"), F.col("label").alias("new"))
+            of = found.beside(self.labels.rows).select(F.col("id").alias("label"), F.col("label").alias("new"))
             known = self.labels.frame.join(of, "label", "left").select("id", F.coalesce("new", "label").alias("label"))
-            self.labels = stored(known.unionByName(found.frame.join(self.labels.light.select("id"), "id", "left_anti")), "labels")
-        self.rest = stored(contracted(edges, found), "rest")
+            self.labels = stored(known.unionByName(found.frame.join(self.labels.beside(found.rows).select("id"), "id", "left_anti")), "labels")
+        self.rest = stored(contracted(edges, found, most), "rest")
 
     def join_up(self) -> None:
         """Flood until each component has one label."""
         while self.rest is not None and self.rest.rows:
-            self.flood(self.rest.frame)
+            self.flood(self.rest.frame, self.rest.rows)
 
     def settle(self, pairs: DataFrame) -> None:
         """Read each class's best pair first, then what is still open."""
         queue = stored(pairs, "queue")
         if queue.rows:
             both = queue.frame.select(F.col("a").alias("id"), "a", "b", "m").unionByName(queue.frame.select(F.col("b").alias("id"), "a", "b", "m"))
-            best = stored(both.groupBy("id").agg(F.max(F.struct("m", "a", "b")).alias("best")).select("best.a", "best.b").distinct(), "best")
+            best = stored(together(both, queue.rows).groupBy("id").agg(F.max(F.struct("m", "a", "b")).alias("best")).select("best.a", "best.b").distinct(), "best")
             self.read(best)
-            rest = queue.frame.select("a", "b").join(best.light, ["a", "b"], "left_anti")
-            rest = stored(rest if self.labels is None else labelled(rest, self.labels).filter("x <> y").select("a", "b"), "queue")
+            rest = queue.frame.select("a", "b").join(best.beside(queue.rows), ["a", "b"], "left_anti")
+            rest = stored(rest if self.labels is None else labelled(rest, self.labels, queue.rows).filter("x <> y").select("a", "b"), "queue")
             if rest.rows:
                 self.read(rest)
         self.join_up()
@@ -501,7 +524,7 @@ def compare_blocks(opened: Table, classes: DataFrame, links: Links, at: Threshol
     narrow, split = stored(opened.frame.filter(~wide).select("band", "id", "size"), "narrow"), stored(opened.frame.filter(wide).select("id").distinct(), "wide")
     rows = classes.select("id", F.col("bands").alias("keys")).join(narrow.light, "id")
     if split.rows:
-        keys = split.frame.join(fine.select("id", F.col("fine_bands").alias("keys")), "id")
+        keys = split.light.join(fine.select("id", F.col("fine_bands").alias("keys")), "id")
         rows = rows.unionByName(bucketed(keys.select("id", F.explode("keys").alias("band"))).join(keys, "id").select(rows.columns))
     few = rows.select("band", "id", "size", "keys")
     rows = written(few.join(classes.select("id", "n").join(fine.select("id", "fine", "odd"), "id"), "id"), "near-blocks")
@@ -515,8 +538,8 @@ def compare_blocks(opened: Table, classes: DataFrame, links: Links, at: Threshol
         current = rows.drop("size").join(now.light, ["band", "id"])
         links.settle(block_pairs(current, current.join(chosen.light, ["band", "id"]), at))
         # Who has met all of a bucket has done with it.
-        left = now.frame.select("band", "id", "size").join(chosen.light, ["band", "id"], "left_anti")
-        now, most, turn = open_rows(left, links.labels), most * 8, turn + 1
+        left = now.frame.select("band", "id", "size").join(chosen.beside(now.rows), ["band", "id"], "left_anti")
+        now, most, turn = open_rows(left, links.labels, now.rows), most * 8, turn + 1
 
 
 def classed(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -535,7 +558,7 @@ def classed(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     if large.rows:
         queue = queue.unionByName(drawn_pairs(large.frame, classes, at)).groupBy("a", "b").agg(F.max("m").alias("m"))
     links.settle(queue)
-    if large.rows and (opened := open_rows(large.frame, links.labels)).rows:
+    if large.rows and (opened := open_rows(large.frame, links.labels, large.rows)).rows:
         compare_blocks(opened, classes, links, at)
     named = classes.select("digest", "id", "lo")
     if links.labels is None:
